@@ -38,14 +38,20 @@ def distance(a: str, b: str, most: int) -> int:
     """Edit distance with neighbouring letters exchanged as one edit; ``most + 1`` where it is above ``most``."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        older, before, row = before, row, [i]
-        for j, y in enumerate(b, 1):
-            cost = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, older[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most:
-            return most + 1
-    return min(row[-1], most + 1)
+    far = most + 1
+    older: dict[int, int] = {}
+    before: dict[int, int] = {}
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, x in enumerate(a, 1):  # only the band of width most around the diagonal can matter
+        older, before, row = before, row, {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if j == 0:
+                row[0] = i
+                continue
+            cost = min(before.get(j, far) + 1, row.get(j - 1, far) + 1, before.get(j - 1, far) + (x != b[j - 1]))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == b[j - 1]:
+                cost = min(cost, older.get(j - 2, far) + 1)
+            row[j] = cost
+        if min(row.values()) > most:
+            return far
+    return min(row.get(len(b), far), far)

@@ -73,15 +73,12 @@ class _Tree:
         before_blank = {s for i, s in enumerate(starts) if i < len(breaks) and kinds[breaks[i]] == "blank"}
         heading = [s for s in starts if s in after_blank and (lines[s].startswith("#") or s in before_blank and HEADING.match(lines[s]) and not MARKER.match(lines[s]))]
         items = [s for s in starts if MARKER.match(lines[s])]
+        titles = set(heading)
+        after_heading = {b for a, b in zip(starts, starts[1:]) if a in titles}
         # a heading stays with what follows it: no cut between them unless nothing else is left
         self.paragraphs = sorted(after_blank)
         self.sentences: list[int] | None = None
-        self.levels = [heading, sorted(x for x in after_blank if x and not self._after_heading(x, heading, starts)), sorted(items), sorted(after_blank)]
-
-    @staticmethod
-    def _after_heading(place: int, heading: list[int], starts: list[int]) -> bool:
-        i = starts.index(place)
-        return i > 0 and starts[i - 1] in heading
+        self.levels = [heading, sorted(after_blank - {0} - after_heading), sorted(items), sorted(after_blank)]
 
     def sentence_starts(self) -> list[int]:
         """Starts of all sentences but those at the start of a paragraph; found once for a text."""
@@ -98,7 +95,7 @@ class _Tree:
 
     def children(self, start: int, end: int, depth: int) -> list[tuple[int, int]]:
         if depth < len(self.levels):
-            return _cut(start, end, self.levels[depth])
+            return _cut(start, end, self.between(self.levels[depth], start, end))
         if depth == len(self.levels):
             return _cut(start, end, self.between(self.sentence_starts(), start, end))
         if depth == len(self.levels) + 1:

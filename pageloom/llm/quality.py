@@ -34,7 +34,7 @@ WORD = re.compile(rf"[{UNSPACED}]|(?:[^\W\d_{UNSPACED}]|[\u0300-\u036f\u0591-\u0
 HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad\u034f]")
 BULLET = re.compile(r"\s*(?:[•●◦▪*·–—+-]|\[[ xX]?\]|[(（]?(?:\d{1,3}|[a-zA-Z])[.)）]|\d+(?:\.\d+)+)\s+\S")
 LEADERS = re.compile(r"\.{4,}|(?:\. ){4,}|…{2,}")
-CELLS = re.compile(r"\|.*\||\t|(?:;[^;]*){4,}|\S+=\S*(?:\s+\S+=\S*)+|(?:,[^,\s][^,]*){5,}|(?:\S+ {3,}){2,}")
+CELLS = re.compile(r"\|.*\||\t|(?:;[^;]*){4,}|(?:,[^,\s][^,]*){5,}")
 LOG = re.compile(r"\s*\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
 ENDING = re.compile(r"[.!?。！？।؟…:：][\"'”’»“)\]）」]*\s*$")
 STOP = re.compile(rf"[.!?।؟…](?=[\"”’»)]*(?:\s|$))|[。！？]|(?<=[\u0e00-\u0e7f]) (?=[\u0e00-\u0e7f])")
@@ -69,6 +69,17 @@ def _noisy(block: str, common: frozenset[str]) -> bool:
     return len(tokens) >= 20 and len({*tokens}) < 0.25 * len(tokens)
 
 
+def _is_row(line: str) -> bool:
+    """Whether a line is a row of cells: separated, aligned by wide gaps, named by ``key=value``, or a dated log entry."""
+    if CELLS.search(line) or LOG.match(line) or line.strip().count("   ") >= 2 and len(line.split("   ")) >= 3:
+        return True
+    if line.count("=") < 2:
+        return False
+    tokens = line.split()
+    named = sum("=" in x[1:] for x in tokens)
+    return named >= 2 and 2 * named >= len(tokens)
+
+
 def _kind(block: list[str], common: frozenset[str]) -> str:
     """Kind of a run of lines without markers or cells, up to a blank line."""
     whole = " ".join(block)
@@ -112,7 +123,7 @@ def statistics_of(text: str | None, common: frozenset[str]) -> tuple:
             continue
         bullet = bullets[position] and several
         position += 1
-        if CELLS.search(line) or LOG.match(line):
+        if _is_row(line):
             close()
             kinds["table"] += len(line.strip())
         elif bullet:
@@ -264,6 +275,8 @@ def fit_mixture(points: DataFrame, start: np.ndarray, rounds: int = ROUNDS) -> M
             sums = np.zeros((len(mixture.means), 1 + d + d * d))
             for r in summed.collect():
                 sums[r.component, r.place] = r.value
+            if not sums[:, 0].sum():
+                break
             held = np.maximum(sums[:, 0], 1e-9)
             mixture = Mixture(centre, scale, mixture.means.copy())
             mixture.weights = np.maximum(sums[:, 0] / sums[:, 0].sum(), 1e-12)

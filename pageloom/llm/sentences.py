@@ -34,13 +34,15 @@ CLOSERS = set(OPENERS.values()) | {"”"}
 ZERO = "\u200b-\u200f\u2060-\u2064\ufeff\u00ad\u034f\u202a-\u202e\u2066-\u2069\ufe00-\ufe0f"
 BLANK = r"[^\S\n]"
 THAI = "฀-๿"
-PARAGRAPH_GAP = re.compile(rf"(?:{BLANK}|[{ZERO}])*(?:\n|\u2029)(?:{BLANK}|[{ZERO}])*(?:\n(?:{BLANK}|[{ZERO}])*)+|\u2029")
+PARAGRAPH_GAP = re.compile(rf"\n(?:{BLANK}|[{ZERO}])*\n(?:\s|[{ZERO}])*| ")
 EVENT = re.compile(rf"[.!?。！？।॥؟۔…．｡⁈⁇‽]+|[“”‘’«»‹›„‚\"＂()\[\]{{}}（）「」『』【】《》〈〉［］]|\n|(?<=[{THAI}])[{ZERO}]*{BLANK}+[{ZERO}]*(?=[{THAI}])|[;;](?=\s|$)")
 MARKER = re.compile(rf"(?:{BLANK}|[{ZERO}])*(?:(?P<bullet>[•●◦▪‣∙*·–—\-+]|\[[ xX]?\])|(?P<open>[(（])?(?P<n>[0-9０-９]{{1,3}}|[a-zA-Zａ-ｚ]|[ivx]{{1,4}})(?P<close>[.)）．]))(?={BLANK})")
 HEADING = re.compile(r"(?:#{1,6}\s+\S|(?:[0-9]+\.)+[0-9]+\.?\s+\S|[IVX]+\.\s+\S)")
 CJK_END = "。！？｡"
 ENDS = re.compile(rf"[.!?。！？।॥؟۔…．｡:：;；][”’»“\")\]）」』{ZERO}]*$")
 SKIP = re.compile(rf"[{ZERO}]+")
+#: Characters before a full stop that are looked at; no abbreviation is longer.
+LONGEST_WORD = 64
 _LIKE = {ord(x): group[0] for group in LETTER_CLASSES for x in group[1:]}
 
 
@@ -79,8 +81,8 @@ def _starts(text: str, at: int, end: int) -> str:
 
 def _stop_ends(text: str, start: int, begin: int, after: str, gap: bool) -> bool:
     """Whether a full stop at ``start`` ends its sentence; ``after`` is what follows, ``gap`` whether blanks do."""
-    at = start
-    while at > begin and not text[at - 1].isspace() and text[at - 1] not in "([{“‘«„\"（/":
+    at, earliest = start, max(begin, start - LONGEST_WORD)
+    while at > earliest and not text[at - 1].isspace() and text[at - 1] not in "([{“‘«„\"（/":
         at -= 1
     word = _plain(text[at:start])
     for mark in ("'", "’"):
@@ -97,7 +99,7 @@ def _stop_ends(text: str, start: int, begin: int, after: str, gap: bool) -> bool
         return False
     if "number" in labels and (digit or not upper):
         return False
-    number_before = text[begin:at].rstrip()[-1:].isdigit()
+    number_before = text[max(begin, at - 8) : at].rstrip()[-1:].isdigit()
     if len(word) == 1 and word.isalpha():
         if not (number_before and text[at:start].islower()):
             return False
@@ -201,9 +203,7 @@ def _paragraph(text: str, begin: int, end: int, ends: list[int]) -> None:
                 after = _starts(text, stop, end)
                 before = SKIP.sub("", text[max(begin, at - 4) : at])[-1:]
                 if before != ")" and stop < end and text[stop].isspace() and after[:1] and not after[0].islower() and after[0] not in ",;:–—-.!?" and not unicodedata.category(after[0]) in ("Pe", "Pf"):
-                    inner_full = text[unit:at].strip()
-                    if mark in ("”", "»", "“", ")", "）", '"', "’", "」", "』", "]", "›") and _quote_ends(text, unit, at, inner_full, after):
-                        close(stop)
+                    close(stop)
         elif mark.isspace() or SKIP.match(mark):
             close(at)
         elif mark[0] in ";;":
@@ -239,10 +239,6 @@ def _paragraph(text: str, begin: int, end: int, ends: list[int]) -> None:
     close(end)
 
 
-def _quote_ends(text: str, unit: int, at: int, inner: str, after: str) -> bool:
-    return True
-
-
 def sentence_ends(text: str | None) -> list[int]:
     """End offsets (code points of the stored text) of its sentence units; none for null and blank texts."""
     if text is None or not text.strip():
