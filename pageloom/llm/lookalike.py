@@ -211,7 +211,8 @@ def lookalike_pairs(rows: DataFrame, group: list[str], id_column: str, text_colu
     formed = rows.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(
         *group, F.col(id_column).alias("id"), F.unhex(F.sha2(text_column, 256)).alias("written"), consistent_form(F.col(text_column), classes).alias("form")
     )
-    members = formed.where(F.col("form") != "").select(*group, "id", "written", F.unhex(F.sha2("form", 256)).alias("looks"))
+    # written once: the forms are costly, and the hashes are read by every join below
+    members = durable(formed.where(F.col("form") != "").select(*group, "id", "written", F.unhex(F.sha2("form", 256)).alias("looks")))
     several = members.groupBy(*group, "looks").agg(F.min("written").alias("low"), F.max("written").alias("high")).where("low <> high").select(*group, "looks")
     members = members.join(several, [*group, "looks"], "left_semi")
     strings = members.select(*group, "looks", "written").distinct()
