@@ -24,8 +24,8 @@ from pageloom.llm.folding import UNSPACED
 from pageloom.llm.lookalike import LETTER_CLASSES
 from pageloom.session import durable
 
-#: Most frequent words that count as common, and rounds of expectation-maximization.
-COMMON, ROUNDS = 4000, 12
+#: Most frequent words that count as common, documents in which one must stand, and rounds of expectation-maximization.
+COMMON, LEAST_DOCUMENTS, ROUNDS = 4000, 3, 12
 FEATURES = ["other_share", "list_share", "table_share", "noise_share", "loose_share", "sentence_rate", "line_end_share", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "variety"]
 STATISTICS = ["n_words", "n_lines", "n_printed", *FEATURES]
 
@@ -66,7 +66,8 @@ def _noisy(block: str, common: frozenset[str]) -> bool:
     words = [x.lower() for x in WORD.findall(block)]
     if len(words) >= 6 and _known(words, common) < 0.5 * len(words):
         return True
-    return len(tokens) >= 20 and len({*tokens}) < 0.25 * len(tokens)
+    # one phrase over and over has few different runs of three words, however long it is
+    return len(tokens) >= 20 and len({*zip(tokens, tokens[1:], tokens[2:])}) < 0.25 * len(tokens)
 
 
 def _is_row(line: str) -> bool:
@@ -154,9 +155,9 @@ def words_column(text: Column) -> Column:
 
 
 def common_words(documents: DataFrame, most: int = COMMON) -> DataFrame:
-    """(word): the words that occur in most documents; at most ``most`` of them, ties by word."""
+    """(word): the words that occur in most documents, LEAST_DOCUMENTS at least; at most ``most`` of them, ties by word."""
     words = documents.where("text is not null").select(F.explode(F.array_distinct(words_column(F.col("text")))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).select("word")
+    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(most).select("word")
 
 
 def text_statistics(documents: DataFrame, common: frozenset[str] | None = None) -> DataFrame:
@@ -300,7 +301,9 @@ def classify(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     common = frozenset(r.word for r in common_words(documents).collect())
     measured = durable(text_statistics(documents, common))
     filled = measured.where("n_printed > 0")
-    examples = pd.DataFrame([statistics_of(text, common) for _, text in EXAMPLES], columns=STATISTICS)[MIXED].to_numpy(float)
+    # the examples' own languages need not be those of the corpus
+    read = common | {x.lower() for kind, text in EXAMPLES if kind != "junk" for x in WORD.findall(text)}
+    examples = pd.DataFrame([statistics_of(text, read) for _, text in EXAMPLES], columns=STATISTICS)[MIXED].to_numpy(float)
     kinds = [kind for kind, _ in EXAMPLES]
     mixture = fit_mixture(filled, examples, rounds)
     points = mixture.standardized(examples)

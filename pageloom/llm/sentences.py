@@ -99,11 +99,8 @@ def _stop_ends(text: str, start: int, begin: int, after: str, gap: bool) -> bool
         return False
     if "number" in labels and (digit or not upper):
         return False
-    number_before = text[max(begin, at - 8) : at].rstrip()[-1:].isdigit()
-    if len(word) == 1 and word.isalpha():
-        if not (number_before and text[at:start].islower()):
-            return False
-        if len(after) > 1 and after[1] == ".":
+    if len(word) == 1 and word.isalpha():  # an initial, or one of several shortened words in a row
+        if unicodedata.normalize("NFKC", SKIP.sub("", text[at:start])).isupper() or len(after) > 1 and after[1] == ".":
             return False
     if digit and word.isdigit() and len(word) < 3 and at == begin:
         return False
