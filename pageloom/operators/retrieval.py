@@ -103,7 +103,8 @@ def corpus_occurrences(passages: DataFrame, texts: DataFrame) -> DataFrame:
                         if end - length + 1 >= free.get(i, 0):
                             free[i] = end + 1
                             total[i] = total.get(i, 0) + 1
-            yield pd.DataFrame({"passage": [sent.value[i] for i in total], "n": [*total.values()]})
+            if total:
+                yield pd.DataFrame({"passage": [sent.value[i] for i in total], "n": [*total.values()]})
 
         return texts.mapInPandas(scan, "passage string, n long")
 

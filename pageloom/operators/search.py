@@ -38,8 +38,8 @@ def checked_vectors(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
 def top_k_columns(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool = False) -> DataFrame:
     """(query, position, score, rank) in column functions only, for small query sets; ``index`` has position and vector, ``queries`` query and vector."""
     check_k(k)
-    left = index.select("position", l2_normalize(F.col("vector")).alias("_v"))
-    right = queries.select("query", l2_normalize(F.col("vector")).alias("_q"))
+    left = index.where("position is not null and vector is not null").select("position", l2_normalize(F.col("vector")).alias("_v"))
+    right = queries.where("query is not null and vector is not null").select("query", l2_normalize(F.col("vector")).alias("_q"))
     pairs = left.join(F.broadcast(right), F.col("position") != F.col("query") if not_self else F.lit(True))
     scored = pairs.select("query", "position", dot(F.col("_v"), F.col("_q")).alias("score"))
     return ranked(scored, ["query"], "score", ["position"]).where(F.col("rank") <= k)
