@@ -73,10 +73,10 @@ def _labels(word: str) -> set[str]:
 
 
 def _starts(text: str, at: int, end: int) -> str:
-    """What stands at a place: its first character that has a width, or nothing."""
+    """The first three characters with a width at a place, blanks before them left out; fewer at the end."""
     while at < end and (text[at].isspace() or SKIP.match(text[at])):
         at += 1
-    return text[at : at + 3] if at < end else ""
+    return SKIP.sub("", text[at : min(at + 9, end)])[:3]
 
 
 def _stop_ends(text: str, start: int, begin: int, after: str, gap: bool) -> bool:
