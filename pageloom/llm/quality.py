@@ -292,14 +292,15 @@ def fit_mixture(points: DataFrame, start: np.ndarray, rounds: int = ROUNDS) -> M
     return mixture
 
 
-def classify(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Every row with its columns, the STATISTICS, ``kind`` (prose, list, table, junk; null without text) and ``prose_probability``.
+def classify(documents: DataFrame, keep: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """Every row with its columns (or those to keep), the STATISTICS, ``kind`` (prose, list, table, junk; null without text) and ``prose_probability``.
 
     The mixture starts with one component at each inspected example; a fitted component is named after the
     kind of the example nearest to its mean.
     """
     common = frozenset(r.word for r in common_words(documents).collect())
-    measured = durable(text_statistics(documents, common))
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in STATISTICS]
+    measured = durable(text_statistics(documents, common).select(*(f"`{c}`" for c in kept), *STATISTICS))
     filled = measured.where("n_printed > 0")
     # the examples' own languages need not be those of the corpus
     read = common | {x.lower() for kind, text in EXAMPLES if kind != "junk" for x in WORD.findall(text)}

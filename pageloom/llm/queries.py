@@ -86,11 +86,11 @@ def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents")).where("kind <> 'prose'").select("doc_id")
+    return quality.classify(table(spark, sf_dir, "documents"), keep=["doc_id"]).where("kind <> 'prose'").select("doc_id")
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents")).select("doc_id", *quality.STATISTICS, "kind", "prose_probability")
+    return quality.classify(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", *quality.STATISTICS, "kind", "prose_probability")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
