@@ -40,7 +40,8 @@ ENDING = re.compile(r"[.!?。！？।؟…:：][\"'”’»“)\]）」]*\s*$")
 STOP = re.compile(rf"[.!?।؟…](?=[\"”’»)]*(?:\s|$))|[。！？]|(?<=[\u0e00-\u0e7f]) (?=[\u0e00-\u0e7f])")
 SYMBOL = re.compile(r"[^\w\s.,;:!?'’\"“”„«»()\-–‐‑/%°。，、？！।؟：「」\u0900-\u0903\u093a-\u094f\u0300-\u036f\u0e31-\u0e4e]|_")
 DIGIT = re.compile(r"\d")
-TOKEN = re.compile(r"\S+")
+#: Words in which variety is judged.
+SPAN = 60
 
 
 _LIKE = {ord(x): group[0] for group in LETTER_CLASSES for x in group[1:]}
@@ -66,8 +67,9 @@ def _noisy(block: str, common: frozenset[str]) -> bool:
     words = [x.lower() for x in WORD.findall(block)]
     if len(words) >= 6 and _known(words, common) < 0.5 * len(words):
         return True
-    # one phrase over and over has few different runs of three words, however long it is
-    return len(tokens) >= 20 and len({*zip(tokens, tokens[1:], tokens[2:])}) < 0.25 * len(tokens)
+    # few different words among any SPAN of them, however long the text: phrases or menu entries over and over
+    spans = [len({*tokens[i : i + SPAN]}) for i in range(0, max(1, len(tokens) - SPAN + 1), SPAN)]
+    return len(tokens) >= 20 and sum(spans) < 0.2 * len(spans) * min(SPAN, len(tokens))
 
 
 def _is_row(line: str) -> bool:
