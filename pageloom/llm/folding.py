@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
+from pageloom.llm.lookalike import LETTER_CLASSES
+
 ACCENTS = re.compile("[̀-ͯ]")
 #: Scripts written without blanks: every character counts as a word of its own.
 UNSPACED = "฀-๿぀-ヿ㐀-鿿豈-﫿"
@@ -12,11 +14,32 @@ WORD = re.compile(rf"[{UNSPACED}]|(?:[^\W_{UNSPACED}]|[̀-֑ͯ-ׇؐ-ٟऀ-ःऺ
 BROKEN = re.compile(r"(?<=\w)[-‐‑](?:[^\S\n]*\n\s*)?(?=\w)")
 
 
+def _caseless() -> dict[int, str]:
+    """Small letters to the letter they are when case is set aside: alike themselves, or alike as capitals (Cyrillic ka and k).
+
+    Letters of one script stay apart: where a letter is like two (Greek nu, as a capital and as a small one), the capital counts.
+    """
+    same: dict[int, str] = {}
+    for letters in sorted(LETTER_CLASSES, key=lambda x: not x[0].isupper()):
+        first = letters[0].casefold()
+        for other in letters[1:]:
+            small = other.casefold()
+            if len(small) == 1 and small != first and not small.isascii() and small != "μ":
+                same.setdefault(ord(small), first)
+    return same
+
+
+CASELESS = _caseless()
+#: Mu is m inside Greek words only; elsewhere it is the sign of a unit.
+MU_IN_WORD = re.compile("μ(?=[α-ω])|(?<=[α-ω])μ")
+
+
 def fold(text: str) -> str:
-    """Lower case without accents; other marks (vowel signs, voicing) stay."""
+    """Lower case without accents, letters that look alike in either case as one; other marks (vowel signs, voicing) stay."""
     if text.isascii():
         return text.lower()
-    return unicodedata.normalize("NFC", ACCENTS.sub("", unicodedata.normalize("NFKD", text))).casefold()
+    plain = unicodedata.normalize("NFC", ACCENTS.sub("", unicodedata.normalize("NFKD", text))).casefold()
+    return (MU_IN_WORD.sub("m", plain) if "μ" in plain else plain).translate(CASELESS)
 
 
 def words_of(text: str) -> list[str]:

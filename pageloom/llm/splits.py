@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pageloom.llm.folding import CASELESS
 from pageloom.llm.lookalike import consistent_form, fit
 from pageloom.session import durable
 
@@ -30,7 +31,8 @@ def page_citations(questions: DataFrame) -> DataFrame:
     cited = questions.where("id is not null").select("id", F.explode("evidence").alias("e")).where("e.source is not null and e.page is not null")
     names = cited.select("id", F.col("e.page").alias("number"), F.element_at(F.split(F.regexp_replace("e.source", r"\\", "/"), "/"), -1).alias("name"))
     classes = fit(names.select("name"))
-    keyed = names.select("id", "number", F.trim(F.lower(consistent_form(F.col("name"), classes))).alias("name")).where("name <> ''")
+    alike = "".join(map(chr, CASELESS)), "".join(CASELESS.values())
+    keyed = names.select("id", "number", F.trim(F.translate(F.lower(consistent_form(F.col("name"), classes)), *alike)).alias("name")).where("name <> ''")
     return keyed.select("id", F.concat_ws("#", "name", "number").alias("page")).distinct()
 
 

@@ -30,6 +30,12 @@ def test_nearly_same(other, same):
     assert nearly_same(BASE, other) is same and nearly_same(other, BASE) is same
 
 
+@pytest.mark.parametrize("text", ["Новый счётчик к 5 КВ", "Ο μετρητής Μέτρο Κλειδί", "Straße Über", "İstanbul café"])
+def test_folding_sets_case_aside_in_every_script(text):
+    assert letters_of("5 μm") != letters_of("5 mm")
+    assert letters_of(text.upper()) == letters_of(text.lower()) == letters_of(text)
+
+
 def test_helpers():
     assert merged_length([(0, 4), (2, 6), (9, 10)]) == 7
     assert "".join(x for _, x in segments("abcdefghijk")) == "abcdefghijk" and segments("ab") == [(0, "ab")]

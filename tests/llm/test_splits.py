@@ -53,6 +53,8 @@ def test_citations_and_mixed_groups(spark):
     rows = [
         ("a", "train", [("x/Doc_1.pdf", 3, "t")]),
         ("b", "dev", [(" y\\dос_1.pdf ", 3, None), (None, 3, "t")]),
+        ("g", None, [("КЕY.pdf", 7, "t")]),
+        ("h", None, [("key.pdf", 7, "t")]),
         ("c", None, [("doc_1.pdf", 3, "t"), ("other.pdf", None, "t")]),
         ("d", "test", [("doc_1.pdf", 4, "t")]),
         ("e", "train", None),
@@ -60,9 +62,9 @@ def test_citations_and_mixed_groups(spark):
         (None, "dev", [("doc_1.pdf", 4, "t")]),
     ]
     df = questions(spark, rows)
-    assert {(r.id, r.page.split("#")[1]) for r in page_citations(df).collect()} == {("a", "3"), ("b", "3"), ("c", "3"), ("d", "4")}
+    assert {(r.id, r.page.split("#")[1]) for r in page_citations(df).collect()} == {("a", "3"), ("b", "3"), ("c", "3"), ("d", "4"), ("g", "7"), ("h", "7")}
     assert sorted(r.id for r in mixed_questions(df).collect()) == ["a", "b", "c"]
-    assert len({r.group for r in question_groups(df).collect()}) == 4
+    assert len({r.group for r in question_groups(df).collect()}) == 5
     assert mixed_questions(df.limit(0)).count() == 0
 
 
