@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from pageloom.functions.vectors import dot, l2_normalize, ranked
 
 TOP_K = 5
-#: Query vectors of one block.
-BLOCK = 4096
+#: Query vectors of one block, and of one matrix product.
+BLOCK, AT_ONCE = 4096, 256
 
 
 def check_k(k: object) -> None:
@@ -62,6 +62,18 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
 
 
+def best_of_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k largest entries of each row, the smaller column first among equals."""
+    width = scores.shape[1]
+    least = np.partition(scores, width - k, axis=1)[:, width - k, None] if k < width else -np.inf
+    row, column = np.nonzero(scores >= least)
+    order = np.lexsort((column, -scores[row, column], row))
+    row, column = row[order], column[order]
+    starts = np.searchsorted(row, np.arange(len(scores)))
+    kept = np.arange(len(row)) - starts[row] < k
+    return row[kept], column[kept]
+
+
 def top_k(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool = False, block: int = BLOCK) -> DataFrame:
     """(query, position, score, rank): the k best positions of every query, all of them if there are fewer.
 
@@ -82,12 +94,15 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool =
             for batch in batches:
                 batch = batch.sort_values("position", kind="stable")
                 places = batch["position"].to_numpy()
-                scores = wanted @ _unit(np.array(batch["vector"].tolist(), float)).T
-                if not_self:
-                    scores[np.equal.outer(np.array(names, dtype=places.dtype), places)] = -np.inf
-                best = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                out = pd.DataFrame({"query": np.repeat(np.array(names), best.shape[1]), "position": places[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
-                yield out[out["score"] > -np.inf]
+                units = _unit(np.array(batch["vector"].tolist(), float)).T
+                for first in range(0, len(names), AT_ONCE):
+                    own = np.array(names[first : first + AT_ONCE])
+                    scores = wanted[first : first + AT_ONCE] @ units
+                    if not_self:
+                        scores[np.equal.outer(own.astype(places.dtype), places)] = -np.inf
+                    row, column = best_of_rows(scores, k)
+                    out = pd.DataFrame({"query": own[row], "position": places[column], "score": scores[row, column]})
+                    yield out[out["score"] > -np.inf]
 
         found = found.unionByName(rows.mapInPandas(nearest, schema))
     return ranked(found, ["query"], "score", ["position"]).where(F.col("rank") <= k)

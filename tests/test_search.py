@@ -8,6 +8,15 @@ from pageloom.functions import vectors
 from pageloom.operators import embedders, readers, routing, search
 
 
+def test_best_of_rows_keeps_the_smaller_column_among_equals():
+    scores = np.array([[1.0, 3, 3, 2, 3], [0, 0, 0, 0, 0], [5, 4, 3, 2, 1]])
+    for k in (1, 2, 4, 5, 9):
+        row, column = search.best_of_rows(scores, k)
+        for i, line in enumerate(scores):
+            want = sorted(range(5), key=lambda j: (-line[j], j))[:k]
+            assert column[row == i].tolist() == want
+
+
 def test_normalisation_and_product(spark):
     row = spark.range(1).select(vectors.l2_normalize(F.array(F.lit(3.0), F.lit(4.0))).alias("v"), vectors.l2_normalize(F.array(F.lit(0.0), F.lit(0.0))).alias("z"), vectors.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(4.0))).alias("d")).first()
     assert row.v == [0.6, 0.8] and row.z == [0.0, 0.0] and row.d == 11.0
