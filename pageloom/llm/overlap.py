@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.folding import UNSPACED, digits_of, distance, fold, letters_of
+from pageloom.llm.folding import UNSPACED, digits_of, distance, letters_of
 from pageloom.llm.lookalike import LookalikeClasses, fit
 from pageloom.session import durable
 
