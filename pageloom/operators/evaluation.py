@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.functions.answers import answer_containment, exact_match, lexical_support, list_item_recall, token_f1
-from pageloom.functions.text import clean_text, is_refusal
+from pageloom.functions.text import is_refusal
 from pageloom.operators import chunking, readers, retrieval, routing
 from pageloom.operators.embedders import Embedder
 from pageloom.session import durable

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores that running sums are split into.
+RANGES = 4096
+
+
 def rate(condition: Column) -> Column:
     """Share of rows with a true condition, as an aggregate."""
     return F.avg(condition.cast("double"))
@@ -56,8 +60,15 @@ def grouped_auroc(df: DataFrame, by: list[str], score: str, answerable: str) ->
     """
     rows = df.where(F.col(score).isNotNull() & F.col(answerable).isNotNull())
     counts = rows.groupBy(*by, score).agg(F.count_if(F.col(answerable)).alias("p"), F.count_if(~F.col(answerable)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = counts.withColumn("w", F.col("p") * (below + F.col("n") / 2))
+    # running sums first over ranges of scores, then inside each range, so no group is summed in one task
+    ends = counts.groupBy(*by).agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    ranged = counts.join(ends, by).withColumn("_range", F.when(F.col("_high") > F.col("_low"), F.floor((F.col(score) - F.col("_low")) / (F.col("_high") - F.col("_low")) * (RANGES - 1))).otherwise(0))
+    held = ranged.groupBy(*by, "_range").agg(F.sum("n").alias("_held"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.select(*by, "_range", F.coalesce(F.sum("_held").over(earlier), F.lit(0)).alias("_offset"))
+    inside = Window.partitionBy(*by, "_range").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("_offset") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    wins = ranged.join(offsets, [*by, "_range"]).withColumn("w", F.col("p") * (below + F.col("n") / 2))
     return wins.groupBy(*by).agg(F.try_divide(F.sum("w"), (F.sum("p") * F.sum("n")).cast("double")).alias("auroc"))
 
 

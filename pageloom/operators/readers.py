@@ -211,7 +211,13 @@ def run_reader(tasks: DataFrame, make_reader: Callable[[], Reader]) -> DataFrame
     return tasks.mapInPandas(answered, f"{schema}, {OUTPUT}")
 
 
-def packed_context(chunks: DataFrame, keys: list[str], order: str, tokens: Column, budget: int) -> DataFrame:
-    """The leading chunks of each group whose token counts add up to at most the budget, for counters that add up."""
-    cost = F.sum(tokens).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return chunks.withColumn("tokens_so_far", cost).where(F.col("tokens_so_far") <= budget)
+def packed_context(chunks: DataFrame, keys: list[str], order: list[str], tokens: Column, budget: int) -> DataFrame:
+    """The leading chunks of each group, with their ``place``, whose token counts add up to at most the budget.
+
+    For counters that add up and count at least 1 a chunk: no more than ``budget`` chunks can fit, and a
+    group, however large, is cut to these before and after the shuffle.
+    """
+    ordered = Window.partitionBy(*keys).orderBy(*order)
+    leading = chunks.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= budget)
+    cost = F.sum(tokens).over(Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
+    return leading.withColumn("tokens_so_far", cost).where(F.col("tokens_so_far") <= budget)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.functions import answers, text, vectors
@@ -241,8 +241,7 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each chunked page, the leading chunks within a budget of 200 words, as a numbered context."""
     clean = table(spark, sf_dir, "document_chunks").where("text is not null").select("source", "page_number", "chunk_index", "chunk_row_id", text.clean_text(F.col("text")).alias("text")).where("text <> ''")
-    ordered = clean.withColumn("place", F.row_number().over(Window.partitionBy("source", "page_number").orderBy("chunk_index", "chunk_row_id")))
-    fitted = readers.packed_context(ordered, ["source", "page_number"], "place", F.size(F.split("text", " ")), 200)
+    fitted = readers.packed_context(clean, ["source", "page_number"], ["chunk_index", "chunk_row_id"], F.size(F.split("text", " ")), 200)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
     return fitted.groupBy("source", "page_number").agg(F.count("*").cast("int").alias("chunks"), text.format_context(listed).alias("context"))
 
