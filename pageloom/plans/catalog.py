@@ -11,14 +11,14 @@ from pageloom.functions import answers, text, vectors
 from pageloom.operators import chunking, evaluation, rates, readers, retrieval, routing, search, validation
 from pageloom.operators.embedders import hashing_embedder
 from pageloom.plans import oracle
-from pageloom.session import durable, table
+from pageloom.session import durable, spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, status, rank, chunk_id, score): every question searched among the chunks of all pages, and routed."""
-    pages = table(spark, sf_dir, "page_data")
+    pages = spread(table(spark, sf_dir, "page_data"))
     chunks = chunking.page_chunks(pages, keep=["page_id"])
     index = durable(routing.build_index(chunks, hashing_embedder(), ["page_id", "chunk_index"]))
     asked = table(spark, sf_dir, "questions").select(F.col("id").alias("query"), "question")
@@ -31,21 +31,21 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "page_data").select("page_id", text.clean_text(F.col("text")).alias("clean"))
+    return spread(table(spark, sf_dir, "page_data")).select("page_id", text.clean_text(F.col("text")).alias("clean"))
 
 
 def page_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = table(spark, sf_dir, "page_data").select("page_id", text.clean_text(F.col("text")).alias("clean"))
+    clean = spread(table(spark, sf_dir, "page_data")).select("page_id", text.clean_text(F.col("text")).alias("clean"))
     found = clean.select("page_id", chunking.split_sentences(F.col("clean")).alias("s"))
     return found.select("page_id", F.posexplode("s").alias("sentence_index", "sentence"))
 
 
 def chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chunking.page_chunks(table(spark, sf_dir, "page_data"), keep=["page_id"])
+    return chunking.page_chunks(spread(table(spark, sf_dir, "page_data")), keep=["page_id"])
 
 
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = chunking.page_chunks(table(spark, sf_dir, "page_data"))
+    chunks = chunking.page_chunks(spread(table(spark, sf_dir, "page_data")))
     return chunks.groupBy(text.base_name(F.col("source")).alias("file")).agg(F.count("*").alias("chunks"), F.countDistinct("page_number").alias("pages"), F.max(F.length("text")).alias("longest"))
 
 
@@ -153,7 +153,7 @@ def best_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     passages = _passages(spark, sf_dir)
-    pairs = retrieval.relevant_pairs(passages, table(spark, sf_dir, "document_chunks"))
+    pairs = retrieval.relevant_pairs(passages, spread(table(spark, sf_dir, "document_chunks")))
     return pairs.select("id", "passage_index", "chunk_row_id")
 
 
@@ -162,14 +162,14 @@ def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = retrieval.gold_chunks(_passages(spark, sf_dir), table(spark, sf_dir, "document_chunks"))
+    gold = retrieval.gold_chunks(_passages(spark, sf_dir), spread(table(spark, sf_dir, "document_chunks")))
     context = retrieval.gold_context(gold)
     return context.select("id", F.array_join("context", ",").alias("context"), F.col("error").isNotNull().alias("failed"))
 
 
 def evidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each passage: unknown file, no such page, no text, or on how many scans of its page it stands."""
-    pages = table(spark, sf_dir, "page_data").select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), text.clean_text(F.col("text")).alias("page_text"))
+    pages = spread(table(spark, sf_dir, "page_data")).select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), text.clean_text(F.col("text")).alias("page_text"))
     passages = _passages(spark, sf_dir)
     files = pages.select("file").distinct().withColumn("known", F.lit(True))
     joined = passages.join(files, "file", "left").join(pages.withColumn("there", F.lit(True)), ["file", "page"], "left")
@@ -180,13 +180,13 @@ def evidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "page_data").select(text.clean_text(F.col("text")).alias("text"))
+    pages = spread(table(spark, sf_dir, "page_data")).select(text.clean_text(F.col("text")).alias("text"))
     return retrieval.corpus_occurrences(_passages(spark, sf_dir), pages)
 
 
 def evidence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest sentence of its page that holds each passage; null where it spans several."""
-    pages = table(spark, sf_dir, "page_data").select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), text.clean_text(F.col("text")).alias("page_text"))
+    pages = spread(table(spark, sf_dir, "page_data")).select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), text.clean_text(F.col("text")).alias("page_text"))
     cut = pages.select("file", "page", "page_text", chunking.split_sentences(F.col("page_text")).alias("sentences"))
     joined = _passages(spark, sf_dir).where("passage <> ''").join(cut, ["file", "page"]).where(F.contains("page_text", "passage"))
     length = F.array_min(F.transform(F.filter("sentences", lambda s: F.contains(s, F.col("passage"))), F.length))
@@ -217,7 +217,7 @@ def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = table(spark, sf_dir, "page_data").where("text is not null").select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), "text", "page_id")
+    scans = spread(table(spark, sf_dir, "page_data")).where("text is not null").select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), "text", "page_id")
     latest = scans.groupBy("file", "page").agg(F.max_by("text", "page_id").alias("text"))
     return validation.dataset_problems(table(spark, sf_dir, "questions"), latest)
 
@@ -240,7 +240,7 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def packed_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each chunked page, the leading chunks within a budget of 200 words, as a numbered context."""
-    clean = table(spark, sf_dir, "document_chunks").where("text is not null").select("source", "page_number", "chunk_index", "chunk_row_id", text.clean_text(F.col("text")).alias("text")).where("text <> ''")
+    clean = spread(table(spark, sf_dir, "document_chunks")).where("text is not null").select("source", "page_number", "chunk_index", "chunk_row_id", text.clean_text(F.col("text")).alias("text")).where("text <> ''")
     fitted = readers.packed_context(clean, ["source", "page_number"], ["chunk_index", "chunk_row_id"], F.size(F.split("text", " ")), 200)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
     return fitted.groupBy("source", "page_number").agg(F.count("*").cast("int").alias("chunks"), text.format_context(listed).alias("context"))
@@ -259,7 +259,7 @@ def reader_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold = first.where(F.col("mode") == evaluation.GOLD).select("question_id", "reader", F.col("r").alias("gold"))
     every = questions.select("question_id", "answerable").withColumn("reader", F.explode(F.array(F.lit("extractive"), F.lit("generative"))))
     passages = _passages(spark, sf_dir)
-    chunks = table(spark, sf_dir, "document_chunks")
+    chunks = spread(table(spark, sf_dir, "document_chunks"))
     indexed = chunks.select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page")).distinct()
     routed = passages.join(indexed, ["file", "page"], "left_semi").select(F.col("id").alias("question_id")).distinct().withColumn("supported", F.lit(True))
     holding = retrieval.relevant_pairs(passages, chunks).select("id", "passage_index").distinct().withColumn("held", F.lit(True))
@@ -277,7 +277,7 @@ def reader_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run with the stand-in embedder and reader: outcome and diagnosis of each question."""
     questions = table(spark, sf_dir, "questions").dropDuplicates(["id"])
-    pages = table(spark, sf_dir, "page_data").where("text is not null").groupBy("source", "page_number").agg(F.max_by("text", "page_id").alias("text"))
+    pages = spread(table(spark, sf_dir, "page_data")).where("text is not null").groupBy("source", "page_number").agg(F.max_by("text", "page_id").alias("text"))
     records = evaluation.run_evaluation(questions, pages, hashing_embedder(), {"overlap": (readers.overlap_reader, False)}, threshold=0.3)
     return records.select("id", "routing.status", "retrieval.hit_any_at_5", F.col("end_to_end")[0]["outcome"].alias("outcome"), F.col("diagnosis")["overlap"].alias("diagnosis"))
 

@@ -27,6 +27,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores, where a table is so small that it is read in fewer parts; else the table as it is.
+
+    A Parquet row group cannot be split, so a small file would keep a Python hop on one core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a checkpoint in the folder that all executors share.
 
