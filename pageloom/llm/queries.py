@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import leaks, lookalike, overlap, pieces, quality, sentences, splits, tokens
-from pageloom.session import table
+from pageloom.session import spread, table
 
 KEYS = {"page_data": "page_id", "document_chunks": "chunk_row_id", "evidence": "evidence_id"}
 
 
 def _rows(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """(table_name, row_id, text) of several tables."""
-    parts = [table(spark, sf_dir, x).select(F.lit(x).alias("table_name"), F.col(KEYS[x]).alias("row_id"), "text") for x in names]
+    parts = [spread(table(spark, sf_dir, x)).select(F.lit(x).alias("table_name"), F.col(KEYS[x]).alias("row_id"), "text") for x in names]
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -74,7 +74,7 @@ def p5_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.encode_texts(table(spark, sf_dir, "documents"))
+    return tokens.encode_texts(spread(table(spark, sf_dir, "documents")))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,15 +82,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "heldout_items"))
+    return leaks.leaked_items(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "heldout_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), keep=["doc_id"]).where("kind <> 'prose'").select("doc_id")
+    return quality.classify(spread(table(spark, sf_dir, "documents")), keep=["doc_id"]).where("kind <> 'prose'").select("doc_id")
 
 
 def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", *quality.STATISTICS, "kind", "prose_probability")
+    return quality.classify(spread(table(spark, sf_dir, "documents")), keep=["doc_id"]).select("doc_id", *quality.STATISTICS, "kind", "prose_probability")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
