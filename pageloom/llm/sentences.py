@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pageloom.llm.lookalike import LETTER_CLASSES
 
 # Abbreviations that stand before a name and never end a sentence.
-BEFORE_NAMES = "dr mr mrs ms messrs mme mlle prof st sr sra srta hr fr herr gen col capt lt sgt rev hon mt ft dra ing dipl κ κα κος δρ डॉ श्री श्रीमती г-н г-жа им акад проф д-р".split()
+BEFORE_NAMES = "dr mr mrs ms messrs mme mlle prof st sr sra srta hr fr herr gen col capt lt sgt rev hon mt ft dra ing dipl κ κα κος δρ डॉ श्री श्रीमती г-н г-жа им акад проф д-р أ د م".split()
 # Abbreviations that stand before a number; before a capital letter they end a sentence.
 BEFORE_NUMBERS = "no nos nr núm vol fig figs p pp pg ch sec sect art arts abs abb bd pág págs cap eq ref col tab n° стр рис гл табл см п пп ст № σελ εικ αρ पृ सं approx ca env aprox vs v ed".split()
 # Abbreviations inside sentences; they end one only before a capital letter.
@@ -100,7 +100,7 @@ def _stop_ends(text: str, start: int, begin: int, after: str, gap: bool) -> bool
     if "number" in labels and (digit or not upper):
         return False
     if len(word) == 1 and word.isalpha():  # an initial, or one of several shortened words in a row
-        if unicodedata.normalize("NFKC", SKIP.sub("", text[at:start])).isupper() or len(after) > 1 and after[1] == ".":
+        if not unicodedata.normalize("NFKC", SKIP.sub("", text[at:start])).islower() or len(after) > 1 and after[1] == ".":
             return False
     if digit and word.isdigit() and len(word) < 3 and at == begin:
         return False

@@ -25,6 +25,7 @@ CASES = [
     ("传感器关闭。标签写着“小心！”他走了。完", ["传感器关闭。", "标签写着“小心！”他走了。", "完"]),
     ("ラベルには「開けるな！」とある。誰だ？", ["ラベルには「開けるな！」とある。", "誰だ？"]),
     ("पंप बंद है। क्या यह बंद है? हाँ।", ["पंप बंद है।", "क्या यह बंद है?", "हाँ।"]),
+    ("المضخة مغلقة. أ. Low وقع على AB12. انتهى", ["المضخة مغلقة.", "أ. Low وقع على AB12.", "انتهى"]),
     ("من فتح الوحدة؟ السجل مغلق.", ["من فتح الوحدة؟", "السجل مغلق."]),
     ("เครื่องปิด ทีมเปิดหน่วย AB12 เสมอ จบ", ["เครื่องปิด", "ทีมเปิดหน่วย AB12 เสมอ", "จบ"]),
 ]
