@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from pageloom.functions.vectors import dot, l2_normalize, ranked
 
 TOP_K = 5
+#: Query vectors that the column form compares itself.
+FEW = 256
 #: Query vectors of one block, and of one matrix product.
 BLOCK, AT_ONCE = 4096, 256
 
@@ -36,8 +38,13 @@ def checked_vectors(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
 
 
 def top_k_columns(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool = False) -> DataFrame:
-    """(query, position, score, rank) in column functions only, for small query sets; ``index`` has position and vector, ``queries`` query and vector."""
+    """(query, position, score, rank) in column functions only; ``index`` has position and vector, ``queries`` query and vector.
+
+    Up to FEW queries, which are counted first, are sent to every task; more of them take the way of ``top_k``.
+    """
     check_k(k)
+    if queries.limit(FEW + 1).count() > FEW:
+        return top_k(index, queries, k, not_self)
     left = index.where("position is not null and vector is not null").select("position", l2_normalize(F.col("vector")).alias("_v"))
     right = queries.where("query is not null and vector is not null").select("query", l2_normalize(F.col("vector")).alias("_q"))
     pairs = left.join(F.broadcast(right), F.col("position") != F.col("query") if not_self else F.lit(True))

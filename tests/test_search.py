@@ -41,6 +41,12 @@ def test_both_searches_equal_numpy_with_ties_zeros_and_nulls(spark, block):
     assert few.count() == 3
     assert search.top_k(index.limit(0), queries, 3).count() == 0 and search.top_k(index, queries.limit(0), 3).count() == 0
     slow = {(r.query, r["rank"]): round(r.score, 9) for r in search.top_k_columns(index.where("position < 60"), queries, 3, not_self=True).collect()}
+    search.FEW, few = 2, search.FEW
+    try:
+        many = {(r.query, r["rank"]): round(r.score, 9) for r in search.top_k_columns(index.where("position < 60"), queries, 3, not_self=True).collect()}
+    finally:
+        search.FEW = few
+    assert many == slow
     fast = {(r.query, r["rank"]): round(r.score, 9) for r in search.top_k(index, queries, 3, not_self=True).collect()}
     assert slow == fast
 
