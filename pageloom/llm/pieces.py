@@ -166,7 +166,7 @@ def pieces_column(text: Column, limit: int = LIMIT, overlap: int = OVERLAP) -> C
         for batch in batches:
             yield pd.Series([split_text(x, limit, overlap) for x in batch], dtype=object)
 
-    return cut(text)
+    return cut.asNondeterministic()(text)  # or Catalyst would repeat it in the filter of the explode
 
 
 def split_rows(rows: DataFrame, id_column: str, text_column: str, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
