@@ -258,6 +258,9 @@ def _ends(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([sentence_ends(x) for x in batch], dtype=object)
 
 
+_ends = _ends.asNondeterministic()  # or Catalyst would repeat it in the filter of the explode
+
+
 def ends_column(text: Column) -> Column:
     """array<int> of unit ends of a string column; an empty array for null, empty and blank texts."""
     return _ends(text)
