@@ -192,7 +192,8 @@ def consistent_form(text: Column, classes: LookalikeClasses) -> Column:
         for batch in batches:
             yield pd.Series([rewrite(x) for x in batch], dtype=object)
 
-    return rewritten(text)
+    # told to be nondeterministic, or Catalyst would repeat it in the filters it pushes down
+    return rewritten.asNondeterministic()(text)
 
 
 def _spread(classes: LookalikeClasses):
