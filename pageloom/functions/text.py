@@ -32,6 +32,9 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield batch.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
+nfkc = nfkc.asNondeterministic()  # or Catalyst would repeat it in the filters it pushes down
+
+
 def strip(text: Column) -> Column:
     """Without blanks of any kind at the ends (Spark's trim takes off spaces only)."""
     return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
