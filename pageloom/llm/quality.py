@@ -179,7 +179,7 @@ def text_statistics(documents: DataFrame, common: frozenset[str] | None = None)
             yield pd.DataFrame([statistics_of(x, known.value) for x in batch], columns=STATISTICS)
 
     kept = [c for c in documents.columns if c not in STATISTICS and c != "_s"]
-    return documents.withColumn("_s", measured("text")).select(*(f"`{c}`" for c in kept), "_s.*")
+    return documents.withColumn("_s", measured.asNondeterministic()("text")).select(*(f"`{c}`" for c in kept), "_s.*")
 
 
 # Inspected examples of each kind, in the manner of scanned manuals, logs and exports.
@@ -321,5 +321,5 @@ def classify(documents: DataFrame, keep: list[str] | None = None, rounds: int =
         return pd.DataFrame({"kind": by_kind.idxmax(axis=1), "prose_probability": by_kind["prose"]})
 
     kept = [c for c in measured.columns if c not in ("kind", "prose_probability", "_k")]
-    scored = measured.withColumn("_k", decided(*MIXED)).select(*(f"`{c}`" for c in kept), F.when(F.col("n_printed") > 0, F.col("_k.kind")).alias("kind"), F.when(F.col("n_printed") > 0, F.col("_k.prose_probability")).alias("prose_probability"))
+    scored = measured.withColumn("_k", decided.asNondeterministic()(*MIXED)).select(*(f"`{c}`" for c in kept), F.when(F.col("n_printed") > 0, F.col("_k.kind")).alias("kind"), F.when(F.col("n_printed") > 0, F.col("_k.prose_probability")).alias("prose_probability"))
     return scored
