@@ -1,7 +1,8 @@
 """Statistics of each document's text, and a mixture model that tells prose from lists, tables and junk.
 
-The statistics are computed by Spark for every document. Words that are common in the corpus are counted
-over all documents; the most frequent ones, a bounded number, are sent to the tasks. A Gaussian mixture is
+The statistics are computed by Spark for every document. Words are counted over all documents; those that stand
+in a fixed share of the documents of a script or language are common and are sent to the tasks: their number is
+bounded by that share, and the choice is alike at every size. A Gaussian mixture is
 fitted by expectation-maximization on the standardized statistics of all documents, and each component is
 named after the inspected examples that belong to it. What a document mostly consists of is measured by
 the share of its characters in lines of each kind, so mixed documents come out between the pure ones.
@@ -24,8 +25,13 @@ from pageloom.llm.folding import UNSPACED
 from pageloom.llm.lookalike import LETTER_CLASSES
 from pageloom.session import durable
 
-#: Most frequent words that count as common, documents in which one must stand, and rounds of expectation-maximization.
-COMMON, LEAST_DOCUMENTS, ROUNDS = 4000, 3, 12
+#: Share of the documents of its script or language in which a common word stands, documents in which it must stand at all, and rounds of expectation-maximization.
+COMMON_SHARE, LEAST_DOCUMENTS, ROUNDS = 0.002, 3, 12
+#: Letters of one script group as in WORDS_JVM; a document belongs to the first that holds half of its letters.
+SCRIPTS = {
+    "latin": r"\p{IsLatin}", "han": r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}", "cyrillic": r"\p{IsCyrillic}", "thai": r"\p{IsThai}", "greek": r"\p{IsGreek}", "devanagari": r"\p{IsDevanagari}",
+    "arabic": r"\p{IsArabic}", "hangul": r"\p{IsHangul}", "hebrew": r"\p{IsHebrew}", "bengali": r"\p{IsBengali}", "tamil": r"\p{IsTamil}", "telugu": r"\p{IsTelugu}", "armenian": r"\p{IsArmenian}", "georgian": r"\p{IsGeorgian}",
+}
 FEATURES = ["other_share", "list_share", "table_share", "noise_share", "loose_share", "sentence_rate", "line_end_share", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "variety"]
 STATISTICS = ["n_words", "n_lines", "n_printed", *FEATURES]
 
@@ -156,17 +162,36 @@ def words_column(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORDS_JVM), F.lit(0))
 
 
-def common_words(documents: DataFrame, most: int = COMMON) -> DataFrame:
-    """(word): the words that occur in most documents, LEAST_DOCUMENTS at least; at most ``most`` of them, ties by word."""
-    words = documents.where("text is not null").select(F.explode(F.array_distinct(words_column(F.col("text")))).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCUMENTS).orderBy(F.desc("n"), "word").limit(most).select("word")
+def script_column(text: Column) -> Column:
+    """Script group that holds half of a text's letters, "mixed" where none does."""
+    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
+    script = F.when(~text.rlike(r"[^\x00-\x7f]"), "latin")
+    for name, own in SCRIPTS.items():
+        script = script.when(2 * F.length(F.regexp_replace(text, f"[^{own}]+", "")) >= letters, name)
+    return script.otherwise("mixed")
+
+
+def common_words(documents: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
+    """(word): the words that stand in a share of the documents of one script, or of one language where ``lang`` names it, and in LEAST_DOCUMENTS of them.
+
+    At most the mean number of different words in a document, divided by the share, for each script and language.
+    """
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    held = documents.where("text is not null").select(F.array_distinct(words_column(F.col("text"))).alias("words"), script_column(F.col("text")).alias("script"), lang.alias("lang")).where(F.size("words") > 0)
+    # the empty word stands in every document and counts those of each group
+    words = held.select(F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"), "script", "lang").groupBy("word", "script", "lang").agg(F.count("*").alias("n"))
+    named = F.when(F.col("lang").isNotNull() & ~F.lower(F.trim("lang")).isin("", "und"), F.concat(F.lit("lang "), F.lower(F.trim("lang"))))
+    groups = words.select("word", "n", F.explode(F.array_compact(F.array(F.concat(F.lit("script "), F.col("script")), named))).alias("group"))
+    counted = durable(groups.groupBy("group", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_DOCUMENTS) | (F.col("word") == "")))
+    sizes = counted.where("word = ''").select("group", F.col("n").alias("documents"))
+    return counted.where("word <> ''").join(sizes, "group").where(F.col("n") >= share * F.col("documents")).select("word").distinct()
 
 
 def text_statistics(documents: DataFrame, common: frozenset[str] | None = None) -> DataFrame:
     """Every row with its columns and the STATISTICS beside them; statistics replace columns of the same name.
 
     Statistics of null, empty and blank texts are 0. ``common`` is a bounded set of common words, by default
-    the COMMON most frequent ones of the table; it is all that reaches the driver.
+    those of the table (`common_words`); it is all that reaches the driver.
     """
     if common is None:
         common = frozenset(r.word for r in common_words(documents).collect())

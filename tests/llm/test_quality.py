@@ -52,6 +52,16 @@ def test_columns_repeats_and_empty_tables(spark):
     assert [r.kind for r in classify(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [None]
 
 
+def test_common_words_are_a_share_of_their_script_or_language_at_every_size(spark):
+    many = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(4500))
+    rows = [(many, "en")] * 6 + [("η αντλία", None)] * 4 + [("der wagen", "de")] * 3
+    small = {r.word for r in common_words(spark.createDataFrame(rows, "text string, lang string")).collect()}
+    assert {*many.split(), "η", "αντλία", "der", "wagen"} == small  # no rank over all scripts cuts the less frequent ones
+    rows = [("the pump", "en")] * 1990 + [("the qzx", "und")] * 3 + [("le quai", "fr")] * 7
+    large = {r.word for r in common_words(spark.createDataFrame(rows, "text string, lang string")).collect()}
+    assert large == {"the", "pump", "le", "quai"}  # three documents in two thousand are too few
+
+
 def test_examples_are_what_they_are_called():
     common = frozenset("the pump stops when tank is empty check valve before you start it again and note time in log".split())
     for kind, text in EXAMPLES[:1] + tuple(x for x in EXAMPLES if x[0] in ("list", "table")):
