@@ -4,12 +4,14 @@ A shard is a bounded run of documents of one partition, as words (single charact
 blanks). Its suffix array is sorted by prefix doubling, its Burrows-Wheeler transform kept as a wavelet
 matrix. Phrases of the evaluation items, sent to all shards in blocks of bounded size, are searched
 backwards all at once through wavelet ranks; occurrences are located by stepping to sampled suffix
-positions. Spans of one item at one place in a document are merged, and the merged place is aligned word
-by word with the item.
+positions. Hits of one item at one place in a document are merged, and every merged place is aligned word
+by word with the item, however few its hits are, unless it lacks half of the item's words in any order.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -18,15 +20,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.folding import words_of
+from pageloom.llm.folding import UNSPACED, words_of
 from pageloom.llm.lookalike import LookalikeClasses, fit
 
 #: Words in a phrase, words between sampled suffix positions, words in a shard, characters of items sent out at once.
 PHRASE, SAMPLED, SHARD, BLOCK_CHARS = 5, 16, 300_000, 4_000_000
-#: Least share of an item that counts as held; least share covered by merged spans to be aligned at all.
-HELD, COVERED = 0.5, 0.25
-#: Words by which the place of a span may drift from the item's own order (a page header, dropped words).
+#: Words below which an item is searched by shorter phrases, and their words: half of it, a few words changed, still holds one.
+SHORTER = ((25, 3), (60, 4))
+#: Least share of an item that counts as held.
+HELD = 0.5
+#: Where unchanged runs of PHRASE words hold less than the first share of an item, the second share of the words between the ends of its held half must be unchanged.
+COVERED, UNCHANGED = 0.25, 2 / 3
+#: Words by which the place of a hit may drift from the item's own order (a page header, dropped words).
 DRIFT = 40
+#: Characters that stand for a word of DRIFT in scripts without blanks.
+LETTERS = {"thai": 4, "han": 2}
+UNSPACED_WORD = re.compile(f"[{UNSPACED}]")
 
 
 class WaveletMatrix:
@@ -121,20 +130,44 @@ class FMIndex:
         return places
 
 
+def _phrase_words(words: list[str]) -> int:
+    """Words in the phrases by which an item is searched."""
+    return next((size for below, size in SHORTER if len(words) < below), PHRASE)
+
+
+def _drift(words: list[str]) -> float:
+    """DRIFT in words as `words_of` counts them: characters in scripts without blanks."""
+    weight = sum(LETTERS["thai"] if "\u0e00" <= x <= "\u0e7f" else LETTERS["han"] if len(x) == 1 and UNSPACED_WORD.match(x) else 1 for x in words)
+    return DRIFT * weight / max(1, len(words))
+
+
+class _Phrases:
+    """All different phrases of one length, and the items and places they stand at."""
+
+    def __init__(self, words: list[list[str]], chosen: list[int], size: int) -> None:
+        phrases: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        for item in chosen:
+            for at in range(len(words[item]) - size + 1):
+                phrases.setdefault(tuple(words[item][at : at + size]), []).append((item, at))
+        self.phrases = np.array([*phrases], dtype=object).reshape(-1, size)
+        self.starts = np.concatenate(([0], np.cumsum([len(x) for x in phrases.values()]))).astype(np.int64)
+        places = np.array([x for group in phrases.values() for x in group], np.int64).reshape(-1, 2)
+        self.item, self.at = places[:, 0], places[:, 1]
+
+
 class _Items:
     """Evaluation items of one block as words, with every phrase they hold."""
 
     def __init__(self, rows: list[tuple[int, str]], rewrite) -> None:
         self.ids = [x for x, _ in rows]
         self.words = [words_of(rewrite(x)) for _, x in rows]
-        phrases: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+        self.counts = [Counter(x) for x in self.words]
+        self.drift = np.array([_drift(x) for x in self.words])
+        chosen: dict[int, list[int]] = {}
         for item, words in enumerate(self.words):
-            for at in range(len(words) - PHRASE + 1):
-                phrases.setdefault(tuple(words[at : at + PHRASE]), []).append((item, at))
-        self.phrases = np.array([*phrases], dtype=object).reshape(-1, PHRASE)
-        self.starts = np.concatenate(([0], np.cumsum([len(x) for x in phrases.values()]))).astype(np.int64)
-        places = np.array([x for group in phrases.values() for x in group], np.int64).reshape(-1, 2)
-        self.item, self.at = places[:, 0], places[:, 1]
+            if len(words) >= PHRASE:
+                chosen.setdefault(_phrase_words(words), []).append(item)
+        self.phrases = [_Phrases(self.words, found, size) for size, found in chosen.items()]
         self.short = [i for i, x in enumerate(self.words) if 0 < len(x) < PHRASE]
 
 
@@ -161,23 +194,25 @@ def _occurrences(shard: list[tuple[int, list[str]]], items: _Items) -> tuple[np.
         starts.append(len(text))
         text.extend(codes.setdefault(x, len(codes) + 2) for x in words)
         text.append(1)
-    none = (np.zeros(0, np.int64),) * 4
-    known = np.array([[codes.get(x, 0) for x in phrase] for phrase in items.phrases], np.int64).reshape(-1, PHRASE)
-    there = np.flatnonzero((known > 0).all(axis=1)) if len(known) else np.zeros(0, np.int64)
-    if not len(there):
-        return none
-    index = FMIndex(np.array(text, np.int64))
-    low, high = index.search(known[there])
-    counts = high - low
-    rows = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-    places = index.locate(rows)
-    phrase = there[np.repeat(np.arange(len(there)), counts)]
-    each = items.starts[phrase + 1] - items.starts[phrase]
-    flat = np.repeat(items.starts[phrase] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
-    places = np.repeat(places, each)
     begins = np.array(starts, np.int64)
-    document = np.searchsorted(begins, places, side="right") - 1
-    return document, places - begins[document], items.item[flat], items.at[flat]
+    index, parts = None, [(np.zeros(0, np.int64),) * 4]
+    for own in items.phrases:
+        known = np.array([[codes.get(x, 0) for x in phrase] for phrase in own.phrases], np.int64).reshape(own.phrases.shape)
+        there = np.flatnonzero((known > 0).all(axis=1))
+        if not len(there):
+            continue
+        index = index or FMIndex(np.array(text, np.int64))
+        low, high = index.search(known[there])
+        counts = high - low
+        rows = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        places = index.locate(rows)
+        phrase = there[np.repeat(np.arange(len(there)), counts)]
+        each = own.starts[phrase + 1] - own.starts[phrase]
+        flat = np.repeat(own.starts[phrase] - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(each.sum())
+        places = np.repeat(places, each)
+        document = np.searchsorted(begins, places, side="right") - 1
+        parts.append((document, places - begins[document], own.item[flat], own.at[flat]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
 
 
 def _digit_words(words: list[str]) -> set[int]:
@@ -187,7 +222,7 @@ def _digit_words(words: list[str]) -> set[int]:
 def aligned_share(item: list[str], window: list[str]) -> float:
     """Share of an item's words that stand in a window in order, in runs of words; 0 where most of its numbers and codes differ."""
     blocks = [b for b in SequenceMatcher(None, item, window, autojunk=False).get_matching_blocks() if b.size]
-    long = [b for b in blocks if b.size >= min(4, len(item))]
+    long = [b for b in blocks if b.size >= min(4, _phrase_words(item), len(item))]
     if not long:
         return 0.0
     pairs = [b for b in blocks if b.size >= 2 or long[0].a <= b.a < long[-1].a]
@@ -197,31 +232,48 @@ def aligned_share(item: list[str], window: list[str]) -> float:
     matched = {i for b in blocks for i in range(b.a, b.a + b.size)}
     if facts and len(facts & matched) * 3 < len(facts) * 2:
         return 0.0
+    if sum(b.size for b in blocks if b.size >= PHRASE) < COVERED * len(item) and not _few_changed(blocks, len(item)):
+        return 0.0
     return len(matched) / len(item)
 
 
+def _few_changed(blocks: list, words: int) -> bool:
+    """Whether some successive runs hold half of an item with few words changed or left out among them, in one place."""
+    for i, first in enumerate(blocks):
+        matched = 0
+        for last in blocks[i:]:
+            matched += last.size
+            span = last.a + last.size - first.a
+            if matched >= max(HELD * words, min(PHRASE, words)) and matched >= UNCHANGED * span and last.b + last.size - first.b <= span + DRIFT:
+                return True
+    return False
+
+
 def _leaks(shard: list[tuple[int, list[str]]], items: _Items) -> Iterator[tuple[int, int, float, int, int]]:
     document, place, item, at = _occurrences(shard, items)
     if len(document):
         shift = place - at
         order = np.lexsort((shift, item, document))
         document, place, item, at, shift = (x[order] for x in (document, place, item, at, shift))
-        cut = np.flatnonzero((document[1:] != document[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > DRIFT)) + 1
-        edges = np.concatenate(([0], cut, [len(document)]))
+        apart = (document[1:] != document[:-1]) | (item[1:] != item[:-1])
         best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        for start, stop in zip(edges[:-1], edges[1:]):
-            words = items.words[item[start]]
-            held = np.zeros(len(words) + 1, np.int32)
-            np.add.at(held, at[start:stop], 1)
-            np.add.at(held, at[start:stop] + PHRASE, -1)
-            if np.count_nonzero(np.cumsum(held)[:-1]) < COVERED * len(words):
+        places: set[tuple[int, int, int]] = set()
+        # also by DRIFT alone: a place too wide may hold like-worded text beside the item
+        for drift in (np.full(len(items.drift), float(DRIFT)), items.drift):
+            cut = np.flatnonzero(apart | (shift[1:] - shift[:-1] > drift[item[1:]])) + 1
+            edges = np.concatenate(([0], cut, [len(document)])).tolist()
+            places.update((start, stop, int(drift[item[start]]) // 4) for start, stop in zip(edges[:-1], edges[1:]))
+        for start, stop, margin in sorted(places):
+            words, text = items.words[item[start]], shard[document[start]][1]
+            begin = max(0, int(shift[start]) - margin)
+            end = min(len(text), int(shift[stop - 1]) + len(words) + margin)
+            # words in any order are no fewer than words in order
+            there = Counter(text[begin:end])
+            if sum(min(n, there[x]) for x, n in items.counts[item[start]].items()) < max(HELD * len(words), PHRASE):
                 continue
-            text = shard[document[start]][1]
-            begin = max(0, int(shift[start]) - DRIFT // 4)
-            end = min(len(text), int(shift[stop - 1]) + len(words) + DRIFT // 4)
             share = aligned_share(words, text[begin:end])
             key = int(document[start]), int(item[start])
-            if share >= HELD and share > best.get(key, (0.0,))[0]:
+            if share >= HELD and round(share * len(words)) >= PHRASE and share > best.get(key, (0.0,))[0]:
                 best[key] = share, begin, end
         for (doc, found), (share, begin, end) in best.items():
             yield shard[doc][0], items.ids[found], share, begin, end

@@ -56,6 +56,31 @@ def test_copies_parts_and_changes_are_found_and_likenesses_are_not(spark):
     assert found == want | {(502, 100)}
 
 
+def test_short_items_and_changed_words_lose_nothing(spark):
+    rng = random.Random(9)
+    fresh = lambda n: ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(n)]
+    items, docs, want = [], [], set()
+    for size, held, changes in ((14, 8, (3,)), (14, 9, (3, 6)), (14, 14, (4, 9)), (14, 14, (3, 7, 11)), (20, 12, (4, 8)), (40, 24, (4, 9, 14, 19)), (40, 25, (4, 8, 12, 16, 20)), (14, 6, ()), (40, 18, ())):
+        words = fresh(size)
+        part = [fresh(1)[0] if i in changes else x for i, x in enumerate(words[:held])]
+        items.append((len(items), " ".join(words)))
+        docs.append((len(docs), " ".join(fresh(30) + part + fresh(30))))
+        want |= {(docs[-1][0], items[-1][0])} if held - len(changes) >= size / 2 else set()
+    df, asked = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaked_items(df, asked).collect()} == want and len(want) == 7
+
+
+def test_like_words_scattered_over_a_text_are_no_leak():
+    item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(44)]
+    scattered = [x for at in range(0, 44, 8) for x in item[at : at + 4] + ["other"] * 4]
+    assert leaks.aligned_share(item, scattered) == 0
+    assert leaks.aligned_share(item, ["other"] * 9 + item[:24]) == 24 / 44
+
+
+def test_drift_is_counted_by_script():
+    assert leaks._drift(["pump", "valve"]) == leaks.DRIFT and leaks._drift([*"传感器"]) == 2 * leaks.DRIFT and leaks._drift([*"ผู้ดูแล"]) == 4 * leaks.DRIFT
+
+
 def test_item_blocks_and_small_shards_lose_nothing(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, " ".join(sentence(rng) for _ in range(4))) for i in range(12)]
