@@ -68,10 +68,12 @@ def evaluate(
     if rename[0]:
         pages = pages.withColumn("source", F.when(F.endswith("source", F.lit(rename[0])), F.concat(F.substring_index("source", rename[0], 1), F.lit(rename[1]))).otherwise(F.col("source")))
     pages = durable(pages)
-    problems = validation.dataset_problems(questions, pages.select(base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), "text"))
+    problems = durable(validation.dataset_problems(questions, pages.select(base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), "text")))
     messages = [r.message for r in problems.orderBy("part", "id", "ordinal").limit(20).collect()]
     if messages:
-        raise ValueError("The dataset has problems:\n" + "\n".join(messages))
+        listed = f"{str(output_dir).rstrip('/')}-problems"
+        problems.write.mode("overwrite").json(listed)
+        raise ValueError(f"The dataset has {problems.count()} problems, all of them in {listed}; the first {len(messages)}:\n" + "\n".join(messages))
     chosen = durable(validation.select_questions(questions, split, list(ids) if ids else None))
     checked = time.perf_counter()
     found = durable(evaluation.run_evaluation(chosen, pages, embed or hashing_embedder(), {x: known[x] for x in names}, threshold=threshold))

@@ -23,3 +23,12 @@ def test_command_line(spark, tmp_path):
     assert main([str(good), corpus, "--output-dir", str(tmp_path / "r4"), "--split", "test", *end]) == 1
     assert main([str(good), corpus, "--output-dir", str(tmp_path / "r5"), "--readers", "odd", *end]) == 1
     assert not (tmp_path / "r2").exists()
+
+
+def test_all_problems_of_a_dataset_are_reported(spark, tmp_path, capsys):
+    (tmp_path / "m.txt").write_text(PAGES, encoding="utf-8")
+    (tmp_path / "bad.jsonl").write_text("\n".join(json.dumps(QUESTION | {"id": f"q{i}", "question": f"How long does pump {i} run?", "answers": ["19 years"]}) for i in range(25)), encoding="utf-8")
+    assert main([str(tmp_path / "bad.jsonl"), str(tmp_path / "m.txt"), "--output-dir", str(tmp_path / "run"), "--rename", ".txt", ".pdf"]) == 1
+    said, listed = capsys.readouterr().err, spark.read.json(str(tmp_path / "run-problems"))
+    assert {r.id for r in listed.collect()} == {f"q{i}" for i in range(25)}
+    assert f"{listed.count()} problems" in said and "the first 20" in said and not (tmp_path / "run").exists()
