@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+#: Bytes of a table that is small enough to be spread over all cores.
+SMALL = 256 * 2**20
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, name: str = "pageloom") -> SparkSession:
@@ -28,22 +33,61 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """The same rows over all cores, where a table is so small that it is read in fewer parts; else the table as it is.
+    """The same rows over all cores, where a table is below SMALL bytes and read in fewer parts; else the table as it is.
 
-    A Parquet row group cannot be split, so a small file would keep a Python hop on one core.
+    A Parquet row group cannot be split, so a small file would keep a Python hop on one core. What is
+    shuffled for it is bounded by SMALL, whatever the number of cores.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(cores) if int(size) < SMALL and df.rdd.getNumPartitions() < cores else df
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's ``spark.checkpoint.dir``.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (tests, notebooks on
-    one machine) a temporary folder is used. Never a local checkpoint, so a lost executor loses nothing.
+    Where that is unset, a temporary folder is used on a local master only; a cluster has to name one.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a checkpoint in the shared folder.
+
+    Never a local checkpoint, so a lost executor loses nothing.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+class Written:
+    """A Parquet table in the shared folder that cuts lineage as a checkpoint does, compressed and by column; gone when the session ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.path = f"{shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+    def add(self, df: DataFrame) -> None:
+        """Appends rows."""
+        df.write.mode("append").option("compression", "zstd").parquet(self.path)
+
+    def rows(self, schema: StructType) -> DataFrame:
+        """All rows that were added."""
+        return self.spark.read.schema(schema).parquet(self.path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows, read back from a written table."""
+    table = Written(df.sparkSession)
+    table.add(df)
+    return table.rows(df.schema)
