@@ -2,14 +2,17 @@
 
 A shard is a bounded run of documents of one partition, as words (single characters in scripts without
 blanks). Its suffix array is sorted by prefix doubling, its Burrows-Wheeler transform kept as a wavelet
-matrix. Phrases of the evaluation items, sent to all shards in blocks of bounded size, are searched
+matrix. Phrases of the evaluation items, sent to all shards block by block, are searched
 backwards all at once through wavelet ranks; occurrences are located by stepping to sampled suffix
 positions. Hits of one item at one place in a document are merged, and every merged place is aligned word
-by word with the item, however few its hits are, unless it lacks half of the item's words in any order.
+by word with the item, however few its hits are, unless it lacks what every holder of half an item has:
+a fifth of the item's pairs of neighbouring words, half of its words in any order, and two thirds of the
+numbers and codes of some half.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -19,9 +22,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.llm.folding import UNSPACED, words_of
 from pageloom.llm.lookalike import LookalikeClasses, fit
+from pageloom.session import Written
 
 #: Words in a phrase, words between sampled suffix positions, words in a shard, characters of items sent out at once.
 PHRASE, SAMPLED, SHARD, BLOCK_CHARS = 5, 16, 300_000, 4_000_000
@@ -33,6 +38,11 @@ HELD = 0.5
 COVERED, UNCHANGED = 0.25, 2 / 3
 #: Words by which the place of a hit may drift from the item's own order (a page header, dropped words).
 DRIFT = 40
+#: Least share of an item's pairs of neighbouring words in a place that can hold half of it: runs of PHRASE words that make up COVERED
+#: of the item have 4/5 of them, and so have successive runs of which UNCHANGED is left; one pair less for rounding.
+NEIGHBOURS = COVERED * (PHRASE - 1) / PHRASE
+#: Places that are counted at once.
+AT_ONCE = 20_000
 #: Characters that stand for a word of DRIFT in scripts without blanks.
 LETTERS = {"thai": 4, "han": 2}
 UNSPACED_WORD = re.compile(f"[{UNSPACED}]")
@@ -71,23 +81,43 @@ class WaveletMatrix:
         return symbols
 
 
+def _radix_order(keys: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative 64-bit keys, sixteen bits at a time (numpy sorts these by radix)."""
+    order = np.arange(len(keys))
+    for shift in range(0, max(1, int(keys.max(initial=0)).bit_length()), 16):
+        order = order[np.argsort((keys[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Start of every suffix in sorted order, by prefix doubling; a shorter suffix comes first."""
+    """Start of every suffix in sorted order; a shorter suffix comes first.
+
+    Suffixes are sorted by as many leading symbols as a key holds; those that agree in them, few but for
+    repeated passages, are told apart by prefix doubling.
+    """
     n = len(symbols)
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        fresh = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
+    bits = int(symbols.max(initial=0) + 1).bit_length()
+    step = max(1, 63 // bits)
+    padded = np.concatenate((symbols + 1, np.zeros(step, np.int64)))
+    keys = np.zeros(n, np.int64)
+    for at in range(step):
+        keys = (keys << bits) | padded[at : at + n]
+    order = _radix_order(keys)
+    fresh = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))[:n]
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    places = np.arange(n)
+    while len(places := places[~(fresh & np.append(fresh[1:], True))]):
+        own = order[places]
+        key = rank[own] * (n + 1) + rank[np.minimum(own + step, n)] + 1
+        sorted_ = np.argsort(key, kind="stable")
+        own, key = own[sorted_], key[sorted_]
+        order[places] = own
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        rank[own] = places[np.maximum.accumulate(np.where(fresh, np.arange(len(places)), 0))]
         step *= 2
-        if fresh[-1] == n - 1 or step >= n:
-            return order
+    return order
 
 
 class FMIndex:
@@ -142,14 +172,15 @@ def _drift(words: list[str]) -> float:
 
 
 class _Phrases:
-    """All different phrases of one length, and the items and places they stand at."""
+    """All different phrases of one length, as word numbers, and the items and places they stand at."""
 
-    def __init__(self, words: list[list[str]], chosen: list[int], size: int) -> None:
-        phrases: dict[tuple[str, ...], list[tuple[int, int]]] = {}
+    def __init__(self, numbers: list[np.ndarray], chosen: list[int], size: int) -> None:
+        phrases: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for item in chosen:
-            for at in range(len(words[item]) - size + 1):
-                phrases.setdefault(tuple(words[item][at : at + size]), []).append((item, at))
-        self.phrases = np.array([*phrases], dtype=object).reshape(-1, size)
+            own = numbers[item].tolist()
+            for at in range(len(own) - size + 1):
+                phrases.setdefault(tuple(own[at : at + size]), []).append((item, at))
+        self.phrases = np.array([*phrases], np.int64).reshape(-1, size)
         self.starts = np.concatenate(([0], np.cumsum([len(x) for x in phrases.values()]))).astype(np.int64)
         places = np.array([x for group in phrases.values() for x in group], np.int64).reshape(-1, 2)
         self.item, self.at = places[:, 0], places[:, 1]
@@ -162,13 +193,21 @@ class _Items:
         self.ids = [x for x, _ in rows]
         self.words = [words_of(rewrite(x)) for _, x in rows]
         self.counts = [Counter(x) for x in self.words]
+        self.facts = [_digit_words(x) for x in self.words]
         self.drift = np.array([_drift(x) for x in self.words])
+        self.lengths = np.array([len(x) for x in self.words], np.int64)
+        self.vocabulary: dict[str, int] = {}
+        self.numbers = [np.array([self.vocabulary.setdefault(x, len(self.vocabulary)) for x in own], np.int64) for own in self.words]
         chosen: dict[int, list[int]] = {}
         for item, words in enumerate(self.words):
-            if len(words) >= PHRASE:
-                chosen.setdefault(_phrase_words(words), []).append(item)
-        self.phrases = [_Phrases(self.words, found, size) for size, found in chosen.items()]
-        self.short = [i for i, x in enumerate(self.words) if 0 < len(x) < PHRASE]
+            if words:  # items shorter than a phrase are held only whole
+                chosen.setdefault(_phrase_words(words) if len(words) >= PHRASE else len(words), []).append(item)
+        self.phrases = [_Phrases(self.numbers, found, size) for size, found in chosen.items()]
+        pairs = [(item, a * len(self.vocabulary) + b) for item, own in enumerate(self.numbers) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
+        item, pair = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
+        self.pairs, pair = np.unique(pair, return_inverse=True)
+        #: Whether a pair of neighbouring words (a number of self.pairs) stands in an item, as one sorted key.
+        self.own_pairs = np.unique(item * (len(self.pairs) + 1) + pair)
 
 
 def _shards(batch: pd.DataFrame, rewrite) -> Iterator[list[tuple[int, list[str]]]]:
@@ -185,23 +224,36 @@ def _shards(batch: pd.DataFrame, rewrite) -> Iterator[list[tuple[int, list[str]]
         yield shard
 
 
-def _occurrences(shard: list[tuple[int, list[str]]], items: _Items) -> tuple[np.ndarray, ...]:
+class _Symbols:
+    """A shard as one row of symbols: words from 2, 1 after each document."""
+
+    def __init__(self, shard: list[tuple[int, list[str]]]) -> None:
+        self.codes: dict[str, int] = {}
+        code = self.codes.setdefault
+        parts, starts, at = [], [], 0
+        for _, words in shard:
+            starts.append(at)
+            parts.append(np.fromiter((code(x, len(self.codes) + 2) for x in words), np.int64, len(words)))
+            parts.append(ONE)
+            at += len(words) + 1
+        self.text = np.concatenate(parts)
+        self.begins = np.array(starts, np.int64)
+
+
+ONE = np.ones(1, np.int64)
+
+
+def _occurrences(symbols: _Symbols, items: _Items) -> tuple[np.ndarray, ...]:
     """(document, place in it, item, place in it) of every phrase of the items in a shard."""
-    codes: dict[str, int] = {}
-    text: list[int] = []
-    starts = []
-    for _, words in shard:
-        starts.append(len(text))
-        text.extend(codes.setdefault(x, len(codes) + 2) for x in words)
-        text.append(1)
-    begins = np.array(starts, np.int64)
+    begins = symbols.begins
+    code_of = np.array([symbols.codes.get(x, 0) for x in items.vocabulary], np.int64)
     index, parts = None, [(np.zeros(0, np.int64),) * 4]
     for own in items.phrases:
-        known = np.array([[codes.get(x, 0) for x in phrase] for phrase in own.phrases], np.int64).reshape(own.phrases.shape)
+        known = code_of[own.phrases]
         there = np.flatnonzero((known > 0).all(axis=1))
         if not len(there):
             continue
-        index = index or FMIndex(np.array(text, np.int64))
+        index = index or FMIndex(symbols.text)
         low, high = index.search(known[there])
         counts = high - low
         rows = np.repeat(low - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
@@ -219,7 +271,31 @@ def _digit_words(words: list[str]) -> set[int]:
     return {i for i, x in enumerate(words) if any(c.isdigit() for c in x)}
 
 
-def aligned_share(item: list[str], window: list[str]) -> float:
+def _neighbours(symbols: _Symbols, items: _Items, item: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many pairs of neighbouring words of each place (of the whole shard) stand in its item."""
+    number = np.full(len(symbols.codes) + 2, -1, np.int64)
+    for word, own in items.vocabulary.items():
+        if word in symbols.codes:
+            number[symbols.codes[word]] = own
+    words = number[symbols.text]
+    pair = np.where((words[:-1] >= 0) & (words[1:] >= 0), words[:-1] * len(items.vocabulary) + words[1:], -1)
+    at = np.minimum(np.searchsorted(items.pairs, pair), max(0, len(items.pairs) - 1))
+    places = np.flatnonzero(items.pairs[at] == pair) if len(items.pairs) else np.zeros(0, np.int64)
+    known = at[places]  # only places whose pair is one of some item are looked at
+    low, high = np.searchsorted(places, begin), np.searchsorted(places, np.maximum(end - 1, begin))
+    held = np.zeros(len(item), np.int64)
+    for first in range(0, len(item), AT_ONCE):
+        part = slice(first, first + AT_ONCE)
+        counts = high[part] - low[part]
+        row = np.repeat(np.arange(len(counts)), counts)
+        flat = np.repeat(low[part] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+        key = item[part][row] * (len(items.pairs) + 1) + known[flat]
+        found = items.own_pairs[np.minimum(np.searchsorted(items.own_pairs, key), len(items.own_pairs) - 1)] == key
+        held[part] = np.bincount(row[found], minlength=len(counts))
+    return held
+
+
+def aligned_share(item: list[str], window: list[str], facts: set[int] | None = None) -> float:
     """Share of an item's words that stand in a window in order, in runs of words; 0 where most of its numbers and codes differ."""
     blocks = [b for b in SequenceMatcher(None, item, window, autojunk=False).get_matching_blocks() if b.size]
     long = [b for b in blocks if b.size >= min(4, _phrase_words(item), len(item))]
@@ -228,7 +304,7 @@ def aligned_share(item: list[str], window: list[str]) -> float:
     pairs = [b for b in blocks if b.size >= 2 or long[0].a <= b.a < long[-1].a]
     first, last = pairs[0].a, pairs[-1].a + pairs[-1].size
     blocks = [b for b in blocks if first <= b.a < last]
-    facts = {i for i in _digit_words(item) if first <= i < last}
+    facts = {i for i in (_digit_words(item) if facts is None else facts) if first <= i < last}
     matched = {i for b in blocks for i in range(b.a, b.a + b.size)}
     if facts and len(facts & matched) * 3 < len(facts) * 2:
         return 0.0
@@ -237,6 +313,18 @@ def aligned_share(item: list[str], window: list[str]) -> float:
     return len(matched) / len(item)
 
 
+def _facts_there(item: list[str], facts: set[int], there: Counter) -> bool:
+    """Whether some half of an item, or more of it, has two thirds of its numbers and codes among the words of a place."""
+    if not facts:
+        return True
+    half = math.ceil(HELD * len(item))
+    gained = np.zeros(len(item) + 1, np.int64)
+    for i in facts:
+        gained[i + 1] = 1 if item[i] in there else -2
+    gained = np.cumsum(gained)
+    return bool((gained[half:] >= np.minimum.accumulate(gained[: len(gained) - half])).any())
+
+
 def _few_changed(blocks: list, words: int) -> bool:
     """Whether some successive runs hold half of an item with few words changed or left out among them, in one place."""
     for i, first in enumerate(blocks):
@@ -249,53 +337,52 @@ def _few_changed(blocks: list, words: int) -> bool:
     return False
 
 
+def _places(document: np.ndarray, item: np.ndarray, shift: np.ndarray, drift: np.ndarray, lengths: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(document, item, begin, end) of hits, in order of document, item and shift, merged while their shifts drift no further apart."""
+    apart = (document[1:] != document[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > drift[item[1:]])
+    edges = np.concatenate(([0], np.flatnonzero(apart) + 1, [len(document)])) if len(document) else np.zeros(1, np.int64)
+    start, stop = edges[:-1], edges[1:]
+    document, item = document[start], item[start]
+    margin = (drift[item] // 4).astype(np.int64)
+    return document, item, np.maximum(0, shift[start] - margin), np.minimum(size[document], shift[stop - 1] + lengths[item] + margin)
+
+
 def _leaks(shard: list[tuple[int, list[str]]], items: _Items) -> Iterator[tuple[int, int, float, int, int]]:
-    document, place, item, at = _occurrences(shard, items)
-    if len(document):
-        shift = place - at
-        order = np.lexsort((shift, item, document))
-        document, place, item, at, shift = (x[order] for x in (document, place, item, at, shift))
-        apart = (document[1:] != document[:-1]) | (item[1:] != item[:-1])
-        best: dict[tuple[int, int], tuple[float, int, int]] = {}
-        places: set[tuple[int, int, int]] = set()
-        # also by DRIFT alone: a place too wide may hold like-worded text beside the item
-        for drift in (np.full(len(items.drift), float(DRIFT)), items.drift):
-            cut = np.flatnonzero(apart | (shift[1:] - shift[:-1] > drift[item[1:]])) + 1
-            edges = np.concatenate(([0], cut, [len(document)])).tolist()
-            places.update((start, stop, int(drift[item[start]]) // 4) for start, stop in zip(edges[:-1], edges[1:]))
-        for start, stop, margin in sorted(places):
-            words, text = items.words[item[start]], shard[document[start]][1]
-            begin = max(0, int(shift[start]) - margin)
-            end = min(len(text), int(shift[stop - 1]) + len(words) + margin)
-            # words in any order are no fewer than words in order
-            there = Counter(text[begin:end])
-            if sum(min(n, there[x]) for x, n in items.counts[item[start]].items()) < max(HELD * len(words), PHRASE):
-                continue
-            share = aligned_share(words, text[begin:end])
-            key = int(document[start]), int(item[start])
-            if share >= HELD and round(share * len(words)) >= PHRASE and share > best.get(key, (0.0,))[0]:
-                best[key] = share, begin, end
-        for (doc, found), (share, begin, end) in best.items():
-            yield shard[doc][0], items.ids[found], share, begin, end
-    for found in items.short:  # items shorter than a phrase are held only whole
-        words = items.words[found]
-        for doc, text in shard:
-            at = next((i for i in range(len(text) - len(words) + 1) if text[i : i + len(words)] == words), None)
-            if at is not None:
-                yield doc, items.ids[found], 1.0, at, at + len(words)
-
-
-def _blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks whose text is bounded; one block is on the driver at a time."""
-    block, size = [], 0
-    for row in items.toLocalIterator(prefetchPartitions=True):
-        block.append((row[0], row[1]))
-        size += len(row[1])
-        if size > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+    symbols = _Symbols(shard)
+    document, place, item, at = _occurrences(symbols, items)
+    short = items.lengths[item] < PHRASE if len(item) else np.zeros(0, bool)
+    order = np.lexsort((place[short], item[short], document[short]))
+    seen: set[tuple[int, int]] = set()
+    for doc, found, start in zip(document[short][order].tolist(), item[short][order].tolist(), place[short][order].tolist()):
+        if (doc, found) not in seen:
+            seen.add((doc, found))
+            yield shard[doc][0], items.ids[found], 1.0, start, start + len(items.words[found])
+    document, place, item, at = document[~short], place[~short], item[~short], at[~short]
+    if not len(document):
+        return
+    shift = place - at
+    order = np.lexsort((shift, item, document))
+    document, item, shift = document[order], item[order], shift[order]
+    size = np.diff(np.concatenate((symbols.begins, [len(symbols.text)]))) - 1
+    # by DRIFT alone too: a place too wide may hold like-worded text beside the item
+    places = [_places(document, item, shift, np.full(len(items.drift), float(DRIFT)), items.lengths, size)]
+    wide = items.drift[item] != DRIFT
+    places.append(_places(document[wide], item[wide], shift[wide], items.drift, items.lengths, size))
+    document, item, begin, end = (np.concatenate(x) for x in zip(*places))
+    offset = symbols.begins[document]
+    near = _neighbours(symbols, items, item, offset + begin, offset + end) >= np.maximum(1, NEIGHBOURS * items.lengths[item] - 1)
+    best: dict[tuple[int, int], tuple[float, int, int]] = {}
+    for doc, found, first, last in zip(*(x[near].tolist() for x in (document, item, begin, end))):
+        words, window = items.words[found], shard[doc][1][first:last]
+        # words in any order are no fewer than words in order
+        there = Counter(window)
+        if sum(min(n, there[x]) for x, n in items.counts[found].items() if x in there) < max(HELD * len(words), PHRASE) or not _facts_there(words, items.facts[found], there):
+            continue
+        share = aligned_share(words, window, items.facts[found])
+        if share >= HELD and round(share * len(words)) >= PHRASE and share > best.get((doc, found), (0.0,))[0]:
+            best[doc, found] = share, first, last
+    for (doc, found), (share, first, last) in best.items():
+        yield shard[doc][0], items.ids[found], share, first, last
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, classes: LookalikeClasses | None = None) -> DataFrame:
@@ -309,20 +396,30 @@ def leaked_items(documents: DataFrame, items: DataFrame, classes: LookalikeClass
     texts = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("doc"), "text")
     asked = items.where("item_id is not null and text is not null").select("item_id", "text")
     spread = spark.sparkContext.broadcast(classes or fit(texts.select("text"), asked.select("text")))
-    parts = []
-    for block in _blocks(asked):
-        sent = spark.sparkContext.broadcast(block)
+    schema = "doc_id long, item_id long, share double, start_word int, end_word int"
+
+    def searched(block: DataFrame):
+        """A block's hits, and the broadcast that holds its items."""
+        sent = spark.sparkContext.broadcast([tuple(x) for x in block.collect()])
 
-        def search(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rewrite = spread.value.rewriter()
             block_items = _Items(sent.value, rewrite)
             for batch in batches:
                 for shard in _shards(batch, rewrite):
                     yield pd.DataFrame([*_leaks(shard, block_items)], columns=["doc_id", "item_id", "share", "start_word", "end_word"])
 
-        parts.append(texts.mapInPandas(search, "doc_id long, item_id long, share double, start_word int, end_word int"))
-    found = spark.createDataFrame([], "doc_id long, item_id long, share double, start_word int, end_word int")
-    for part in parts:
-        found = found.unionByName(part)
+        return texts.mapInPandas(search, schema), sent
+
+    blocks = math.ceil((asked.agg(F.sum(F.length("text"))).first()[0] or 0) / BLOCK_CHARS)
+    if blocks <= 1:
+        found, _ = searched(asked)
+    else:  # block by block, so that neither the driver nor a task holds more than one
+        held = Written(spark)
+        for block in range(blocks):
+            hits, sent = searched(asked.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block))
+            held.add(hits)
+            sent.destroy()
+        found = held.rows(T._parse_datatype_string(schema))
     best = F.max(F.struct("share", "start_word", "end_word")).alias("b")
     return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.share", "b.start_word", "b.end_word")

@@ -90,6 +90,27 @@ def test_item_blocks_and_small_shards_lose_nothing(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in leaked_items(df, held).collect()} == {(i, i % 12) for i in range(36)}
 
 
+def test_shards_with_repeated_passages_are_sorted_whole():
+    rng = np.random.default_rng(3)
+    run = rng.integers(1, 4, 300)
+    text = np.concatenate((run, [7], run, [7], run[:150], np.ones(90, np.int64)))
+    assert suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: [*text[i:]])
+
+
+def test_half_with_the_facts_of_another_half_is_looked_at():
+    item = ["w" + chr(97 + i % 26) * (1 + i // 26) if i % 5 else f"{i}9" for i in range(40)]
+    facts = leaks._digit_words(item)
+    assert leaks._facts_there(item, facts, leaks.Counter(item[:20])) and leaks._facts_there(item, facts, leaks.Counter(item[20:]))
+    assert not leaks._facts_there(item, facts, leaks.Counter(x for x in item if x.startswith("w")))
+    assert leaks._facts_there(["a"] * 9, set(), leaks.Counter())
+
+
+def test_items_of_less_than_a_phrase_are_found_whole(spark):
+    df = spark.createDataFrame([(1, "one Two, three"), (2, "one three"), (3, "x two three one two three")], "doc_id long, text string")
+    held = spark.createDataFrame([(1, "two three"), (2, "one")], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.start_word, r.end_word) for r in leaked_items(df, held).collect()) == [(1, 1, 1, 3), (1, 2, 0, 1), (2, 2, 0, 1), (3, 1, 1, 3), (3, 2, 3, 4)]
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     held = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
