@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import leaks, lookalike, overlap, pieces, quality, sentences, splits, tokens
-from pageloom.session import spread, table
+from pageloom.session import spread, table, written
 
 KEYS = {"page_data": "page_id", "document_chunks": "chunk_row_id", "evidence": "evidence_id"}
 
@@ -77,6 +77,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_texts(spread(table(spark, sf_dir, "documents")))
 
 
+def p6_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that the ids decode to."""
+    return tokens.decode_ids(written(p6_ids(spark, sf_dir)))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_places(spark, sf_dir).select("doc_id", "item_id")
 
@@ -94,7 +99,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_splits, p4_found, p4_report, p5_found, p5_units, p6_ids, p7_found, p7_places, p8_found, p8_statistics)
+    own = (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_splits, p4_found, p4_report, p5_found, p5_units, p6_ids, p6_texts, p7_found, p7_places, p8_found, p8_statistics)
     return {x.__name__: x for x in own}
 
 
@@ -106,6 +111,7 @@ def oracle_sql() -> dict[str, str]:
     """SQL where the result of a query can be said in it; the others are tested against brute force and round trips."""
     measured = f"length(trim(regexp_replace(nfc_normalize(regexp_replace(text, '{_WIDTHLESS}', '', 'g')), '{_BLANKS}', ' ', 'g')))"
     return {
+        "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p2_found": f"SELECT 'page_data' AS table_name, page_id AS row_id FROM page_data WHERE {measured} > 1000 "
         f"UNION ALL SELECT 'document_chunks' AS table_name, chunk_row_id AS row_id FROM document_chunks WHERE {measured} > 1000",
     }

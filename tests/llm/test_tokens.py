@@ -30,6 +30,15 @@ def test_odd_texts_nulls_and_repeats(spark):
     assert encode_texts(df.limit(0)).count() == 0
 
 
+def test_runs_of_known_words_around_unknown_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    words = pa.array([["x"], ["a", "b", "y", "a", "x", "y"], [], ["a"], ["y", "y"]]).slice(1)
+    runs, rare = tokens._runs(words, pa.array(["a", "b"]), np.array([1, 2]), np.array([5, 6, 7], np.int32))
+    assert runs.to_pylist() == [[[5, 6, 7], [5], [], []], [[]], [[5]], [[], [], []]] and rare.to_pylist() == [["y", "x", "y"], [], [], ["y", "y"]]
+
+
 def test_hot_and_cold_words_give_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"the pump the valve {i} the the") for i in range(1500)], "doc_id long, text string")
     whole = {r.doc_id: r.ids for r in encode_texts(df).collect()}
