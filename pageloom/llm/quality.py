@@ -1,249 +1,245 @@
 """Statistics of each document's text, and a mixture model that tells prose from lists, tables and junk.
 
-The statistics are computed by Spark for every document. Words are counted over all documents; those that stand
-in a fixed share of the documents of a script or language are common and are sent to the tasks: their number is
-bounded by that share, and the choice is alike at every size. A Gaussian mixture is
-fitted by expectation-maximization on the standardized statistics of all documents, and each component is
-named after the inspected examples that belong to it. What a document mostly consists of is measured by
-the share of its characters in lines of each kind, so mixed documents come out between the pure ones.
+The statistics are plain counts and shares over the lines, tokens and words of a document, computed for whole
+Arrow batches at once. Words are counted over all documents; those that stand in a fixed share of the documents
+of a script or language are common and are sent to the tasks: their number is bounded by that share, and the
+choice is alike at every size. A Gaussian mixture is fitted by expectation-maximization on the standardized
+statistics of all documents, and each component is named after the inspected example nearest to it.
 """
 
 from __future__ import annotations
 
-import math
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.folding import UNSPACED
-from pageloom.llm.lookalike import LETTER_CLASSES
-from pageloom.session import durable
-
-#: Share of the documents of its script or language in which a common word stands, documents in which it must stand at all, and rounds of expectation-maximization.
-COMMON_SHARE, LEAST_DOCUMENTS, ROUNDS = 0.002, 3, 12
-#: Letters of one script group as in WORDS_JVM; a document belongs to the first that holds half of its letters.
-SCRIPTS = {
-    "latin": r"\p{IsLatin}", "han": r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}", "cyrillic": r"\p{IsCyrillic}", "thai": r"\p{IsThai}", "greek": r"\p{IsGreek}", "devanagari": r"\p{IsDevanagari}",
-    "arabic": r"\p{IsArabic}", "hangul": r"\p{IsHangul}", "hebrew": r"\p{IsHebrew}", "bengali": r"\p{IsBengali}", "tamil": r"\p{IsTamil}", "telugu": r"\p{IsTelugu}", "armenian": r"\p{IsArmenian}", "georgian": r"\p{IsGeorgian}",
-}
-FEATURES = ["other_share", "list_share", "table_share", "noise_share", "loose_share", "sentence_rate", "line_end_share", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "variety"]
-STATISTICS = ["n_words", "n_lines", "n_printed", *FEATURES]
-
-WORDS_JVM = r"(?U)[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}]|(?:(?![\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}])\p{L})[\p{L}\p{M}]*"
-WORD = re.compile(rf"[{UNSPACED}]|(?:[^\W\d_{UNSPACED}]|[\u0300-\u036f\u0591-\u05c7\u0610-\u065f\u0900-\u0903\u093a-\u094f])+")
-HIDDEN = re.compile("[\u200b-\u200f\u2060\ufeff\u00ad\u034f]")
-BULLET = re.compile(r"\s*(?:[•●◦▪*·–—+-]|\[[ xX]?\]|[(（]?(?:\d{1,3}|[a-zA-Z])[.)）]|\d+(?:\.\d+)+)\s+\S")
-LEADERS = re.compile(r"\.{4,}|(?:\. ){4,}|…{2,}")
-CELLS = re.compile(r"\|.*\||\t|(?:;[^;]*){4,}|(?:,[^,\s][^,]*){5,}")
-LOG = re.compile(r"\s*\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d")
-ENDING = re.compile(r"[.!?。！？।؟…:：][\"'”’»“)\]）」]*\s*$")
-STOP = re.compile(rf"[.!?।؟…](?=[\"”’»)]*(?:\s|$))|[。！？]|(?<=[\u0e00-\u0e7f]) (?=[\u0e00-\u0e7f])")
-SYMBOL = re.compile(r"[^\w\s.,;:!?'’\"“”„«»()\-–‐‑/%°。，、？！।؟：「」\u0900-\u0903\u093a-\u094f\u0300-\u036f\u0e31-\u0e4e]|_")
-DIGIT = re.compile(r"\d")
-#: Words in which variety is judged.
-SPAN = 60
-
-
-_LIKE = {ord(x): group[0] for group in LETTER_CLASSES for x in group[1:]}
-
-
-def _known(words: list[str], common: frozenset[str]) -> int:
-    """How many words are common, look-alike letters of other scripts read as the usual ones."""
-    return sum(x in common or not x.isascii() and x.translate(_LIKE).lower() in common for x in words)
-
-
-def _noisy(block: str, common: frozenset[str]) -> bool:
-    """Whether a run of text is no language: unknown words, symbols inside words, endless words or one phrase over and over."""
-    if not block.isascii():
-        block = unicodedata.normalize("NFKC", block)
-    tokens = block.split()
-    printed = sum(map(len, tokens))
-    if printed < 12:
-        return False
-    if len(SYMBOL.findall(block)) > 0.08 * printed:
-        return True
-    if 2 * sum(len(x) for x in tokens if len(x) > 60 and x.isascii()) > printed:
-        return True
-    words = [x.lower() for x in WORD.findall(block)]
-    if len(words) >= 6 and _known(words, common) < 0.5 * len(words):
-        return True
-    # few different words among any SPAN of them, however long the text: phrases or menu entries over and over
-    spans = [len({*tokens[i : i + SPAN]}) for i in range(0, max(1, len(tokens) - SPAN + 1), SPAN)]
-    return len(tokens) >= 20 and sum(spans) < 0.2 * len(spans) * min(SPAN, len(tokens))
-
-
-def _is_row(line: str) -> bool:
-    """Whether a line is a row of cells: separated, aligned by wide gaps, named by ``key=value``, or a dated log entry."""
-    if CELLS.search(line) or LOG.match(line) or line.strip().count("   ") >= 2 and len(line.split("   ")) >= 3:
-        return True
-    if line.count("=") < 2:
-        return False
-    tokens = line.split()
-    named = sum("=" in x[1:] for x in tokens)
-    return named >= 2 and 2 * named >= len(tokens)
-
-
-def _kind(block: list[str], common: frozenset[str]) -> str:
-    """Kind of a run of lines without markers or cells, up to a blank line."""
-    whole = " ".join(block)
-    if _noisy(whole, common):
-        return "noise"
-    tokens = whole.split()
-    thai = "\u0e00" <= whole[-1] <= "\u0e7f" and len(whole) > 24 * len(block)
-    if thai or ENDING.search(whole) or STOP.search(whole):
-        return "prose"
-    running = len(tokens) >= 25 and len(tokens) >= 8 * len(block) and sum(x.isalpha() for x in tokens) >= 0.7 * len(tokens)
-    return "prose" if running and 2 * len({*tokens}) >= len(tokens) else "loose"
-
-
-def statistics_of(text: str | None, common: frozenset[str]) -> tuple:
-    """The statistics of one text, in the order of STATISTICS; all 0 for null, empty and blank texts."""
-    text = HIDDEN.sub("", text or "")
-    lines = [x for x in text.splitlines() if x.strip()]
-    if not lines:
-        return (0,) * 3 + (0.0,) * len(FEATURES)
-    total = sum(len(x.strip()) for x in lines)
-    bullets = [bool(BULLET.match(x)) or bool(LEADERS.search(x)) for x in lines]
-    several = sum(bullets) >= 3
-    kinds: dict[str, int] = dict.fromkeys(("list", "table", "noise", "loose", "prose"), 0)
-    block: list[str] = []
-
-    short: list[int] = []
-
-    def close() -> None:
-        if block:
-            size, kind = sum(len(x) for x in block), _kind(block, common)
-            if len(block) == 1 and size < 40 and len(block[0].split()) < 5 and kind != "noise":
-                short.append(size)
-            else:
-                kinds[kind] += size
-            block.clear()
-
-    position = 0
-    for line in text.splitlines():
-        if not line.strip():
-            close()
-            continue
-        bullet = bullets[position] and several
-        position += 1
-        if _is_row(line):
-            close()
-            kinds["table"] += len(line.strip())
-        elif bullet:
-            close()
-            kinds["noise" if _noisy(line, common) and not LEADERS.search(line) and len(SYMBOL.findall(line)) > 3 else "list"] += len(line.strip())
-        else:
-            block.append(line.strip())
-    close()
-    # headings and other short lines standing alone; many of them are a list without markers
-    kinds["loose" if len(short) >= 4 else "prose"] += sum(short)
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    words = [x.lower() for x in WORD.findall(text)]
-    printed = sum(map(len, text.split()))
-    n = max(1, len(words))
-    return (
-        len(words), len(lines), printed,
-        1 - kinds["prose"] / total, kinds["list"] / total, kinds["table"] / total, kinds["noise"] / total, kinds["loose"] / total,
-        min(1.0, 12 * len(STOP.findall(text)) / n), sum(bool(ENDING.search(x)) for x in lines) / len(lines),
-        min(20.0, sum(map(len, words)) / n), len(SYMBOL.findall(text)) / max(1, printed), len(DIGIT.findall(text)) / max(1, printed),
-        _known(words, common) / n, len({*words}) / math.sqrt(n),
-    )
-
-
-def words_column(text: Column) -> Column:
-    """Lower-case words of a text: runs of letters, single characters in scripts without blanks."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORDS_JVM), F.lit(0))
-
-
-def script_column(text: Column) -> Column:
-    """Script group that holds half of a text's letters, "mixed" where none does."""
-    letters = F.length(F.regexp_replace(text, r"\P{L}+", ""))
-    script = F.when(~text.rlike(r"[^\x00-\x7f]"), "latin")
-    for name, own in SCRIPTS.items():
-        script = script.when(2 * F.length(F.regexp_replace(text, f"[^{own}]+", "")) >= letters, name)
-    return script.otherwise("mixed")
+from pageloom.session import written
+
+#: Share of the documents of its script or language in which a common word stands, and documents in which it must stand at all.
+COMMON_SHARE, LEAST_DOCUMENTS = 0.002, 3
+#: Rounds of expectation-maximization at most, and the gain in log-likelihood a document below which they end.
+ROUNDS, LEAST_GAIN = 25, 0.005
+#: Statistics the mixture is fitted on, and all that are given.
+MIXED = [
+    "marked_share", "cell_share", "ended_share", "line_length", "sentence_rate", "mean_word_length", "symbol_ratio", "digit_ratio", "common_share", "letter_share", "variety", "long_share",
+]
+STATISTICS = ["n_words", "n_lines", "n_printed", *MIXED, "line_end_share"]
+#: Tokens in which variety is judged, letters above which a token is long, characters of texts that are measured at once.
+SPAN, LONG, AT_ONCE = 60, 40, 4_000_000
+
+HIDDEN = "[\u200b-\u200f\u2060\ufeff\u00ad\u034f]"
+BREAKS = "[\n\r\u2028\u2029\x0b\x0c\x85]+"
+MARKED = r"^(?:[•●◦▪*·–—+-]|\[[ xX]?\]|[(（]?(?:\d{1,3}|[a-zA-Z])[.)）]|\d+(?:\.\d+)+)\s+\S|\.{4,}|(?:\. ){4,}|…{2,}"
+CELLS = r"\|.*\||\t|(?:;[^;]*){4,}|(?:,[^,\s][^,]*){5,}|\S=\S.*\S=\S|^\[?\d{4}-\d\d-\d\d[ T]\d\d:\d\d|\S {3,}\S.* {3,}\S"
+ENDED = "[.!?。！？।؟…:：][\"'”’»“)\\]）」]*$"
+STOP = "[.!?؟…][\"”’»)]*(?:\\s|$)|[。！？।]|[\u0e00-\u0e7f] [\u0e00-\u0e7f]"
+SYMBOL = "[^\\pL\\pM\\pN\\s.,;:!?'’\"“”„«»()\\-–‐‑/%°。，、？！؟：「」।]"
+#: First letters of scripts, each with all that follow up to the next one.
+SCRIPTS = (
+    (0x41, "latin"), (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x900, "devanagari"), (0x980, "other"), (0xE00, "thai"), (0xE80, "other"),
+    (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, "other"), (0x3040, "han"), (0x3130, "hangul"), (0x3190, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7FF, "other"), (0xF900, "han"), (0xFB00, "other"),
+)
+
+
+def _cut(texts: pa.Array, pattern: str | None = None) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(text number, part, length) of the parts of texts between a pattern's matches, or blanks; empty parts left out."""
+    parts = pc.split_pattern_regex(texts, pattern=pattern) if pattern else pc.utf8_split_whitespace(texts)
+    parent, flat = pc.list_parent_indices(parts).to_numpy(), pc.list_flatten(parts)
+    flat = pc.utf8_trim_whitespace(flat) if pattern else flat
+    length = pc.utf8_length(flat).to_numpy().astype(np.int64)
+    there = length > 0
+    return parent[there], flat.filter(pa.array(there)), length[there]
+
+
+def _plain(texts: pa.Array) -> pa.Array:
+    return pc.utf8_normalize(pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=HIDDEN, replacement=""), "NFKC")
+
+
+def _apart(plain: pa.Array) -> pa.Array:
+    """Lower-case texts with blanks around every character of the scripts without blanks."""
+    return pc.replace_substring_regex(pc.utf8_lower(plain), pattern=f"([{UNSPACED}])", replacement=r" \1 ")
+
+
+def _words(apart: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """(text number, word, length): runs of letters of texts that are set apart."""
+    return _cut(pc.replace_substring_regex(apart, pattern=r"[^\pL\pM]+", replacement=" "))
+
+
+def statistics_table(texts: pa.Array, common: pa.Array) -> pd.DataFrame:
+    """The STATISTICS of each text; all 0 for null, empty and blank texts."""
+    plain = _plain(texts)
+    n = len(plain)
+
+    def total(parent: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(parent, weights=values, minlength=n).astype(float)
+
+    in_text, line, length = _cut(plain, BREAKS)
+    match = lambda pattern: pc.match_substring_regex(line, pattern=pattern).to_numpy(zero_copy_only=False)
+    marked, ended = match(MARKED), match(ENDED)
+    cells = match(CELLS) & ~marked
+    lines, chars = total(in_text), np.maximum(total(in_text, length), 1)
+    of_token, token, size = _cut(plain)
+    printed = total(of_token, size)
+    apart = _apart(plain)
+    of_run, _, run = _cut(apart)
+    of_word, word, letters = _words(apart)
+    n_words = total(of_word)
+    known = pc.is_in(word, value_set=common).to_numpy(zero_copy_only=False)
+    # different tokens among any SPAN of them, however long the text
+    count = total(of_token)
+    place = np.arange(len(of_token)) - np.concatenate(([0], np.cumsum(count)[:-1])).astype(np.int64)[of_token]
+    code = token.dictionary_encode().indices.to_numpy().astype(np.int64)
+    spans, codes = int(place.max(initial=0)) // SPAN + 1, int(code.max(initial=0)) + 1
+    different = total(np.unique((of_token * spans + place // SPAN) * codes + code) // codes // spans)
+    found = lambda pattern: pc.count_substring_regex(plain, pattern=pattern).to_numpy().astype(float)
+    printed_, words_, lines_ = (np.maximum(x, 1) for x in (printed, n_words, lines))
+    return pd.DataFrame(
+        {
+            "n_words": n_words.astype(np.int32), "n_lines": lines.astype(np.int32), "n_printed": printed.astype(np.int32),
+            "marked_share": total(in_text, length * marked) / chars, "cell_share": total(in_text, length * cells) / chars, "ended_share": total(in_text, length * ended) / chars,
+            "line_length": np.where(lines > 0, np.log1p(chars / lines_), 0.0), "sentence_rate": np.minimum(1.0, 12 * found(STOP) / words_) * (printed > 0),
+            "mean_word_length": np.minimum(20.0, total(of_word, letters) / words_), "symbol_ratio": found(SYMBOL) / printed_, "digit_ratio": found(r"\pN") / printed_,
+            "common_share": total(of_word, known) / words_, "letter_share": total(of_word, letters) / printed_, "variety": different / np.maximum(count, 1),
+            "long_share": np.minimum(1.0, total(of_run, run * (run > LONG)) / printed_), "line_end_share": total(in_text, ended) / lines_,
+        }
+    )[STATISTICS]
+
+
+def _portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """Successive slices of texts, each of a bounded number of characters or a single text."""
+    ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // AT_ONCE
+    edges = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1), len(texts)]
+    for first, stop in zip(edges, edges[1:]):
+        if stop > first:
+            yield texts.slice(first, stop - first)
+
+
+def _word_counts(texts: pa.Array, langs: pa.Array) -> pa.RecordBatch:
+    """(script, lang, word, n): documents of a batch that hold each word, by script and language; the empty word stands in every document."""
+    of_word, word, _ = _words(_apart(_plain(texts)))
+    coded = word.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    code = coded.indices.to_numpy().astype(np.int64)
+    firsts = np.array([x for x, _ in SCRIPTS])
+    names = sorted({x for _, x in SCRIPTS})
+    of_first = np.array([names.index(x) for _, x in SCRIPTS])
+    script_of = of_first[np.maximum(0, np.searchsorted(firsts, [ord(x[0]) for x in words], side="right") - 1)] if words else np.zeros(0, np.int64)
+    n, k = len(texts), len(names)
+    by_script = np.bincount(of_word * k + script_of[code], minlength=n * k).reshape(n, k)
+    script = np.where(2 * by_script.max(axis=1) >= by_script.sum(axis=1), by_script.argmax(axis=1), k)
+    lang = pc.fill_null(langs, "").dictionary_encode()
+    group = script * len(lang.dictionary) + lang.indices.to_numpy()
+    there = np.unique(of_word)
+    held = np.unique(np.concatenate((of_word * (len(words) + 1) + code, there * (len(words) + 1) + len(words))))
+    key, count = np.unique(group[held // (len(words) + 1)] * (len(words) + 1) + held % (len(words) + 1), return_counts=True)
+    own, which = key // (len(words) + 1), key % (len(words) + 1)
+    take = lambda values, at: pa.array(values, pa.string()).take(pa.array(at))
+    columns = [take([*names, "mixed"], own // len(lang.dictionary)), take(lang.dictionary.to_pylist(), own % len(lang.dictionary)), take([*words, ""], which), pa.array(count)]
+    return pa.RecordBatch.from_arrays(columns, ["script", "lang", "word", "n"])
 
 
 def common_words(documents: DataFrame, share: float = COMMON_SHARE) -> DataFrame:
     """(word): the words that stand in a share of the documents of one script, or of one language where ``lang`` names it, and in LEAST_DOCUMENTS of them.
 
-    At most the mean number of different words in a document, divided by the share, for each script and language.
+    A document belongs to the script of half of its words. At most the mean number of different words in a
+    document, divided by the share, for each script and language.
     """
     lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
-    held = documents.where("text is not null").select(F.array_distinct(words_column(F.col("text"))).alias("words"), script_column(F.col("text")).alias("script"), lang.alias("lang")).where(F.size("words") > 0)
-    # the empty word stands in every document and counts those of each group
-    words = held.select(F.explode(F.concat(F.array(F.lit("")), "words")).alias("word"), "script", "lang").groupBy("word", "script", "lang").agg(F.count("*").alias("n"))
-    named = F.when(F.col("lang").isNotNull() & ~F.lower(F.trim("lang")).isin("", "und"), F.concat(F.lit("lang "), F.lower(F.trim("lang"))))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in _portions(batch.column(0)):
+                yield _word_counts(texts, batch.column(1).slice(at, len(texts)))
+                at += len(texts)
+
+    held = documents.where("text is not null").select("text", lang.alias("lang")).mapInArrow(counted, "script string, lang string, word string, n long")
+    words = held.groupBy("word", "script", "lang").agg(F.sum("n").alias("n"))
+    named = F.when(~F.lower(F.trim("lang")).isin("", "und"), F.concat(F.lit("lang "), F.lower(F.trim("lang"))))
     groups = words.select("word", "n", F.explode(F.array_compact(F.array(F.concat(F.lit("script "), F.col("script")), named))).alias("group"))
-    counted = durable(groups.groupBy("group", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_DOCUMENTS) | (F.col("word") == "")))
-    sizes = counted.where("word = ''").select("group", F.col("n").alias("documents"))
-    return counted.where("word <> ''").join(sizes, "group").where(F.col("n") >= share * F.col("documents")).select("word").distinct()
+    counts = written(groups.groupBy("group", "word").agg(F.sum("n").alias("n")).where((F.col("n") >= LEAST_DOCUMENTS) | (F.col("word") == "")))
+    sizes = counts.where("word = ''").select("group", F.col("n").alias("documents"))
+    return counts.where("word <> ''").join(sizes, "group").where(F.col("n") >= share * F.col("documents")).select("word").distinct()
+
+
+def _common_set(documents: DataFrame) -> pa.Array:
+    return pa.array([r.word for r in common_words(documents).collect()], pa.string())
 
 
-def text_statistics(documents: DataFrame, common: frozenset[str] | None = None) -> DataFrame:
+def text_statistics(documents: DataFrame, common: pa.Array | None = None) -> DataFrame:
     """Every row with its columns and the STATISTICS beside them; statistics replace columns of the same name.
 
     Statistics of null, empty and blank texts are 0. ``common`` is a bounded set of common words, by default
     those of the table (`common_words`); it is all that reaches the driver.
     """
-    if common is None:
-        common = frozenset(r.word for r in common_words(documents).collect())
-    known = documents.sparkSession.sparkContext.broadcast(common)
+    known = documents.sparkSession.sparkContext.broadcast(_common_set(documents) if common is None else common)
     kinds = ", ".join(f"{x} {'int' if x.startswith('n_') else 'double'}" for x in STATISTICS)
 
     @F.pandas_udf(kinds)
     def measured(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([statistics_of(x, known.value) for x in batch], columns=STATISTICS)
+            portions = [statistics_table(x, known.value) for x in _portions(pa.array(batch, pa.string(), from_pandas=True))]
+            yield pd.concat(portions, ignore_index=True) if portions else statistics_table(pa.array([], pa.string()), known.value)
 
     kept = [c for c in documents.columns if c not in STATISTICS and c != "_s"]
     return documents.withColumn("_s", measured.asNondeterministic()("text")).select(*(f"`{c}`" for c in kept), "_s.*")
 
 
-# Inspected examples of each kind, in the manner of scanned manuals, logs and exports.
+# Examples of each kind, written and named by hand; none is taken from the tables.
 EXAMPLES = (
-    ("prose", "The pump stops when the tank is empty. Check the valve before you start it again, and note the time in the log."),
-    ("prose", "Access rights\n\nThe clerk keeps the key until the end of the shift. A second key is in the safe.\nAsk the warden if it is missing."),
-    ("prose", "La bomba se detiene cuando el tanque está vacío. El encargado revisa la válvula cada semana."),
-    ("prose", "Le contrôleur vérifie les mesures chaque semaine. La porte reste fermée la nuit."),
-    ("prose", "Das Gerät bleibt bis auf Weiteres gesperrt. Der Hausmeister prüft wöchentlich alle Störungen."),
-    ("prose", "Датчик передаёт показания на пульт. Журнал каждую неделю проверяет тревоги."),
-    ("prose", "传感器每周检查所有警报。月度报告在办公时间以外保持关闭，并由值班室监督。"),
-    ("prose", "センサーは毎週すべての警報を確認する。配電盤は夜間は閉じたままになる。"),
-    ("prose", "ผู้ดูแลอาคารเก็บข้อมูลไว้ตามสัญญาฉบับใหม่ เซ็นเซอร์ปิดในเวลากลางคืนแม้ไฟฟ้าดับ"),
-    ("prose", "पंप रात में बंद रहता है। सेंसर हर सप्ताह चेतावनी जाँचता है।"),
-    ("prose", "السجل يبقى مغلقا في الليل. المضخة تحتاج إلى صيانة بعد شهر."),
-    ("prose", "Before the start of the shift take these steps.\n- check the valve;\n- read the meter;\n- sign the log.\nThe warden keeps the signed log for two years, and the auditor reads it in every June. Nothing else is needed before the doors open in the morning."),
-    ("list", "- pump\n- valve\n- meter\n- spare keys\n- log book\n- gauge"),
-    ("list", "1. pumps\n2. valves\n3. meters\n4. spare keys\n5. log books"),
-    ("list", "[ ] sign the log\n\n[ ] read the meter\n\n[ ] lock the door\n\n[ ] call the warden"),
-    ("list", "Contents\nPumps ........ 3\nValves ............ 8\nMeters ......... 12\nKeys ....... 19"),
-    ("list", "Inventory\npump\nvalve\nspare meter\nlog book\nsafe key\ngauge"),
-    ("list", "sign logs;\n\nread meters\n\nlock doors;\n\ncall the warden\n\nclose the valve"),
-    ("list", "– 传感器\n– 网关\n– 通风机\n– 月度报告\n– 登记簿"),
-    ("table", "| pump | state | date |\n| 12 | on | 2020-01-02 |\n| 14 | off | 2020-03-04 |\n| 15 | on | 2021-05-06 |"),
-    ("table", "pump\tstate\tdate\n12\ton\t2020-01-02\n14\toff\t2020-03-04\n15\ton\t2021-05-06"),
-    ("table", "pump=12 state=on date=2020-01-02\npump=14 state=off date=2020-03-04\npump=15 state=on date=2021-05-06"),
-    ("table", "2023-03-28 21:35 [WARN] PX-12 pump.files rc=27 took=684ms\n2025-10-09 15:10 [INFO] PX-13 pump.scans rc=198 took=114ms"),
-    ("table", '"pump";"state";"date";"by"\n12;"on";2020-01-02;7\n14;"off";2020-03-04;9'),
-    ("junk", "Rkqw ztp lmwqkj vvgh tqpzk jwl. Mqzt hhwk pqlr ztmk wqj. Lkzw qptm zzvk hwq jjmt pqk wlz."),
-    ("junk", "8t9Fg6ENw9uJ9HdYTV6BZSa7sZcqVmJwrUJq8CgDsmsYgZnxMPhuqsPr3CJHeZpNY5DCSXT9p6iRpcXwkMHEeSFfe3UDDEe"),
-    ("junk", "p#mp @v|lv§ m~t%r {l¦g} ^r§ad k¬ys ||do°r !w#rd~n sh%ft @l¦rm g§|ge"),
-    ("junk", "e61a 47d4 92c6 4d7b aedf 8793 f366 81e8 5239 5dec 7e7e 7628 ecbf 0c1d 9a2b"),
-    ("junk", "draft copy draft copy draft copy draft copy draft copy draft copy draft copy draft copy draft copy draft copy draft copy draft copy"),
-    ("junk", "=====\n_ _ _ _\n-----\n~~~~~~\n#### PX-12\n.....\n>>>\n====="),
+    ("prose", "The oven has to be hot before the bread goes in. Turn the loaves after ten minutes, and leave the door shut until they are brown."),
+    ("prose", "Opening hours\n\nThe library lends books for three weeks. Maps and old papers stay in the reading room.\nAsk at the desk if a shelf is empty."),
+    ("prose", "Tray 14-B of the bakery holds 36 rolls at 5 °C. Ms. Ada baked them in 2011; who bought the rest?"),
+    ("prose", "Since May 2011, Ms. Ada has baked 36 rolls a day in oven\n14-B of the old bakery, and the rest of the dough\nwaits at 5 °C until the evening. Never open it\nbefore noon!"),
+    ("prose", "In 2011 the gardener moved tulips 14-B to the park\nat the river."),
+    ("prose", "माली बगीचा 14-B में हर सुबह 36 गुलाबों को पानी\nदेता है। 2011 से फाटक गर्मियों में खुला रहता\nहै। रसोइया रोटी को 5 °C पर रखता है।"),
+    ("prose", "El pan sale del horno cuando está dorado. La panadera limpia la mesa cada noche."),
+    ("prose", "Le jardinier arrose les roses chaque matin. La grille du parc reste ouverte en été."),
+    ("prose", "Der Gärtner gießt jeden Morgen die Rosen. Das Tor zum Park bleibt im Sommer offen."),
+    ("prose", "Садовник поливает розы каждое утро. Калитка 14-Б в парке летом открыта до 21 часа."),
+    ("prose", "园丁每天早上给玫瑰浇水。公园的大门在夏天一直开到 21 点。"),
+    ("prose", "庭師は毎朝バラに水をやる。公園の門は夏のあいだ21時まで開いている。"),
+    ("prose", "14-B 号烤箱放着 36 个面包，温度不低于 5 °C。“谁开了门？”面包师问道。"),
+    ("prose", "14-B のかまどには 5 °C でパンが 36 個ある。「誰が戸を開けたのか」とパン屋は言った。"),
+    ("prose", "คนสวนรดน้ำกุหลาบทุกเช้า ประตูสวนเปิดถึง 21 นาฬิกาในฤดูร้อน"),
+    ("prose", "แม่ครัวล้างโต๊ะทุกคืนก่อนกลับบ้าน"),
+    ("prose", "माली हर सुबह गुलाबों को पानी देता है। बगीचे का फाटक गर्मियों में खुला रहता है।"),
+    ("prose", "يسقي البستاني الورود كل صباح. تبقى بوابة الحديقة B-14 مفتوحة حتى 21 في الصيف. من أغلقها؟"),
+    ("prose", "Ο κηπουρός ποτίζει τα τριαντάφυλλα κάθε πρωί. Η πύλη B-14 του κήπου μένει ανοιχτή ως τις 21. Ποιος την έκλεισε;"),
+    ("prose", "For the dough you need a few things.\n- flour;\n- warm water;\n- a little salt.\nThe baker mixes them slowly, and then the dough rests for an hour under a cloth. Nobody should open the window in the meantime, because the dough would get cold."),
+    ("list", "- flour\n- yeast\n- salt\n- brown sugar\n- warm milk\n- butter"),
+    ("list", "1. roses\n2. tulips\n3. white lilies\n4. ferns\n5. old oaks"),
+    ("list", "[ ] feed the cat\n\n[ ] water the ferns\n\n[ ] sweep the path\n\n[ ] post the letters"),
+    ("list", "Contents\nSpring ........ 4\nSummer ............ 19\nAutumn ......... 37\nWinter ....... 52"),
+    ("list", "Menu\nsoup\nbrown bread\nsalad\napple pie\ntea\ncold milk"),
+    ("list", "wash the pots;\n\ndry spoons\n\nfill jars;\n\nset the table\n\nlight the candles"),
+    ("list", "Jobs for the fair 2011\nwash pots.\n\ndry spoons;\n\nfill jars\n\nset tables.\n\nlight candles;\n\nsweep floors.\n\nstack chairs\n\nfold napkins."),
+    ("list", "菜单\n黑面包\n5°C以下的牛奶\n苹果\n36号茶\n沙拉\n汤"),
+    ("list", "メニュー\n黒パン\n5°C以下の牛乳\nりんご\n36番のお茶\nサラダ\nスープ"),
+    ("list", "– 玫瑰\n– 百合\n– 面粉\n– 热牛奶\n– 苹果"),
+    ("table", "| flower | height | colour |\n| rose | 70 | red |\n| lily | 95 | white |\n| fern | 40 | green |"),
+    ("table", "loaf\tgrams\tprice\nrye\t750\t3.20\nspelt\t500\t3.90\nwheat\t1000\t2.75"),
+    ("table", "loaf=rye grams=750 price=3.20\nloaf=spelt grams=500 price=3.90\nloaf=wheat grams=1000 price=2.75"),
+    ("table", "1999-12-31T23:58 kitchen: oven door=open heat=210\n1999-12-31T23:59 kitchen: oven door=shut heat=205\n2000-01-01T00:07 kitchen: oven door=open heat=180"),
+    ("table", '"loaf";"grams";"price";"sold"\n"rye";750;3.20;41\n"spelt";500;3.90;12'),
+    ("junk", "Vkqz wpl trwmk xxgh dqpzr mwl. Nqzt bbwk hqlr ztpk vqj. Mkzw xptm jjvk bwq ffmt hqk vlz."),
+    ("junk", "Zplk qwtr mhgv xxj. Vbnq ktrl wpzz hgqk mlvx qqp trkz bnhw. Plmx vvkq zrth gwpq kkj hbnt mqlz xvw. Trpq lkzh wmbv qnx jjkt hgpl zzwq vrkm. Qlkh mmzp xwtr bgvq nkjz ppl hrtw kqzv mxb"),
+    ("junk", "Qm7Zt2LwPx9RkB4nVc6HsJ1dYf8GaTe3UoIi5XbNzMqWvErTyUpAsDfGhJkLzXcVbNmQ1w2E3r4T5y6U7i8O9p0LkJhGfDs"),
+    ("junk", "b@k~ |th§ r#se g¦rd%n {w¬ter} p|th ~pen§ s#mm¦r t@ble gr%ss |le¬f b#rk"),
+    ("junk", "a91f 07c3 5be2 88d0 f4a7 1c6e e035 92bb 6d4f c8a1 30e9 57d2 b16c 4fa8 09e5 d73b"),
+    ("junk", "red rose red rose red rose red rose red rose red rose red rose red rose red rose red rose red rose red rose red rose red rose"),
+    ("junk", "%%%%%%\n. . . . .\n+++++++\n*****\n@@@@ QL-7\n,,,,,,\n<<<<<<\n%%%%%%"),
 )
 
 
-#: Statistics the mixture is fitted on, and the least variance of a component in each of them, standardized.
-MIXED, LEAST_VARIANCE = ["other_share", "list_share", "table_share", "noise_share", "loose_share", "sentence_rate", "symbol_ratio", "digit_ratio", "common_share"], 0.05
+#: Least variance of a component in each statistic, standardized.
+LEAST_VARIANCE = 0.05
 
 
 class Mixture:
@@ -257,23 +253,25 @@ class Mixture:
     def standardized(self, values: np.ndarray) -> np.ndarray:
         return (values - self.centre) / self.scale
 
-    def responsibilities(self, points: np.ndarray) -> np.ndarray:
-        """Share of each component in each (standardized) point."""
+    def responsibilities(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Share of each component in each (standardized) point, and the point's log-likelihood but for a constant."""
         logs = np.empty((len(points), len(self.means)))
         for k, (weight, mean, covariance) in enumerate(zip(self.weights, self.means, self.covariances)):
             factor = np.linalg.cholesky(covariance)
             apart = np.linalg.solve(factor, (points - mean).T)
             logs[:, k] = np.log(weight) - 0.5 * (apart**2).sum(axis=0) - np.log(np.diag(factor)).sum()
-        logs -= logs.max(axis=1, keepdims=True)
-        shares = np.exp(logs)
-        return shares / shares.sum(axis=1, keepdims=True)
+        top = logs.max(axis=1, keepdims=True)
+        shares = np.exp(logs - top)
+        whole = shares.sum(axis=1, keepdims=True)
+        return shares / whole, (top + np.log(whole))[:, 0]
 
 
 def fit_mixture(points: DataFrame, start: np.ndarray, rounds: int = ROUNDS) -> Mixture:
     """Expectation-maximization over a table with the columns MIXED, from the given (unstandardized) means.
 
     A round is one pass of Spark: every partition adds up its responsibilities and moments, which are
-    summed by component; one small row for each component reaches the driver.
+    summed by component; one small row for each component reaches the driver. Rounds end when a document's
+    log-likelihood gains less than LEAST_GAIN on average.
     """
     spark = points.sparkSession
     row = points.agg(*(F.avg(x).alias(f"m{i}") for i, x in enumerate(MIXED)), *(F.stddev_pop(x).alias(f"s{i}") for i, x in enumerate(MIXED))).first()
@@ -281,41 +279,42 @@ def fit_mixture(points: DataFrame, start: np.ndarray, rounds: int = ROUNDS) -> M
     scale = np.array([row[f"s{i}"] or 1.0 for i in range(d)])
     centre = np.array([row[f"m{i}"] or 0.0 for i in range(d)])
     mixture = Mixture(centre, scale, (start - centre) / scale)
-    values = points.select(*MIXED).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for _ in range(rounds):
-            sent = spark.sparkContext.broadcast(mixture)
-
-            def moments(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-                own = sent.value
-                k = len(own.means)
-                total = np.zeros((k, 1 + d + d * d))
-                for batch in batches:
-                    x = own.standardized(batch.to_numpy(float))
-                    shares = own.responsibilities(x)
-                    total[:, 0] += shares.sum(axis=0)
-                    total[:, 1 : 1 + d] += shares.T @ x
-                    total[:, 1 + d :] += shares.T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
-                yield pd.DataFrame({"component": range(k), "sums": [*total]})
-
-            summed = values.mapInPandas(moments, "component int, sums array<double>").select("component", F.posexplode("sums").alias("place", "value"))
-            summed = summed.groupBy("component", "place").agg(F.sum("value").alias("value"))
-            sums = np.zeros((len(mixture.means), 1 + d + d * d))
-            for r in summed.collect():
-                sums[r.component, r.place] = r.value
-            if not sums[:, 0].sum():
-                break
-            held = np.maximum(sums[:, 0], 1e-9)
-            mixture = Mixture(centre, scale, mixture.means.copy())
-            mixture.weights = np.maximum(sums[:, 0] / sums[:, 0].sum(), 1e-12)
-            for k in range(len(held)):
-                if sums[k, 0] > 1e-6:
-                    mean = sums[k, 1 : 1 + d] / held[k]
-                    second = sums[k, 1 + d :].reshape(d, d) / held[k]
-                    mixture.means[k] = mean
-                    mixture.covariances[k] = second - np.outer(mean, mean) + np.eye(d) * LEAST_VARIANCE
-    finally:
-        values.unpersist()
+    k = len(start)
+    values, before = points.select(*MIXED), -np.inf
+    for _ in range(rounds):
+        sent = spark.sparkContext.broadcast(mixture)
+
+        def moments(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            own = sent.value
+            total = np.zeros((k + 1, 1 + d + d * d))  # the last row holds the log-likelihood
+            for batch in batches:
+                x = own.standardized(batch.to_numpy(float))
+                shares, likelihood = own.responsibilities(x)
+                total[:k, 0] += shares.sum(axis=0)
+                total[:k, 1 : 1 + d] += shares.T @ x
+                total[:k, 1 + d :] += shares.T @ (x[:, :, None] * x[:, None, :]).reshape(len(x), -1)
+                total[k, 0] += likelihood.sum()
+            yield pd.DataFrame({"component": range(k + 1), "sums": [*total]})
+
+        summed = values.mapInPandas(moments, "component int, sums array<double>").select("component", F.posexplode("sums").alias("place", "value"))
+        summed = summed.groupBy("component", "place").agg(F.sum("value").alias("value"))
+        sums = np.zeros((k + 1, 1 + d + d * d))
+        for r in summed.collect():
+            sums[r.component, r.place] = r.value
+        sent.destroy()
+        rows = sums[:k, 0].sum()
+        if not rows:
+            break
+        mixture = Mixture(centre, scale, mixture.means.copy())
+        mixture.weights = np.maximum(sums[:k, 0] / rows, 1e-12)
+        for i in range(k):
+            if sums[i, 0] > 1e-6:
+                mean = sums[i, 1 : 1 + d] / sums[i, 0]
+                mixture.means[i] = mean
+                mixture.covariances[i] = sums[i, 1 + d :].reshape(d, d) / sums[i, 0] - np.outer(mean, mean) + np.eye(d) * LEAST_VARIANCE
+        gain, before = sums[k, 0] / rows - before, sums[k, 0] / rows
+        if gain < LEAST_GAIN:
+            break
     return mixture
 
 
@@ -325,13 +324,14 @@ def classify(documents: DataFrame, keep: list[str] | None = None, rounds: int =
     The mixture starts with one component at each inspected example; a fitted component is named after the
     kind of the example nearest to its mean.
     """
-    common = frozenset(r.word for r in common_words(documents).collect())
+    common = _common_set(documents)
     kept = [c for c in (documents.columns if keep is None else keep) if c not in STATISTICS]
-    measured = durable(text_statistics(documents, common).select(*(f"`{c}`" for c in kept), *STATISTICS))
+    measured = written(text_statistics(documents, common).select(*(f"`{c}`" for c in kept), *STATISTICS))
     filled = measured.where("n_printed > 0")
     # the examples' own languages need not be those of the corpus
-    read = common | {x.lower() for kind, text in EXAMPLES if kind != "junk" for x in WORD.findall(text)}
-    examples = pd.DataFrame([statistics_of(text, read) for _, text in EXAMPLES], columns=STATISTICS)[MIXED].to_numpy(float)
+    told = [text for kind, text in EXAMPLES if kind != "junk"]
+    read = pa.chunked_array([common, _words(_apart(_plain(pa.array(told))))[1]]).combine_chunks()
+    examples = statistics_table(pa.array([text for _, text in EXAMPLES]), read)[MIXED].to_numpy(float)
     kinds = [kind for kind, _ in EXAMPLES]
     mixture = fit_mixture(filled, examples, rounds)
     points = mixture.standardized(examples)
@@ -341,7 +341,7 @@ def classify(documents: DataFrame, keep: list[str] | None = None, rounds: int =
     @F.pandas_udf("kind string, prose_probability double")
     def decided(*columns: pd.Series) -> pd.DataFrame:
         own, called = sent.value
-        shares = own.responsibilities(own.standardized(np.column_stack(columns)))
+        shares, _ = own.responsibilities(own.standardized(np.column_stack(columns)))
         by_kind = pd.DataFrame({kind: shares[:, [i for i, x in enumerate(called) if x == kind]].sum(axis=1) for kind in ("prose", "list", "table", "junk")})
         return pd.DataFrame({"kind": by_kind.idxmax(axis=1), "prose_probability": by_kind["prose"]})
 

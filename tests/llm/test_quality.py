@@ -2,7 +2,10 @@ import random
 
 import pytest
 
-from pageloom.llm.quality import EXAMPLES, STATISTICS, classify, common_words, statistics_of, text_statistics
+import pyarrow as pa
+
+from pageloom.llm import quality
+from pageloom.llm.quality import STATISTICS, classify, common_words, statistics_table, text_statistics
 
 NOUNS = "pump valve meter clerk door report signal tank key log".split()
 
@@ -37,10 +40,32 @@ def test_mixture_tells_prose_from_the_rest(spark):
 
 
 def test_statistics_of_one_text():
-    named = dict(zip(STATISTICS, statistics_of("Ab cd. Ef\n- x y\n- z w\n- q r", frozenset({"ab"}))))
-    assert named["n_words"] == 9 and named["n_lines"] == 4 and named["list_share"] == pytest.approx(15 / 24)
-    assert named["common_share"] == pytest.approx(1 / 9) and named["line_end_share"] == 0
-    assert statistics_of(None, frozenset()) == statistics_of(" ​\n", frozenset()) == (0,) * len(STATISTICS)
+    texts = pa.array(["Ab cd. Ef\n- x y\n- z w\n• q r", None, " \u200b\n", "", "泵停止。ＡＢ 5%"])
+    table = statistics_table(texts, pa.array(["ab"]))
+    one = table.iloc[0]
+    assert (one.n_words, one.n_lines, one.n_printed) == (9, 4, 17) and one.marked_share == pytest.approx(15 / 24)
+    assert one.common_share == pytest.approx(1 / 9) and one.line_end_share == 0 and one.cell_share == 0
+    assert one.letter_share == pytest.approx(13 / 17) and one.mean_word_length == pytest.approx(13 / 9) and one.variety == pytest.approx(10 / 12)
+    assert (table.iloc[1:4].to_numpy() == 0).all() and list(table.columns) == STATISTICS
+    last = table.iloc[4]
+    assert last.n_words == 4 and last.common_share == pytest.approx(1 / 4) and last.digit_ratio == pytest.approx(1 / 8)
+
+
+def test_rows_and_lines():
+    rows = ["| a | b |\n| c | d |", "k=1 v=2\nk=3 v=4", "a;b;c;d;e", "2001-02-03T04:05 started", "- a, b\nplain line.", "x" * 50 + " y"]
+    table = statistics_table(pa.array(rows), pa.array([], pa.string()))
+    assert table.cell_share.tolist() == [1, 1, 1, 1, 0, 0] and table.ended_share[4] == pytest.approx(11 / 17) and table.long_share[5] == pytest.approx(50 / 51)
+
+
+def test_portions_change_nothing(monkeypatch):
+    texts = pa.array([t for _, t, _ in corpus()[:40]] + [None, "", "x" * 400])
+    whole = statistics_table(texts, pa.array(["the", "stays"]))
+    monkeypatch.setattr(quality, "AT_ONCE", 300)
+    parts = [*quality._portions(texts)]
+    assert len(parts) > 5 and sum(map(len, parts)) == len(texts)
+    import pandas as pd
+
+    pd.testing.assert_frame_equal(pd.concat([statistics_table(x, pa.array(["the", "stays"])) for x in parts], ignore_index=True), whole)
 
 
 def test_columns_repeats_and_empty_tables(spark):
@@ -60,10 +85,3 @@ def test_common_words_are_a_share_of_their_script_or_language_at_every_size(spar
     rows = [("the pump", "en")] * 1990 + [("the qzx", "und")] * 3 + [("le quai", "fr")] * 7
     large = {r.word for r in common_words(spark.createDataFrame(rows, "text string, lang string")).collect()}
     assert large == {"the", "pump", "le", "quai"}  # three documents in two thousand are too few
-
-
-def test_examples_are_what_they_are_called():
-    common = frozenset("the pump stops when tank is empty check valve before you start it again and note time in log".split())
-    for kind, text in EXAMPLES[:1] + tuple(x for x in EXAMPLES if x[0] in ("list", "table")):
-        other = dict(zip(STATISTICS, statistics_of(text, common)))["other_share"]
-        assert (other > 0.5) == (kind != "prose"), text
