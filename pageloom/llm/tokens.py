@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pageloom.session import written
 
 #: Pre-tokens above this share of all of them are broadcast; there are at most 1 / HOT of them, each of at most HOT_CHARS characters.
-HOT, HOT_CHARS = 1 / 50_000, 64
+HOT, HOT_CHARS = 1 / 200_000, 64
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -93,12 +93,13 @@ def encode_texts(rows: DataFrame, id_column: str = "doc_id", text_column: str =
     vocabulary = written(encode_words(counted, path))
     total = vocabulary.agg(F.sum("n")).first()[0] or 0
     hot = (F.col("n") > total * HOT) & (F.length("word") <= HOT_CHARS)
-    frequent = vocabulary.where(hot).select("word", "ids").collect()  # fewer than 1 / HOT rows
-    sent = rows.sparkSession.sparkContext.broadcast(([r.word for r in frequent], [len(r.ids) for r in frequent], [x for r in frequent for x in r.ids]))
+    frequent = vocabulary.where(hot).select("word", "ids").toArrow().combine_chunks()  # fewer than 1 / HOT rows
+    sent = rows.sparkSession.sparkContext.broadcast(frequent)
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, lengths, ids = sent.value
-        known, lengths, ids = pa.array(known, pa.string()), np.array(lengths, np.int64), np.array(ids, np.int32)
+        known = sent.value["word"].combine_chunks().cast(pa.string())
+        lengths = pc.list_value_length(sent.value["ids"]).to_numpy().astype(np.int64)
+        ids = pc.list_flatten(sent.value["ids"]).to_numpy().astype(np.int32)
         for batch in batches:
             runs, rare = _runs(batch.column(2), known, lengths, ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), runs, rare], [id_column, "_row", "_runs", "_rare"])
