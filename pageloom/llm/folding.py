@@ -11,6 +11,8 @@ ACCENTS = re.compile("[̀-ͯ]")
 #: Scripts written without blanks: every character counts as a word of its own.
 UNSPACED = "฀-๿぀-ヿ㐀-鿿豈-﫿"
 WORD = re.compile(rf"[{UNSPACED}]|(?:[^\W_{UNSPACED}]|[̀-֑ͯ-ׇؐ-ٟऀ-ःऺ-ॏ])+")
+ASCII_WORD = re.compile("[a-z0-9]+")
+HYPHENS = ("-", "‐", "‑")
 BROKEN = re.compile(r"(?<=\w)[-‐‑](?:[^\S\n]*\n\s*)?(?=\w)")
 
 
@@ -30,6 +32,7 @@ def _caseless() -> dict[int, str]:
 
 
 CASELESS = _caseless()
+ANY_CASELESS = re.compile("[μ" + "".join(map(chr, CASELESS)) + "]")
 #: Mu is m inside Greek words only; elsewhere it is the sign of a unit.
 MU_IN_WORD = re.compile("μ(?=[α-ω])|(?<=[α-ω])μ")
 
@@ -39,17 +42,21 @@ def fold(text: str) -> str:
     if text.isascii():
         return text.lower()
     plain = unicodedata.normalize("NFC", ACCENTS.sub("", unicodedata.normalize("NFKD", text))).casefold()
+    if not ANY_CASELESS.search(plain):
+        return plain
     return (MU_IN_WORD.sub("m", plain) if "μ" in plain else plain).translate(CASELESS)
 
 
 def words_of(text: str) -> list[str]:
     """Folded words of a text; hyphens inside words, and the line breaks after them, are closed up."""
-    return WORD.findall(fold(BROKEN.sub("", text)))
+    if any(x in text for x in HYPHENS):
+        text = BROKEN.sub("", text)
+    return ASCII_WORD.findall(text.lower()) if text.isascii() else WORD.findall(fold(text))
 
 
 def letters_of(text: str) -> str:
     """All folded letters and digits in a row."""
-    return "".join(WORD.findall(fold(text)))
+    return "".join(ASCII_WORD.findall(text.lower()) if text.isascii() else WORD.findall(fold(text)))
 
 
 def digits_of(letters: str) -> str:

@@ -29,7 +29,7 @@ from pageloom.llm.lookalike import LookalikeClasses, fit
 from pageloom.session import Written
 
 #: Words in a phrase, words between sampled suffix positions, words in a shard, characters of items sent out at once.
-PHRASE, SAMPLED, SHARD, BLOCK_CHARS = 5, 16, 300_000, 4_000_000
+PHRASE, SAMPLED, SHARD, BLOCK_CHARS = 5, 4, 150_000, 4_000_000
 #: Words below which an item is searched by shorter phrases, and their words: half of it, a few words changed, still holds one.
 SHORTER = ((25, 3), (60, 4))
 #: Least share of an item that counts as held.
@@ -43,6 +43,8 @@ DRIFT = 40
 NEIGHBOURS = COVERED * (PHRASE - 1) / PHRASE
 #: Places that are counted at once.
 AT_ONCE = 20_000
+#: Entries of a table of items and pairs; larger blocks of items are looked up by search.
+TABLE = 50_000_000
 #: Characters that stand for a word of DRIFT in scripts without blanks.
 LETTERS = {"thai": 4, "han": 2}
 UNSPACED_WORD = re.compile(f"[{UNSPACED}]")
@@ -193,7 +195,7 @@ class _Items:
         self.ids = [x for x, _ in rows]
         self.words = [words_of(rewrite(x)) for _, x in rows]
         self.counts = [Counter(x) for x in self.words]
-        self.facts = [_digit_words(x) for x in self.words]
+        self.facts = [_Facts(x) for x in self.words]
         self.drift = np.array([_drift(x) for x in self.words])
         self.lengths = np.array([len(x) for x in self.words], np.int64)
         self.vocabulary: dict[str, int] = {}
@@ -206,8 +208,16 @@ class _Items:
         pairs = [(item, a * len(self.vocabulary) + b) for item, own in enumerate(self.numbers) for a, b in zip(own[:-1].tolist(), own[1:].tolist())]
         item, pair = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(0, np.int64),) * 2
         self.pairs, pair = np.unique(pair, return_inverse=True)
-        #: Whether a pair of neighbouring words (a number of self.pairs) stands in an item, as one sorted key.
-        self.own_pairs = np.unique(item * (len(self.pairs) + 1) + pair)
+        self.own_pairs = np.unique(item * len(self.pairs) + pair)
+        self.table = None
+        if len(self.words) * len(self.pairs) <= TABLE:
+            self.table = np.zeros(len(self.words) * len(self.pairs), bool)
+            self.table[self.own_pairs] = True
+
+    def holds(self, item: np.ndarray, pair: np.ndarray) -> np.ndarray:
+        """Whether each pair of neighbouring words (a number of self.pairs) stands in the item."""
+        key = item * len(self.pairs) + pair
+        return self.table[key] if self.table is not None else np.isin(key, self.own_pairs)
 
 
 def _shards(batch: pd.DataFrame, rewrite) -> Iterator[list[tuple[int, list[str]]]]:
@@ -289,13 +299,11 @@ def _neighbours(symbols: _Symbols, items: _Items, item: np.ndarray, begin: np.nd
         counts = high[part] - low[part]
         row = np.repeat(np.arange(len(counts)), counts)
         flat = np.repeat(low[part] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
-        key = item[part][row] * (len(items.pairs) + 1) + known[flat]
-        found = items.own_pairs[np.minimum(np.searchsorted(items.own_pairs, key), len(items.own_pairs) - 1)] == key
-        held[part] = np.bincount(row[found], minlength=len(counts))
+        held[part] = np.bincount(row[items.holds(item[part][row], known[flat])], minlength=len(counts))
     return held
 
 
-def aligned_share(item: list[str], window: list[str], facts: set[int] | None = None) -> float:
+def aligned_share(item: list[str], window: list[str], facts: list[int] | None = None) -> float:
     """Share of an item's words that stand in a window in order, in runs of words; 0 where most of its numbers and codes differ."""
     blocks = [b for b in SequenceMatcher(None, item, window, autojunk=False).get_matching_blocks() if b.size]
     long = [b for b in blocks if b.size >= min(4, _phrase_words(item), len(item))]
@@ -313,16 +321,27 @@ def aligned_share(item: list[str], window: list[str], facts: set[int] | None = N
     return len(matched) / len(item)
 
 
-def _facts_there(item: list[str], facts: set[int], there: Counter) -> bool:
-    """Whether some half of an item, or more of it, has two thirds of its numbers and codes among the words of a place."""
-    if not facts:
-        return True
-    half = math.ceil(HELD * len(item))
-    gained = np.zeros(len(item) + 1, np.int64)
-    for i in facts:
-        gained[i + 1] = 1 if item[i] in there else -2
-    gained = np.cumsum(gained)
-    return bool((gained[half:] >= np.minimum.accumulate(gained[: len(gained) - half])).any())
+class _Facts:
+    """Places of an item's numbers and codes, and how few of them any half of it has."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.places = sorted(_digit_words(words))
+        self.words = [words[i] for i in self.places]
+        self.length, self.half = len(words), math.ceil(HELD * len(words))
+        so_far = np.cumsum(np.bincount([x + 1 for x in self.places], minlength=self.length + 1))
+        self.fewest = int((so_far[self.half :] - so_far[: self.length + 1 - self.half]).min()) if self.places else 0
+
+    def there(self, held: set[str]) -> bool:
+        """Whether some half of the item, or more of it, has two thirds of its numbers and codes among the words of a place."""
+        if not self.places:
+            return True
+        found = [x in held for x in self.words]
+        if 3 * sum(found) < 2 * self.fewest:
+            return False
+        gained = np.zeros(self.length + 1, np.int64)
+        gained[[x + 1 for x in self.places]] = [1 if x else -2 for x in found]
+        gained = np.cumsum(gained)
+        return bool((gained[self.half :] >= np.minimum.accumulate(gained[: self.length + 1 - self.half])).any())
 
 
 def _few_changed(blocks: list, words: int) -> bool:
@@ -374,11 +393,13 @@ def _leaks(shard: list[tuple[int, list[str]]], items: _Items) -> Iterator[tuple[
     best: dict[tuple[int, int], tuple[float, int, int]] = {}
     for doc, found, first, last in zip(*(x[near].tolist() for x in (document, item, begin, end))):
         words, window = items.words[found], shard[doc][1][first:last]
+        if not items.facts[found].there({*window}):
+            continue
         # words in any order are no fewer than words in order
         there = Counter(window)
-        if sum(min(n, there[x]) for x, n in items.counts[found].items() if x in there) < max(HELD * len(words), PHRASE) or not _facts_there(words, items.facts[found], there):
+        if sum(min(n, there[x]) for x, n in items.counts[found].items() if x in there) < max(HELD * len(words), PHRASE):
             continue
-        share = aligned_share(words, window, items.facts[found])
+        share = aligned_share(words, window, items.facts[found].places)
         if share >= HELD and round(share * len(words)) >= PHRASE and share > best.get((doc, found), (0.0,))[0]:
             best[doc, found] = share, first, last
     for (doc, found), (share, first, last) in best.items():

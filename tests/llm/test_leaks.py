@@ -99,10 +99,10 @@ def test_shards_with_repeated_passages_are_sorted_whole():
 
 def test_half_with_the_facts_of_another_half_is_looked_at():
     item = ["w" + chr(97 + i % 26) * (1 + i // 26) if i % 5 else f"{i}9" for i in range(40)]
-    facts = leaks._digit_words(item)
-    assert leaks._facts_there(item, facts, leaks.Counter(item[:20])) and leaks._facts_there(item, facts, leaks.Counter(item[20:]))
-    assert not leaks._facts_there(item, facts, leaks.Counter(x for x in item if x.startswith("w")))
-    assert leaks._facts_there(["a"] * 9, set(), leaks.Counter())
+    facts = leaks._Facts(item)
+    assert facts.there({*item[:20]}) and facts.there({*item[20:]})
+    assert not facts.there({x for x in item if x.startswith("w")})
+    assert leaks._Facts(["a"] * 9).there(set())
 
 
 def test_items_of_less_than_a_phrase_are_found_whole(spark):
