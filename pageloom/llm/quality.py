@@ -58,7 +58,8 @@ def _cut(texts: pa.Array, pattern: str | None = None) -> tuple[np.ndarray, pa.Ar
 
 
 def _plain(texts: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=HIDDEN, replacement=""), "NFKC")
+    """Texts without hidden characters, compatibility forms and accents taken apart (NFKD), null as empty; words and lengths are those of this form."""
+    return pc.utf8_normalize(pc.replace_substring_regex(pc.fill_null(texts, ""), pattern=HIDDEN, replacement=""), "NFKD")
 
 
 def _apart(plain: pa.Array) -> pa.Array:

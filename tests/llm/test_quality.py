@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 
@@ -81,7 +82,7 @@ def test_common_words_are_a_share_of_their_script_or_language_at_every_size(spar
     many = " ".join("".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(4500))
     rows = [(many, "en")] * 6 + [("η αντλία", None)] * 4 + [("der wagen", "de")] * 3
     small = {r.word for r in common_words(spark.createDataFrame(rows, "text string, lang string")).collect()}
-    assert {*many.split(), "η", "αντλία", "der", "wagen"} == small  # no rank over all scripts cuts the less frequent ones
+    assert {*many.split(), "η", unicodedata.normalize("NFKD", "αντλία"), "der", "wagen"} == small  # no rank over all scripts cuts the less frequent ones
     rows = [("the pump", "en")] * 1990 + [("the qzx", "und")] * 3 + [("le quai", "fr")] * 7
     large = {r.word for r in common_words(spark.createDataFrame(rows, "text string, lang string")).collect()}
     assert large == {"the", "pump", "le", "quai"}  # three documents in two thousand are too few
