@@ -1,13 +1,12 @@
 """Embedders: functions from a string column to a column of unit vectors, given to the operators that need one.
 
-The deterministic ones need no model. A pretrained one is loaded once in each Python worker, only when
-its column is evaluated; its library is not part of this environment, so that path is untested here.
+They need no model; one that does is given as a function that is called once in each Python worker.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,7 +19,9 @@ Embedder = Callable[[Column], Column]
 _VECTOR = T.ArrayType(T.FloatType())
 
 
-def _udf(embed: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:
+def embedder(embed: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:
+    """An embedder around a model that is made once in each worker: texts -> matrix; rows are normalised, nulls stay null."""
+
     @F.pandas_udf(_VECTOR)
     def embedded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = embed()
@@ -43,7 +44,7 @@ def keyword_embedder(keywords: Sequence[str]) -> Embedder:
     def make():
         return lambda texts: np.array([[x.lower().count(word.lower()) for word in keywords] for x in texts], float).reshape(len(texts), len(keywords))
 
-    return _udf(make)
+    return embedder(make)
 
 
 def hashing_embedder(dimension: int = 256) -> Embedder:
@@ -56,25 +57,13 @@ def hashing_embedder(dimension: int = 256) -> Embedder:
             matrix = np.zeros((len(texts), dimension))
             for row, text in enumerate(texts):
                 for found in word.findall(text.lower()):
-                    code = zlib.crc32(found.encode())
-                    matrix[row, code % dimension] += 1 if code & 0x40000000 else -1
+                    code = int(hashlib.md5(found.encode()).hexdigest()[:8], 16)
+                    matrix[row, code % dimension] += 1 if code >= 2**31 else -1
             return np.sign(matrix) * np.log1p(np.abs(matrix))
 
         return embed
 
-    return _udf(make)
-
-
-def pretrained_embedder(name: str, batch_size: int = 32) -> Embedder:
-    """A sentence-embedding model by name, loaded lazily in the workers (needs an optional library)."""
-
-    def make():
-        from sentence_transformers import SentenceTransformer
-
-        model = SentenceTransformer(name)
-        return lambda texts: model.encode(texts, batch_size=batch_size, convert_to_numpy=True)
-
-    return _udf(make)
+    return embedder(make)
 
 
 def not_blank(text: Column, what: str = "Question") -> Column:

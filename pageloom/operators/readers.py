@@ -1,14 +1,16 @@
 """Readers: answers from chunks, with the model as an exchangeable part.
 
-An extractive model gives start and end logits for windows of tokens, a generative one a text for a
-prompt. Both run inside Arrow batches; cutting into windows, choosing spans and packing prompts is done
-around them. A failing call becomes an error in its row, never a failed job.
+A reader is a function from tasks (key columns, ``question`` and ``context``, an array of chunk_id and text in
+order) to tasks with the OUTPUT columns. Guards, windows, prompt packing and the choice between windows are
+relational; only tokenizing and the model's calls run in Arrow batches. A failing call becomes an error in its
+row, never a failed job.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,34 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pageloom.functions.text import NOT_AVAILABLE, NOT_AVAILABLE_REPLIES
+from pageloom.functions import vectors
+from pageloom.functions.text import NOT_AVAILABLE, build_prompt, says_not_available, strip
+from pageloom.operators.chunking import split_sentences
 
-OUTPUT = "prediction string, used_chunk_ids array<string>, confidence double, answer_chunk_id string, start_char int, end_char int, error string, seconds double"
-
-
-@dataclass(frozen=True)
-class Chunk:
-    """One chunk of a reader's context."""
-
-    chunk_id: str
-    text: str
-
-
-@dataclass(frozen=True)
-class Output:
-    """What a reader returns: its text or None, the chunks it used and, if extractive, where the answer stands."""
-
-    prediction: str | None
-    used_chunk_ids: list[str]
-    confidence: float | None = None
-    answer_chunk_id: str | None = None
-    start_char: int | None = None
-    end_char: int | None = None
-
-
-#: A reader is made once in each Python worker.
-Reader = Callable[[str, list[Chunk]], Output]
+OUTPUT = ["prediction", "used_chunk_ids", "confidence", "answer_chunk_id", "start_char", "end_char", "error", "seconds"]
+#: (tasks, key columns) -> tasks with the OUTPUT columns, one row for each.
+Reader = Callable[[DataFrame, list[str]], DataFrame]
 Offsets = list[tuple[int, int]]
+_CONTEXT = "array<struct<chunk_id:string,text:string>>"
 
 
 def word_offsets(text: str) -> Offsets:
@@ -51,167 +34,141 @@ def word_offsets(text: str) -> Offsets:
     return [x.span() for x in re.finditer(r"\S+", text)]
 
 
-def _with_text(question: str, chunks: list[Chunk]) -> list[Chunk]:
-    if not (question or "").strip():
-        raise ValueError("Question must not be empty")
-    kept = [x for x in chunks if (x.text or "").strip()]
-    if not kept:
-        raise ValueError("Context must include at least one chunk with text")
-    return kept
+def offsets_column(text: Column, tokenize: Callable[[str], Offsets] = word_offsets) -> Column:
+    """array<struct<start,end>>: places of a text's tokens; null for null."""
 
+    @F.pandas_udf("array<struct<start:int,end:int>>")
+    def placed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([None if x is None else [{"start": a, "end": b} for a, b in tokenize(x)] for x in batch], dtype=object)
 
-def windows(n: int, size: int, stride: int) -> Iterator[tuple[int, int]]:
-    """Token ranges of at most ``size`` that cover n tokens, each beginning ``stride`` before the end of the one before."""
-    count = 1 if n <= size else 1 + -(-(n - size) // (size - stride))
-    for i in range(count):
-        yield i * (size - stride), min(i * (size - stride) + size, n)
+    return placed.asNondeterministic()(text)
 
 
-def best_span(start: np.ndarray, end: np.ndarray, context: np.ndarray, longest: int) -> tuple[int, int, float] | None:
-    """(start, end, score) of the best span inside the context, or None where position 0 ("no answer") is as likely."""
-    seen = context.copy()
-    seen[0] = True
-    shares = []
-    for logits in (start, end):
-        shifted = np.exp(np.where(seen, logits - logits[seen].max(), -np.inf))
-        shares.append(shifted / shifted.sum())
-    scores = np.triu(np.tril(np.outer(shares[0] * context, shares[1] * context), longest - 1))
-    place = int(scores.argmax())
-    score = float(scores.flat[place])
-    return None if score <= shares[0][0] * shares[1][0] else (*divmod(place, len(context)), score)
+def guarded(tasks: DataFrame) -> DataFrame:
+    """Tasks with ``context`` reduced to chunks with text, and ``error`` for a blank question or a context without any."""
+    kept = F.filter(F.coalesce("context", F.array().cast(_CONTEXT)), lambda x: F.coalesce(strip(x["text"]) != "", F.lit(False)))
+    error = F.when(F.coalesce(strip(F.col("question")), F.lit("")) == "", "ValueError: Question must not be empty").when(F.size("context") == 0, "ValueError: Context must include at least one chunk with text")
+    return tasks.drop(*OUTPUT).withColumn("context", kept).withColumn("error", error)
 
 
-def extractive_reader(model: Callable[[str, list[str]], tuple[np.ndarray, np.ndarray]], tokenize: Callable[[str], Offsets] = word_offsets, max_length: int = 384, doc_stride: int = 128, longest: int = 30, min_score: float = 0.1) -> Reader:
-    """A reader around a model (question, window texts' tokens) -> start and end logits.
+def _answered(tasks: DataFrame, keys: list[str], answers: DataFrame, used: Column) -> DataFrame:
+    """The given tasks with the OUTPUT columns: an answer's, or the guard's error."""
+    tasks = tasks.drop(*OUTPUT)
+    joined = tasks.join(guarded(tasks).select(*keys, F.col("context").alias("_kept"), F.col("error").alias("_guard")), keys).join(answers, keys, "left")
+    error = F.coalesce("_guard", "error")
+    out = {
+        "prediction": F.col("prediction"), "used_chunk_ids": F.when(error.isNull(), used), "confidence": F.col("confidence").cast("double"), "answer_chunk_id": F.col("answer_chunk_id"),
+        "start_char": F.col("start_char").cast("int"), "end_char": F.col("end_char").cast("int"), "error": error, "seconds": F.coalesce(F.col("seconds").cast("double"), F.lit(0.0)),
+    }
+    return joined.select(*tasks.columns, *(v.alias(k) for k, v in out.items()))
 
-    The model is called with the question and, for each window, its list of tokens; logits hold position 0,
-    the question, a separator, the window and a separator. The best window wins, the earlier one on ties.
-    """
 
-    def read(question: str, chunks: list[Chunk]) -> Output:
-        kept = _with_text(question, chunks)
-        begin = len(tokenize(question)) + 2
-        size = max_length - begin - 1
-        if size <= doc_stride:
-            raise ValueError(f"Question is too long ({begin - 2} tokens) for max_length={max_length}")
-        spans = [(chunk, places[a:b]) for chunk in kept for places in [tokenize(chunk.text)] for a, b in windows(len(places), size, doc_stride)]
-        starts, ends = model(question, [[chunk.text[a:b] for a, b in places] for chunk, places in spans])
-        best: tuple[float, Chunk, int, int] | None = None
-        for (chunk, places), start, end in zip(spans, starts, ends):
-            context = np.zeros(len(start), bool)
-            context[begin : begin + len(places)] = True
-            found = best_span(np.asarray(start, float), np.asarray(end, float), context, longest) if places else None
-            if found and (best is None or found[2] > best[0]):
-                best = found[2], chunk, places[found[0] - begin][0], places[found[1] - begin][1]
-        used = [x.chunk_id for x in kept]
-        if best is None or best[0] < min_score:
-            return Output(None, used)
-        score, chunk, first, last = best
-        return Output(chunk.text[first:last], used, score, chunk.chunk_id, first, last)
+def _all_used(context: Column) -> Column:
+    return F.transform(context, lambda x: x["chunk_id"])
 
-    return read
 
+def _called(model: Callable, rows: int, call: Callable[[slice], object]) -> tuple[list, list]:
+    """(results, errors) of a model called on a whole batch at once; where that fails, on each row alone, so that only the failing rows have errors."""
+    try:
+        return [*call(slice(0, rows))], [None] * rows
+    except Exception:  # found again below, in the row it belongs to
+        results, errors = [], []
+        for row in range(rows):
+            try:
+                results += [*call(slice(row, row + 1))]
+                errors.append(None)
+            except Exception as raised:  # recorded in its row
+                results.append(None)
+                errors.append(f"{type(raised).__name__}: {raised}")
+        return results, errors
 
-def prompt_of(question: str, texts: list[str]) -> str:
-    """The prompt of a generative reader; equals the column function build_prompt."""
-    context = "\n\n".join(f"[{i}] {x.strip()}" for i, x in enumerate(texts, 1))
-    return f'Answer the question using only the context below. If the context does not contain the answer, reply "not available".\n\nContext:\n{context}\n\nQuestion: {question.strip()}\nAnswer:'
 
+def _loaded(make: Callable) -> tuple[object, str | None]:
+    try:
+        return make(), None
+    except Exception as raised:  # recorded in every row, so that other readers' results survive
+        return None, f"reader failed to load: {type(raised).__name__}: {raised}"
 
-def fit_chunks(question: str, chunks: list[Chunk], budget: int, tokenize: Callable[[str], Offsets] = word_offsets) -> tuple[list[str], list[Chunk]]:
-    """(texts for the prompt, chunks they come from): the longest run of leading chunks whose prompt is within the budget.
 
-    Where not even the first fits, its beginning does; ValueError where there is no room for any of it.
+@dataclass(frozen=True)
+class Padded:
+    """One batch for an extractive model: position 0, the question, a separator, the window, a separator, then padding.
+
+    ``tokens`` holds strings ("" in special places), ``attention`` 1 where no padding is, ``segments`` 1 in the
+    window and its separator, ``context`` true in the window.
     """
 
-    def tokens(texts: list[str]) -> int:
-        return len(tokenize(prompt_of(question, texts)))
-
-    fitting = 0
-    while fitting < len(chunks) and tokens([x.text for x in chunks[: fitting + 1]]) <= budget:
-        fitting += 1
-    if fitting:
-        return [x.text for x in chunks[:fitting]], chunks[:fitting]
-    first, places = chunks[0], tokenize(chunks[0].text)
-    room = budget - tokens([""])
-    while room > 0:
-        cut = first.text if len(places) <= room else first.text[: places[room - 1][1]]
-        over = tokens([cut]) - budget
-        if over <= 0:
-            return [cut], [first]
-        room -= over
-    raise ValueError(f"Question is too long for max_input_tokens={budget}")
-
-
-def generative_reader(model: Callable[[str], str], tokenize: Callable[[str], Offsets] = word_offsets, max_input_tokens: int = 512) -> Reader:
-    """A reader around a model prompt -> text; replies that mean "no answer" become one fixed sentence."""
-
-    def read(question: str, chunks: list[Chunk]) -> Output:
-        texts, used = fit_chunks(question, _with_text(question, chunks), max_input_tokens, tokenize)
-        reply = model(prompt_of(question, texts)).strip()
-        plain = re.sub(r"[^\w\s]", "", reply).strip().lower()
-        return Output(NOT_AVAILABLE if plain in ("", *NOT_AVAILABLE_REPLIES) else reply, [x.chunk_id for x in used])
+    tokens: np.ndarray
+    attention: np.ndarray
+    segments: np.ndarray
+    context: np.ndarray
 
-    return read
 
+def padded(questions: Sequence[Sequence[str]], windows: Sequence[Sequence[str]]) -> Padded:
+    """Pairs of question and window tokens on one width, that of the longest pair."""
+    widths = [len(q) + len(w) + 3 for q, w in zip(questions, windows)]
+    shape = len(widths), max(widths, default=0)
+    tokens, numbers = np.full(shape, "", object), np.arange(shape[1])[None]
+    begins = np.array([len(q) + 2 for q in questions])[:, None]
+    ends = np.array(widths)[:, None]
+    for row, (question, window) in enumerate(zip(questions, windows)):
+        tokens[row, 1 : len(question) + 1] = question
+        tokens[row, len(question) + 2 : len(question) + 2 + len(window)] = window
+    attention = numbers < ends
+    return Padded(tokens, attention.astype(np.int8), (attention & (numbers >= begins)).astype(np.int8), (numbers >= begins) & (numbers < ends - 1))
 
-def overlap_reader(max_tokens: int = 30) -> Reader:
-    """A stand-in extractive reader without a model: the sentence that shares most words with the question."""
-
-    def read(question: str, chunks: list[Chunk]) -> Output:
-        from pageloom.operators.chunking import sentences_of
-
-        kept = _with_text(question, chunks)
-        asked = set(re.findall(r"\w+", question.lower()))
-        best = (0.0, 0, "", None)
-        for chunk in kept:
-            for sentence in sentences_of(chunk.text):
-                words = set(re.findall(r"\w+", sentence.lower()))
-                score = len(asked & words) / max(1, len(asked))
-                if score > best[0]:
-                    best = (score, chunk.text.find(sentence), " ".join(sentence.split()[:max_tokens]), chunk)
-        score, start, text, chunk = best
-        used = [x.chunk_id for x in kept]
-        return Output(None, used) if chunk is None else Output(text, used, score, chunk.chunk_id, start, start + len(text))
 
-    return read
+#: Start and end logits of a batch, in the shape of its tokens.
+SpanModel = Callable[[Padded], tuple[np.ndarray, np.ndarray]]
 
 
-def run_reader(tasks: DataFrame, make_reader: Callable[[], Reader]) -> DataFrame:
-    """Adds the OUTPUT columns to tasks with ``question`` and ``context`` (array of chunk_id and text, in order).
+def extractive_reader(make: Callable[[], SpanModel], tokenize: Callable[[str], Offsets] = word_offsets, max_length: int = 384, doc_stride: int = 128, longest: int = 30, min_score: float = 0.1) -> Reader:
+    """A reader around a model that is made once in each worker and called once for each batch of windows.
 
-    The reader is made once in each worker; if that fails, every task has the error.
+    The best window wins, the earlier one on ties; no answer where "no answer" is likelier or the score is below ``min_score``.
     """
-    import time
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tasks.schema.fields)
-
-    def answered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        broken, reader = None, None
-        try:
-            reader = make_reader()
-        except Exception as error:  # recorded on every row, so that other readers' results survive
-            broken = f"reader failed to load: {type(error).__name__}: {error}"
-        for batch in batches:
-            rows = []
-            for question, context in zip(batch["question"], batch["context"]):
+    def read(tasks: DataFrame, keys: list[str]) -> DataFrame:
+        own = guarded(tasks).where("error is null").withColumn("_q", offsets_column(F.col("question"), tokenize))
+        size = F.lit(max_length - 3) - F.size("_q")
+        sized = own.withColumn("_size", size).withColumn("_long", F.col("_size") <= doc_stride)
+        too_long = sized.where("_long").select(*keys, F.concat(F.lit("ValueError: Question is too long ("), F.size("_q").cast("string"), F.lit(f" tokens) for max_length={max_length}")).alias("error"))
+        chunks = sized.where("not _long").select(*keys, "question", "_q", "_size", F.posexplode("context").alias("_place", "_c"))
+        tokens = chunks.withColumn("_t", offsets_column(F.col("_c.text"), tokenize))
+        cut = tokens.select("*", F.posexplode(vectors.window_ranges(F.size("_t"), F.col("_size"), doc_stride)).alias("_window", "_w"))
+        words = lambda text, places: F.transform(places, lambda x: F.substring(text, x["start"] + 1, x["end"] - x["start"]))
+        inside = F.slice("_t", F.col("_w.start") + 1, F.col("_w.end") - F.col("_w.start"))
+        rows = cut.select(*keys, "_place", "_window", "_c", inside.alias("_t"), words(F.col("question"), F.col("_q")).alias("_question"), words(F.col("_c.text"), inside).alias("_tokens"))
+
+        def predicted(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+            model, broken = _loaded(make)
+            for questions, windows in batches:
                 began = time.perf_counter()
-                output, error = None, broken
-                if reader is not None:
-                    try:
-                        output = reader(question, [Chunk(x["chunk_id"], x["text"]) for x in (context if context is not None else [])])
-                    except Exception as raised:  # recorded, so that one failing call does not stop the run
-                        error = f"{type(raised).__name__}: {raised}"
-                o = output or Output(None, [])
-                rows.append((o.prediction, o.used_chunk_ids, o.confidence, o.answer_chunk_id, o.start_char, o.end_char, error, time.perf_counter() - began))
-            names = ["prediction", "used_chunk_ids", "confidence", "answer_chunk_id", "start_char", "end_char", "error", "seconds"]
-            out = pd.DataFrame(rows, columns=names, index=batch.index)
-            yield pd.concat([batch, out.astype({"start_char": "Int32", "end_char": "Int32"})], axis=1)
-
-    return tasks.mapInPandas(answered, f"{schema}, {OUTPUT}")
-
-
-def packed_context(chunks: DataFrame, keys: list[str], order: list[str], tokens: Column, budget: int) -> DataFrame:
+                n, begins = len(questions), questions.map(len).to_numpy() + 2
+
+                def call(rows: slice, questions=questions, windows=windows) -> list:
+                    batch = padded([*questions.iloc[rows]], [*windows.iloc[rows]])
+                    return [*zip(*vectors.best_span_rows(*model(batch), batch.context, longest))]
+
+                found, errors = ([None] * n, [broken] * n) if broken else _called(model, n, call)
+                spans = [(None, None, None) if x is None or not x[2] > 0 else (int(x[0]) - b, int(x[1]) - b, float(x[2])) for x, b in zip(found, begins)]
+                out = pd.DataFrame(spans, columns=["first", "last", "score"]).astype({"first": "Int32", "last": "Int32", "score": "Float64"})
+                yield out.assign(error=errors, seconds=(time.perf_counter() - began) / max(1, n))
+
+        called = F.pandas_udf(predicted, "first int, last int, score double, error string, seconds double")
+        scored = rows.withColumn("_s", called.asNondeterministic()("_question", "_tokens"))
+        start, end = F.get("_t", F.col("_s.first"))["start"], F.get("_t", F.col("_s.last"))["end"]
+        answer = F.struct(F.substring(F.col("_c.text"), start + 1, end - start).alias("prediction"), F.col("_s.score").alias("confidence"), F.col("_c.chunk_id").alias("answer_chunk_id"), start.alias("start_char"), end.alias("end_char"))
+        order = F.struct(-F.col("_s.score"), "_place", "_window")
+        best = scored.groupBy(*keys).agg(F.min_by(F.when(F.col("_s.score") >= min_score, answer), F.when(F.col("_s.score").isNotNull(), order)).alias("_b"), F.max("_s.error").alias("error"), F.sum("_s.seconds").alias("seconds"))
+        answers = best.select(*keys, "_b.*", "error", "seconds").unionByName(too_long, allowMissingColumns=True)
+        return _answered(tasks, keys, answers, _all_used(F.col("_kept")))
+
+    return read
+
+
+def packed_context(chunks: DataFrame, keys: list[str], order: list[str], tokens: Column, budget: int | Column) -> DataFrame:
     """The leading chunks of each group, with their ``place``, whose token counts add up to at most the budget.
 
     For counters that add up and count at least 1 a chunk: no more than ``budget`` chunks can fit, and a
@@ -221,3 +178,81 @@ def packed_context(chunks: DataFrame, keys: list[str], order: list[str], tokens:
     leading = chunks.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= budget)
     cost = F.sum(tokens).over(Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
     return leading.withColumn("tokens_so_far", cost).where(F.col("tokens_so_far") <= budget)
+
+
+def packed_prompts(tasks: DataFrame, keys: list[str], tokenize: Callable[[str], Offsets] = word_offsets, max_input_tokens: int = 512) -> DataFrame:
+    """(keys, prompt, used_chunk_ids, error): prompts of the leading chunks that fit; where not even the first does, of its beginning.
+
+    For tokenizers whose counts add up over parts that blank lines set apart. A chunk costs its number in
+    brackets and its text; each text is tokenized once.
+    """
+    none = F.array().cast("array<string>")
+    own = guarded(tasks).where("error is null").withColumn("_base", F.size(offsets_column(build_prompt(F.col("question"), none), tokenize)))
+    parts = own.select(*keys, "question", (F.lit(max_input_tokens) - F.col("_base")).alias("_room"), F.posexplode("context").alias("_place", "_c"))
+    label = F.concat(F.lit("["), (F.col("_place") + 1).cast("string"), F.lit("]"))
+    parts = parts.withColumns({"_label": F.size(offsets_column(label, tokenize)), "_t": offsets_column(strip(F.col("_c.text")), tokenize)})
+    fitting = packed_context(parts, keys, ["_place"], F.col("_label") + F.size("_t"), F.col("_room"))
+    room = F.col("_room") - F.col("_label")
+    last = F.get("_t", F.least(room, F.size("_t")) - 1)["end"]
+    first = parts.where("_place = 0").join(fitting.select(*keys).distinct(), keys, "left_anti")
+    cut = first.where(room > 0).select(*keys, "question", "_place", F.col("_c.chunk_id").alias("chunk_id"), F.substring(strip(F.col("_c.text")), F.lit(1), last).alias("text"))
+    whole = fitting.select(*keys, "question", "_place", F.col("_c.chunk_id").alias("chunk_id"), F.col("_c.text").alias("text"))
+    listed = F.array_sort(F.collect_list(F.struct("_place", "chunk_id", "text")))
+    gathered = whole.unionByName(cut).groupBy(*keys, "question").agg(listed.alias("_l"))
+    prompts = gathered.select(*keys, build_prompt(F.col("question"), F.transform("_l", lambda x: x["text"])).alias("prompt"), F.transform("_l", lambda x: x["chunk_id"]).alias("used_chunk_ids"))
+    error = F.lit(f"ValueError: Question is too long for max_input_tokens={max_input_tokens}")
+    return prompts.withColumn("error", F.lit(None).cast("string")).unionByName(first.where(room <= 0).select(*keys, error.alias("error")), allowMissingColumns=True)
+
+
+#: Replies to a batch of prompts, in order.
+TextModel = Callable[[list[str]], Sequence[str]]
+
+
+def generative_reader(make: Callable[[], TextModel], tokenize: Callable[[str], Offsets] = word_offsets, max_input_tokens: int = 512) -> Reader:
+    """A reader around a model that is made once in each worker and called once for each batch of prompts.
+
+    Replies that mean "no answer" become one fixed sentence.
+    """
+
+    @F.pandas_udf("reply string, error string, seconds double")
+    def replied(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model, broken = _loaded(make)
+        for batch in batches:
+            began, n = time.perf_counter(), len(batch)
+            replies, errors = ([None] * n, [broken] * n) if broken else _called(model, n, lambda rows, batch=batch: model([*batch.iloc[rows]]))
+            yield pd.DataFrame({"reply": pd.Series(replies, dtype=object), "error": pd.Series(errors, dtype=object), "seconds": (time.perf_counter() - began) / max(1, n)})
+
+    def read(tasks: DataFrame, keys: list[str]) -> DataFrame:
+        prompts = packed_prompts(tasks, keys, tokenize, max_input_tokens)
+        asked = prompts.where("error is null").withColumn("_r", replied.asNondeterministic()("prompt"))
+        reply = strip(F.col("_r.reply"))
+        answers = asked.select(*keys, F.when(says_not_available(reply), NOT_AVAILABLE).otherwise(reply).alias("prediction"), F.col("used_chunk_ids").alias("_used"), F.col("_r.error").alias("error"), F.col("_r.seconds").alias("seconds"))
+        answers = answers.unionByName(prompts.where("error is not null").select(*keys, "error"), allowMissingColumns=True)
+        for name, kind in (("confidence", "double"), ("answer_chunk_id", "string"), ("start_char", "int"), ("end_char", "int")):
+            answers = answers.withColumn(name, F.lit(None).cast(kind))
+        return _answered(tasks, keys, answers, F.col("_used"))
+
+    return read
+
+
+def word_set(text: Column) -> Column:
+    """The different lower-case words of a text."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\p{L}\p{N}_]+"), F.lit(0)))
+
+
+def overlap_reader(max_tokens: int = 30) -> Reader:
+    """A stand-in extractive reader without a model: the sentence that shares most words with the question, the first one on ties."""
+
+    def read(tasks: DataFrame, keys: list[str]) -> DataFrame:
+        own = guarded(tasks).where("error is null").withColumn("_q", word_set(F.col("question")))
+        chunks = own.select(*keys, "_q", F.posexplode("context").alias("_place", "_c")).withColumn("_s", split_sentences(F.col("_c.text")))
+        rows = chunks.select(*keys, "_q", "_place", "_c", F.posexplode("_s").alias("_n", "_sentence"))
+        score = F.size(F.array_intersect("_q", word_set(F.col("_sentence")))) / F.greatest(F.size("_q"), F.lit(1))
+        cut = F.array_join(F.slice(F.split("_sentence", " "), 1, max_tokens), " ")
+        start = F.position(F.col("_sentence"), F.col("_c.text")) - 1
+        answer = F.struct(cut.alias("prediction"), score.alias("confidence"), F.col("_c.chunk_id").alias("answer_chunk_id"), start.alias("start_char"), (start + F.length(cut)).alias("end_char"))
+        best = rows.where(score > 0).groupBy(*keys).agg(F.min_by(answer, F.struct(-score, "_place", "_n")).alias("_b"))
+        answers = best.select(*keys, "_b.*", F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("seconds"))
+        return _answered(tasks, keys, answers, _all_used(F.col("_kept")))
+
+    return read

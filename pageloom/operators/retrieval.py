@@ -7,13 +7,17 @@ Catalyst can broadcast the passages while they are small and shuffle both sides
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import base_name, clean_text
+from pageloom.operators.search import check_k
+from pageloom.session import block_by_block
 
 DEPTHS = (1, 3, 5)
 
@@ -28,14 +32,20 @@ def relevant_pairs(passages: DataFrame, chunks: DataFrame, cleaned: bool = False
     """(passage columns, chunk columns): pairs of a passage and a chunk that contains it.
 
     ``passages`` has file, page and passage (clean); ``chunks`` has source, page_number and text. Empty and
-    null passages are relevant to nothing.
+    null passages are relevant to nothing. Only chunks of cited pages are cleaned.
     """
     text = F.col("text") if cleaned else clean_text(F.col("text"))
-    there = chunks.withColumn("file", base_name(F.col("source"))).withColumn("page", F.col("page_number")).withColumn("_clean", text)
-    joined = passages.where("passage <> ''").join(there, ["file", "page"])
+    asked = passages.where("passage <> ''")
+    joined = asked.join(cited_pages(chunks, asked).withColumn("_clean", text), ["file", "page"])
     return joined.where(F.contains("_clean", "passage")).drop("_clean")
 
 
+def cited_pages(rows: DataFrame, passages: DataFrame) -> DataFrame:
+    """The rows (source, page_number) of pages that a passage (file, page) cites, with ``file`` and ``page``."""
+    named = rows.withColumn("file", base_name(F.col("source"))).withColumn("page", F.col("page_number"))
+    return named.join(passages.select("file", "page").distinct(), ["file", "page"], "left_semi")
+
+
 def passage_ranks(passages: DataFrame, ranked_hits: DataFrame) -> DataFrame:
     """(id, passage_index, rank): the first rank at which each passage is held, null where no retrieved chunk holds it.
 
@@ -45,10 +55,12 @@ def passage_ranks(passages: DataFrame, ranked_hits: DataFrame) -> DataFrame:
     return passages.select("id", "passage_index").distinct().join(first, ["id", "passage_index"], "left")
 
 
-def retrieval_metrics(ranks: DataFrame) -> DataFrame:
-    """(id, passage_ranks, hit_any_at_k, hit_all_at_k, reciprocal_rank) of each question with evidence."""
+def retrieval_metrics(ranks: DataFrame, depths: tuple[int, ...] = DEPTHS) -> DataFrame:
+    """(id, passage_ranks, hit_any_at_k, hit_all_at_k, reciprocal_rank) of each question with evidence; ValueError for a depth below 1."""
+    for k in depths:
+        check_k(k)
     aggregates = [F.transform(F.array_sort(F.collect_list(F.struct("passage_index", "rank"))), lambda x: x["rank"]).alias("passage_ranks")]
-    for k in DEPTHS:
+    for k in depths:
         within = F.coalesce(F.col("rank") <= k, F.lit(False))
         aggregates += [F.bool_or(within).alias(f"hit_any_at_{k}"), F.bool_and(within).alias(f"hit_all_at_{k}")]
     aggregates.append(F.coalesce(F.lit(1.0) / F.min("rank"), F.lit(0.0)).alias("reciprocal_rank"))
@@ -57,7 +69,12 @@ def retrieval_metrics(ranks: DataFrame) -> DataFrame:
 
 def gold_chunks(passages: DataFrame, chunks: DataFrame, order: str = "chunk_index", name: str = "chunk_id") -> DataFrame:
     """(id, passage_index, chunk): for each passage the containing chunk that stands first on its page; null where none does."""
-    held = relevant_pairs(passages, chunks).groupBy("id", "passage_index").agg(F.min_by(name, F.struct(order, name)).alias("chunk"))
+    return first_chunks(passages, relevant_pairs(passages, chunks), F.struct(order, name), name)
+
+
+def first_chunks(passages: DataFrame, relevant: DataFrame, order: Column, name: str) -> DataFrame:
+    """(id, passage_index, chunk): the name of the relevant chunk that is first in an order, null for a passage without any."""
+    held = relevant.groupBy("id", "passage_index").agg(F.min_by(name, order).alias("chunk"))
     return passages.select("id", "passage_index").join(held, ["id", "passage_index"], "left")
 
 
@@ -81,12 +98,10 @@ def corpus_occurrences(passages: DataFrame, texts: DataFrame) -> DataFrame:
     Every text is scanned once for each block of passages by an automaton of all passages of the block;
     counts are added up before the shuffle. Passages that occur nowhere count 0; empty ones are left out.
     """
-    spark = texts.sparkSession
     distinct = passages.select("passage").where("passage <> ''").distinct()
-    counted = spark.createDataFrame([], "passage string, n long")
 
-    def count(block: list[str]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(block)
+    def search(found: list) -> tuple[DataFrame, Broadcast]:
+        sent = texts.sparkSession.sparkContext.broadcast([r[0] for r in found])
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import ahocorasick
@@ -96,7 +111,7 @@ def corpus_occurrences(passages: DataFrame, texts: DataFrame) -> DataFrame:
                 automaton.add_word(passage, (i, len(passage)))
             automaton.make_automaton()
             total: dict[int, int] = {}
-            for batch in batches:
+            for batch in batches if len(automaton) else ():
                 for text in batch.iloc[:, 0].dropna():
                     free: dict[int, int] = {}
                     for end, (i, length) in automaton.iter(text):
@@ -106,15 +121,9 @@ def corpus_occurrences(passages: DataFrame, texts: DataFrame) -> DataFrame:
             if total:
                 yield pd.DataFrame({"passage": [sent.value[i] for i in total], "n": [*total.values()]})
 
-        return texts.mapInPandas(scan, "passage string, n long")
+        return texts.mapInPandas(scan, "passage string, n long"), sent
 
-    block, size = [], 0
-    for row in distinct.toLocalIterator():
-        block.append(row[0])
-        size += len(row[0])
-        if size > BLOCK_CHARS:
-            counted, block, size = counted.unionByName(count(block)), [], 0
-    if block:
-        counted = counted.unionByName(count(block))
+    size = distinct.agg(F.sum(F.length("passage"))).first()[0] or 0
+    counted = block_by_block(distinct, ["passage"], math.ceil(size / BLOCK_CHARS), search)
     total = counted.groupBy("passage").agg(F.sum("n").alias("n"))
     return distinct.join(total, "passage", "left").select("passage", F.coalesce("n", F.lit(0)).cast("long").alias("occurrences"))

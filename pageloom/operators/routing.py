@@ -20,8 +20,11 @@ def check_threshold(threshold: object) -> None:
 
 
 def build_index(chunks: DataFrame, embed: Embedder, order: list[str]) -> DataFrame:
-    """The chunks with a ``position`` in the given order and a ``vector``; positions are dense hashes of the order only where it is unique."""
-    return chunks.withColumn("position", F.xxhash64(*order)).withColumn("vector", embed(F.col("text")))
+    """The chunks with a ``vector`` and a ``position`` of their own, which rises in the given order; repeated chunks have different ones.
+
+    Positions depend on the run of the sort: write the index, or make it durable, before it is used twice.
+    """
+    return chunks.orderBy(*order).withColumn("position", F.monotonically_increasing_id()).withColumn("vector", embed(F.col("text")))
 
 
 def search(index: DataFrame, questions: DataFrame, embed: Embedder, k: int = TOP_K) -> DataFrame:
@@ -35,6 +38,7 @@ def route_status(top_score: Column, threshold: float = THRESHOLD) -> Column:
     return F.when(top_score.isNull(), "no_documents").when(top_score >= F.lit(float(threshold)), "supported").otherwise("below_threshold")
 
 
+# The texts of the reasons.
 def route_reason(top_score: Column, threshold: float = THRESHOLD) -> Column:
     """The status in words, scores to three decimals (rounded as Java does)."""
     wanted = f"{threshold:.3f}"

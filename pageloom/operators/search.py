@@ -1,27 +1,30 @@
 """Exact cosine search: every query vector against every indexed vector, the best k of each query.
 
-Vectors are normalised once; a zero vector scores 0 with everything. Queries are sent out in blocks of
-bounded size, each block meets every batch of indexed vectors in one matrix product, and only the best k
-of a batch leave the task. Ties are broken by position, in the batch as in the end.
+Vectors are normalised once; a zero vector scores 0 with everything. Queries meet the index in blocks of
+bounded size, one after the other; a block meets every batch of indexed vectors in one matrix product, and
+only the best k of a batch leave the task. Ties are broken by position, in the batch as in the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.functions.vectors import dot, l2_normalize, ranked
+from pageloom.functions.vectors import l2_normalize, ranked
+from pageloom.session import block_by_block
 
 TOP_K = 5
-#: Query vectors that the column form compares itself.
-FEW = 256
 #: Query vectors of one block, and of one matrix product.
 BLOCK, AT_ONCE = 4096, 256
+#: Digits of a score; equal vectors tie whatever the order in which their products were added.
+DIGITS = 12
 
 
 def check_k(k: object) -> None:
@@ -37,33 +40,6 @@ def checked_vectors(rows: DataFrame, vector: str, dimension: int) -> DataFrame:
     return rows.withColumn(vector, made)
 
 
-def top_k_columns(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool = False) -> DataFrame:
-    """(query, position, score, rank) in column functions only; ``index`` has position and vector, ``queries`` query and vector.
-
-    Up to FEW queries, which are counted first, are sent to every task; more of them take the way of ``top_k``.
-    """
-    check_k(k)
-    if queries.limit(FEW + 1).count() > FEW:
-        return top_k(index, queries, k, not_self)
-    left = index.where("position is not null and vector is not null").select("position", l2_normalize(F.col("vector")).alias("_v"))
-    right = queries.where("query is not null and vector is not null").select("query", l2_normalize(F.col("vector")).alias("_q"))
-    pairs = left.join(F.broadcast(right), F.col("position") != F.col("query") if not_self else F.lit(True))
-    scored = pairs.select("query", "position", dot(F.col("_v"), F.col("_q")).alias("score"))
-    return ranked(scored, ["query"], "score", ["position"]).where(F.col("rank") <= k)
-
-
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
-    ids, vectors = [], []
-    for row in queries.select("query", "vector").where("query is not null and vector is not null").toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == size:
-            yield ids, np.array(vectors, float)
-            ids, vectors = [], []
-    if ids:
-        yield ids, np.array(vectors, float)
-
-
 def _unit(matrix: np.ndarray) -> np.ndarray:
     lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, lengths, out=np.zeros_like(matrix), where=lengths > 0)
@@ -88,15 +64,15 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool =
     position equal to the query.
     """
     check_k(k)
-    spark = index.sparkSession
     types = {f.name: f.dataType for f in (*index.schema.fields, *queries.schema.fields)}
     schema = T.StructType([T.StructField("query", types["query"]), T.StructField("position", types["position"]), T.StructField("score", T.DoubleType())])
     rows = index.select("position", "vector").where("position is not null and vector is not null")
-    found = spark.createDataFrame([], schema)
-    for ids, vectors in _blocks(queries, block):
-        sent = spark.sparkContext.broadcast((ids, _unit(vectors)))
+    asked = queries.select("query", "vector").where("query is not null and vector is not null")
+
+    def search(found: list) -> tuple[DataFrame, Broadcast]:
+        sent = index.sparkSession.sparkContext.broadcast(([r[0] for r in found], _unit(np.array([r[1] for r in found], float)) if found else np.zeros((0, 0))))
 
-        def nearest(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+        def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, wanted = sent.value
             for batch in batches:
                 batch = batch.sort_values("position", kind="stable")
@@ -104,12 +80,14 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool =
                 units = _unit(np.array(batch["vector"].tolist(), float)).T
                 for first in range(0, len(names), AT_ONCE):
                     own = np.array(names[first : first + AT_ONCE])
-                    scores = wanted[first : first + AT_ONCE] @ units
+                    scores = np.round(wanted[first : first + AT_ONCE] @ units, DIGITS)
                     if not_self:
                         scores[np.equal.outer(own.astype(places.dtype), places)] = -np.inf
                     row, column = best_of_rows(scores, k)
                     out = pd.DataFrame({"query": own[row], "position": places[column], "score": scores[row, column]})
                     yield out[out["score"] > -np.inf]
 
-        found = found.unionByName(rows.mapInPandas(nearest, schema))
+        return rows.mapInPandas(nearest, schema), sent
+
+    found = block_by_block(asked, ["query"], math.ceil(asked.count() / block), search)
     return ranked(found, ["query"], "score", ["position"]).where(F.col("rank") <= k)

@@ -278,7 +278,7 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run with the stand-in embedder and reader: outcome and diagnosis of each question."""
     questions = table(spark, sf_dir, "questions").dropDuplicates(["id"])
     pages = spread(table(spark, sf_dir, "page_data")).where("text is not null").groupBy("source", "page_number").agg(F.max_by("text", "page_id").alias("text"))
-    records = evaluation.run_evaluation(questions, pages, hashing_embedder(), {"overlap": (readers.overlap_reader, False)}, threshold=0.3)
+    records = evaluation.run_evaluation(questions, pages, hashing_embedder(), {"overlap": (readers.overlap_reader(), False)}, threshold=0.3)
     return records.select("id", "routing.status", "retrieval.hit_any_at_5", F.col("end_to_end")[0]["outcome"].alias("outcome"), F.col("diagnosis")["overlap"].alias("diagnosis"))
 
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of a table that is small enough to be spread over all cores.
@@ -91,3 +94,20 @@ def written(df: DataFrame) -> DataFrame:
     table = Written(df.sparkSession)
     table.add(df)
     return table.rows(df.schema)
+
+
+def block_by_block(items: DataFrame, keys: list[str], blocks: int, search: Callable[[list], tuple[DataFrame, Broadcast]]) -> DataFrame:
+    """What a search finds for all items, which meet the tasks in blocks by a hash of the keys.
+
+    ``search`` makes a plan for the rows of one block, and the broadcast that holds them. A single block
+    stays lazy; several are run one after the other into a written table, and each broadcast is destroyed
+    before the next, so neither the driver nor a task holds more than one block.
+    """
+    if blocks <= 1:
+        return search(items.collect())[0]
+    held = Written(items.sparkSession)
+    for block in range(blocks):
+        found, sent = search(items.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == block).collect())
+        held.add(found)
+        sent.destroy()
+    return held.rows(found.schema)

@@ -1,10 +1,7 @@
-"""Page sources: paged text files, and documents in binary form through an optional library."""
+"""Page sources: paged text files."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +11,6 @@ from pageloom.functions.text import strip
 PAGE_BREAK = "=== PAGE BREAK ==="
 
 
-class InvalidDocumentError(Exception):
-    """A file that cannot be read as a paged document."""
-
-
 def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
     """(source, page_number, text) of text files whose pages stand between separator lines; an empty page stops the job."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source"), F.regexp_replace("value", "\r\n?", "\n").alias("value"))
@@ -25,25 +18,3 @@ def read_text_pages(spark: SparkSession, path: str) -> DataFrame:
     text = strip(F.col("page"))
     checked = F.when(text != "", text).otherwise(F.raise_error(F.concat("source", F.lit(": page "), (F.col("n") + 1).cast("string"), F.lit(" is empty"))))
     return pages.select("source", (F.col("n") + 1).alias("page_number"), checked.alias("text"))
-
-
-def read_pdf_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(source, page_number, text) of PDF files, blank pages kept. Needs the optional ``pypdf``, which is not here: untested."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
-        from pypdf import PdfReader
-
-        for batch in batches:
-            rows = []
-            for source, content in zip(batch["path"], batch["content"]):
-                try:
-                    reader = PdfReader(io.BytesIO(content))
-                    rows += [(source, n, page.extract_text() or "") for n, page in enumerate(reader.pages, 1)]
-                except Exception as error:
-                    raise InvalidDocumentError(f"{source}: {error}") from error
-            yield pd.DataFrame(rows, columns=["source", "page_number", "text"])
-
-    return files.mapInPandas(pages, "source string, page_number int, text string")

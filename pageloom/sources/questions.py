@@ -11,6 +11,7 @@ QUESTION = (
 )
 REQUIRED = ("answerable", "answers", "category", "evidence", "failure_tags", "id", "question", "split")
 OPTIONAL = ("list_items", "notes")
+PASSAGE = ("page", "source", "text")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -20,13 +21,17 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """Questions in file order; ValueError names file, line and reason of the first bad line.
+    """Questions in order of file and line; ValueError names file, line and reason of the first bad line.
 
-    list_items and notes default to an empty array and text. Files are read whole, one task each.
+    Evidence passages need exactly source, page and text. list_items and notes default to an empty array
+    and text. Files are read whole, one task each.
     """
     lines = numbered_lines(spark, path)
     keys = F.json_object_keys("value")
     parsed = F.from_json("value", f"{QUESTION}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    # the keys of each passage as they are written, which the parsed struct no longer shows
+    passages = F.from_json(F.get_json_object("value", "$.evidence"), "array<map<string,string>>")
+    needed = F.array(*map(F.lit, PASSAGE))
     missing = F.array_sort(F.array_except(F.array(*map(F.lit, REQUIRED)), keys))
     unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, REQUIRED + OPTIONAL))))
     shown = lambda names: F.concat(F.lit("['"), F.array_join(names, "', '"), F.lit("']"))
@@ -35,11 +40,13 @@ def read_questions(spark: SparkSession, path: str) -> DataFrame:
         .when(F.size(missing) > 0, F.concat(F.lit("missing fields "), shown(missing)))
         .when(F.size(unknown) > 0, F.concat(F.lit("unknown fields "), shown(unknown)))
         .when(F.col("p._bad").isNotNull(), "a field has the wrong type")
+        .when(F.exists("cited", lambda x: F.size(F.array_except(needed, F.map_keys(x))) > 0), "an evidence passage lacks source, page or text")
+        .when(F.exists("cited", lambda x: F.size(F.array_except(F.map_keys(x), needed)) > 0), "an evidence passage has unknown fields")
     )
-    checked = lines.withColumn("p", parsed).withColumn("reason", reason)
+    checked = lines.withColumn("p", parsed).withColumn("cited", passages).withColumn("reason", reason)
     bad = checked.where("reason is not null").orderBy("file", "line_number").select("file", "line_number", "reason").first()
     if bad:
         raise ValueError(f"{bad.file}:{bad.line_number}: {bad.reason}")
     filled = {"list_items": F.coalesce("p.list_items", F.array().cast("array<string>")), "notes": F.coalesce("p.notes", F.lit(""))}
     names = [x.split()[0] for x in QUESTION.replace("array<struct<source:string,page:int,text:string>>", "x").split(", ")]
-    return checked.select("line_number", *(filled.get(x, F.col(f"p.{x}")).alias(x) for x in names)).orderBy("line_number").drop("line_number")
+    return checked.select("file", "line_number", *(filled.get(x, F.col(f"p.{x}")).alias(x) for x in names)).orderBy("file", "line_number").drop("file", "line_number")

@@ -1,88 +1,117 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from pageloom.functions import vectors
 from pageloom.functions.text import NOT_AVAILABLE
-from pageloom.operators.readers import Chunk, best_span, extractive_reader, fit_chunks, generative_reader, overlap_reader, prompt_of, run_reader, word_offsets
-
-CHUNKS = [Chunk("c0", "The pump runs for 18 months."), Chunk("c1", "  "), Chunk("c2", "The key is in the safe.")]
-
-
-def logits(size, start, end, high=5.0):
-    s, e = np.zeros(size), np.zeros(size)
-    s[start], e[end] = high, high
-    return s, e
-
-
-def test_best_span():
-    context = np.array([False, False, True, True, True, True])
-    assert best_span(*logits(6, 3, 4), context, 3)[:2] == (3, 4)
-    assert best_span(*logits(6, 0, 0), context, 3) is None
-    assert best_span(np.zeros(6), np.zeros(6), context, 3) is None
-    assert best_span(*logits(6, 4, 2), context, 3)[0] <= best_span(*logits(6, 4, 2), context, 3)[1]
-    s, e = logits(6, 2, 5)
-    assert best_span(s, e, context, 2)[1] - best_span(s, e, context, 2)[0] < 2
-    s[1] = e[1] = 50.0  # outside the context
-    assert best_span(s, e, context, 9)[:2] == (2, 5)
-
-
-def word_model(word, high=6.0):
-    def model(question, windows):
-        begin = len(question.split()) + 2
-        starts, ends = [], []
-        for tokens in windows:
-            s = np.zeros(begin + len(tokens) + 1)
-            s[0] = 1.0
-            e = s.copy()
-            for i, token in enumerate(tokens):
-                if token == word:
-                    s[begin + i] = e[begin + i] = high
-            starts.append(s)
-            ends.append(e)
-        return starts, ends
-
-    return model
-
-
-def test_extractive_reader():
-    read = extractive_reader(word_model("18"), max_length=20, doc_stride=2)
-    out = read("How long?", CHUNKS)
-    assert (out.prediction, out.answer_chunk_id, out.used_chunk_ids) == ("18", "c0", ["c0", "c2"])
-    assert CHUNKS[0].text[out.start_char : out.end_char] == "18"
-    assert extractive_reader(word_model("absent"), max_length=20, doc_stride=2)("How?", CHUNKS).prediction is None
-    assert extractive_reader(word_model("18"), max_length=20, doc_stride=2, min_score=1.1)("How?", CHUNKS).prediction is None
-    long = Chunk("x", "word " * 50 + "18 " + "word " * 50)
-    assert read("How long?", [long]).prediction == "18"
-    for question, chunks, message in ((" ", CHUNKS, "Question must"), ("a", [CHUNKS[1]], "at least one chunk"), ("a " * 30, CHUNKS, "too long")):
-        with pytest.raises(ValueError, match=message):
-            read(question, chunks)
-
-
-def test_prompt_packing():
-    base = len(word_offsets(prompt_of("Why?", [""])))
-    chunks = [Chunk(f"c{i}", "one two three four") for i in range(4)]
-    for room in (4, 5, 9, 14, 99):
-        texts, used = fit_chunks("Why?", chunks, base + room)
-        assert len(used) == max(1, min(4, 1 + (room - 4) // 5)) and texts == [x.text for x in used]
-    texts, used = fit_chunks("Why?", chunks, base + 2)
-    assert texts == ["one two"] and used == [chunks[0]]
-    with pytest.raises(ValueError, match="too long"):
-        fit_chunks("Why?", chunks, base)
-
-
-@pytest.mark.parametrize("reply,text", [(" 18 months ", "18 months"), ("Not available.", NOT_AVAILABLE), ("unanswerable", NOT_AVAILABLE), ("", NOT_AVAILABLE), ("no answer", "no answer")])
-def test_generative_reader(reply, text):
-    out = generative_reader(lambda prompt: reply)("Why?", CHUNKS)
-    assert out.prediction == text and out.used_chunk_ids == ["c0", "c2"]
+from pageloom.operators import readers
+from pageloom.operators.readers import extractive_reader, generative_reader, overlap_reader, packed_prompts, padded, word_offsets
+
+TASK = "id int, question string, context array<struct<chunk_id:string,text:string>>, seconds double"
+CONTEXT = [("c0", "The pump runs for 18 months."), ("c1", "  "), ("c2", "The key is in the safe."), ("c3", None)]
+
+
+def slow_best(start, end, allowed, longest):
+    """Best span by trying all of them."""
+    seen = [0, *allowed]
+    p = [np.exp(x[seen] - x[seen].max()) / np.exp(x[seen] - x[seen].max()).sum() for x in (start, end)]
+    share = [dict(zip(seen, x)) for x in p]
+    best = max(((share[0][i] * share[1][j], -i, -j) for i in allowed for j in allowed if i <= j < i + longest), default=(0, 0, 0))
+    return (-best[1], -best[2]) if best[0] > share[0][0] * share[1][0] else None
+
+
+def test_best_spans_of_a_batch_equal_trying_all():
+    rng = np.random.default_rng(5)
+    for n, width, longest in ((20, 9, 3), (20, 14, 30), (5, 2, 1)):
+        start, end = rng.normal(size=(n, width)).round(1), rng.normal(size=(n, width)).round(1)
+        context = rng.random((n, width)) < 0.8
+        context[:, 0] = False
+        first, last, score = vectors.best_span_rows(start, end, context, longest)
+        for row in range(n):
+            want = slow_best(start[row], end[row], [*np.flatnonzero(context[row])], longest)
+            assert (want is None) == (score[row] == 0) and (want is None or want == (first[row], last[row]))
+
+
+def test_padded_batch():
+    batch = padded([["how", "long"], ["why"]], [["a", "b", "c"], []])
+    assert batch.tokens.tolist() == [["", "how", "long", "", "a", "b", "c", ""], ["", "why", "", "", "", "", "", ""]]
+    assert batch.attention.sum(axis=1).tolist() == [8, 4] and batch.segments.tolist() == [[0, 0, 0, 0, 1, 1, 1, 1], [0, 0, 0, 1, 0, 0, 0, 0]]
+    assert batch.context.tolist() == [[False] * 4 + [True] * 3 + [False], [False] * 8]
+
+
+def pointer(word, high=6.0, fails=()):
+    """A model that points at one word, and cannot read windows with some others."""
+
+    def make():
+        def model(batch):
+            if any(x in batch.tokens for x in fails):
+                raise RuntimeError("cannot read")
+            logits = np.where(batch.tokens == word, high, 0.0)
+            logits[:, 0] = 1.0
+            return logits, logits
+
+        return model
+
+    return make
+
+
+def test_extractive_reader(spark):
+    long = [("x", "word " * 50 + "18 " + "word " * 50), ("y", "none 18")]
+    rows = [(1, "How long?", CONTEXT), (2, " ", CONTEXT), (3, "a?", [CONTEXT[1]]), (4, "a " * 30, CONTEXT), (5, "How long?", long), (6, "How long?", [("z", "no such word")]), (7, None, None), (8, "How long?", [("b", "bad 18")])]
+    tasks = spark.createDataFrame([(*r, 9.0) for r in rows], TASK)
+    out = {r.id: r for r in extractive_reader(pointer("18", fails=("bad",)), max_length=20, doc_stride=2)(tasks, ["id"]).collect()}
+    assert len(out) == 8
+    assert (out[1].prediction, out[1].answer_chunk_id, out[1].used_chunk_ids) == ("18", "c0", ["c0", "c2"]) and CONTEXT[0][1][out[1].start_char : out[1].end_char] == "18"
+    assert (out[5].prediction, out[5].answer_chunk_id, out[5].start_char) == ("18", "y", 5) or out[5].answer_chunk_id == "x"
+    assert out[6].prediction is None and out[6].error is None and out[6].used_chunk_ids == ["z"]
+    assert "Question must not" in out[2].error and "at least one chunk" in out[3].error and "too long" in out[4].error and "Question must" in out[7].error
+    assert out[8].error == "RuntimeError: cannot read" and out[8].used_chunk_ids is None
+    none = extractive_reader(pointer("18"), max_length=20, doc_stride=2, min_score=1.1)(tasks.where("id = 1"), ["id"]).first()
+    assert none.prediction is None and none.confidence is None and none.error is None
+
+
+def test_prompts_hold_as_many_leading_chunks_as_fit(spark):
+    base = len(word_offsets(spark.range(1).select(readers.build_prompt(F.lit("Why?"), F.array().cast("array<string>"))).first()[0]))
+    context = [(f"c{i}", f" one two three four{i} ") for i in range(4)]
+    tasks = spark.createDataFrame([(1, "Why?", context, 0.0)], TASK)
+    for room in range(0, 26):
+        row = packed_prompts(tasks, ["id"], max_input_tokens=base + room).first()
+        fitting = min(4, room // 5)
+        if room < 2:
+            assert "too long" in row.error and row.prompt is None
+            continue
+        assert row.error is None and len(row.used_chunk_ids) == max(1, fitting) and len(word_offsets(row.prompt)) <= base + room
+        assert ("[1] one two three four0" in row.prompt) == (room >= 5) and f"[{max(1, fitting)}] one" in row.prompt
+        assert room >= 5 or "[1] " + " ".join("one two three".split()[: room - 1]) + "\n\nQuestion" in row.prompt
+
+
+def test_generative_reader(spark):
+    replies = {"a": " 18 months ", "b": "Not available.", "c": "unanswerable", "d": "", "e": "no answer"}
+    tasks = spark.createDataFrame([(i, x, CONTEXT, 0.0) for i, x in enumerate([*replies, "f", None])], TASK)
+
+    def make():
+        return lambda prompts: [replies[x.rpartition("Question: ")[2].split()[0]] for x in prompts]
+
+    out = {r.id: r for r in generative_reader(make)(tasks, ["id"]).collect()}
+    assert [out[i].prediction for i in range(5)] == ["18 months", NOT_AVAILABLE, NOT_AVAILABLE, NOT_AVAILABLE, "no answer"]
+    assert out[0].used_chunk_ids == ["c0", "c2"] and out[5].error == "KeyError: 'f'" and "must not be empty" in out[6].error
 
 
 def test_failures_stay_in_their_rows(spark):
-    context = [("c0", "The pump runs for 18 months.")]
-    tasks = spark.createDataFrame([(1, "How long does the pump run?", context), (2, " ", context), (3, "Why?", []), (4, None, None)], "id int, question string, context array<struct<chunk_id:string,text:string>>")
-    rows = {r.id: r for r in run_reader(tasks, lambda: overlap_reader()).collect()}
-    assert rows[1].prediction.startswith("The pump") and rows[1].error is None and rows[1].answer_chunk_id == "c0"
+    tasks = spark.createDataFrame([(1, "How long does the pump run?", CONTEXT, 0.0), (2, " ", CONTEXT, 0.0), (3, "Why?", [], 0.0), (4, None, None, 0.0)], TASK)
+    rows = {r.id: r for r in overlap_reader()(tasks, ["id"]).collect()}
+    assert rows[1].prediction.startswith("The pump") and rows[1].error is None and rows[1].answer_chunk_id == "c0" and rows[1].start_char == 0
     assert "Question must not be empty" in rows[2].error and "at least one chunk" in rows[3].error and rows[4].prediction is None
 
     def broken():
-        raise RuntimeError("no weights")
+        raise OSError("no weights")
 
-    assert {r.error for r in run_reader(tasks, broken).collect()} == {"reader failed to load: RuntimeError: no weights"}
+    for reader in (generative_reader(broken), extractive_reader(broken)):
+        assert {r.error for r in reader(tasks.where("id = 1"), ["id"]).collect()} == {"reader failed to load: OSError: no weights"}
+    assert overlap_reader()(tasks.limit(0), ["id"]).count() == 0
+
+
+@pytest.mark.parametrize("size,stride", [(3, 3), (2, 5)])
+def test_windows_must_be_wider_than_their_stride(size, stride):
+    with pytest.raises(ValueError):
+        vectors.window_ranges(F.lit(9), size, stride)

@@ -23,7 +23,7 @@ def test_normalisation_and_product(spark):
 
 
 @pytest.mark.parametrize("block", [1, 3, 4096])
-def test_both_searches_equal_numpy_with_ties_zeros_and_nulls(spark, block):
+def test_search_equals_numpy_with_ties_zeros_and_nulls(spark, block):
     rng = np.random.default_rng(3)
     matrix = rng.integers(-2, 3, (60, 4)).astype(float)
     matrix[7] = 0
@@ -40,15 +40,6 @@ def test_both_searches_equal_numpy_with_ties_zeros_and_nulls(spark, block):
     few = search.top_k(index.where("position < 3"), queries.where("query = 9"), 10)
     assert few.count() == 3
     assert search.top_k(index.limit(0), queries, 3).count() == 0 and search.top_k(index, queries.limit(0), 3).count() == 0
-    slow = {(r.query, r["rank"]): round(r.score, 9) for r in search.top_k_columns(index.where("position < 60"), queries, 3, not_self=True).collect()}
-    search.FEW, few = 2, search.FEW
-    try:
-        many = {(r.query, r["rank"]): round(r.score, 9) for r in search.top_k_columns(index.where("position < 60"), queries, 3, not_self=True).collect()}
-    finally:
-        search.FEW = few
-    assert many == slow
-    fast = {(r.query, r["rank"]): round(r.score, 9) for r in search.top_k(index, queries, 3, not_self=True).collect()}
-    assert slow == fast
 
 
 @pytest.mark.parametrize("k", [0, -1, True, 1.0, "3", None])
@@ -106,25 +97,22 @@ def test_windows(spark):
     for size, stride in ((5, 2), (4, 0), (10, 9)):
         rows = spark.range(40).select("id", vectors.window_ranges(F.col("id").cast("int"), size, stride).alias("w")).collect()
         for r in rows:
-            assert [(x.start, x.end) for x in r.w] == naive_windows(r.id, size, stride) == list(readers.windows(r.id, size, stride))
+            assert [(x.start, x.end) for x in r.w] == naive_windows(r.id, size, stride)
     with pytest.raises(ValueError):
         vectors.window_ranges(F.lit(3), 4, 4)
 
 
-def test_best_spans_relational_and_in_numpy(spark):
+def test_best_spans_of_rows_of_different_lengths(spark):
     rng = np.random.default_rng(5)
     rows, want = [], {}
     for i in range(40):
-        start, end = rng.normal(0, 3, 12).round(3), rng.normal(0, 3, 12).round(3)
-        context = np.zeros(12, bool)
-        context[3:10] = True
-        rows.append((i, start.tolist(), end.tolist(), list(range(3, 10))))
-        want[i] = readers.best_span(start, end, context, 4)
-        s, e = np.exp(start), np.exp(end)
-        seen = [0, *range(3, 10)]
-        best = max(((s[a] * e[b], -a, -b) for a in range(3, 10) for b in range(a, min(a + 4, 10))))
-        assert (want[i] is None) == (best[0] <= s[0] * e[0]) and (want[i] is None or want[i][:2] == (-best[1], -best[2]))
-        assert seen
-    df = spark.createDataFrame(rows, "id int, s array<double>, e array<double>, c array<int>")
-    got = {r.id: (r.start_token, r.end_token, pytest.approx(r.score)) for r in vectors.best_spans(df, ["id"], "s", "e", "c", 4).collect()}
-    assert got == {i: x for i, x in want.items() if x}
+        n = 12 + i % 3
+        start, end = rng.normal(0, 3, n).round(3), rng.normal(0, 3, n).round(3)
+        rows.append((i, start.tolist(), end.tolist(), list(range(3, n - 2))))
+        seen = [0, *range(3, n - 2)]
+        s, e = np.exp(start) / np.exp(start[seen]).sum(), np.exp(end) / np.exp(end[seen]).sum()
+        best = max(((s[a] * e[b], -a, -b) for a in range(3, n - 2) for b in range(a, min(a + 4, n - 2))))
+        if best[0] > s[0] * e[0]:
+            want[i] = (-best[1], -best[2], pytest.approx(best[0]))
+    df = spark.createDataFrame([*rows, (99, [], [], []), (98, None, None, None)], "id int, s array<double>, e array<double>, c array<int>")
+    assert {r.id: (r.start_token, r.end_token, r.score) for r in vectors.best_spans(df, ["id"], "s", "e", "c", 4).collect()} == want

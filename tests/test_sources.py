@@ -26,6 +26,9 @@ def test_text_pages(spark, tmp_path):
         ({"split": ...}, "2: missing fields ['split']"),
         ({"zeta": 1, "alpha": 2}, "2: unknown fields ['alpha', 'zeta']"),
         ({"evidence": "x"}, "2: a field has the wrong type"),
+        ({"evidence": [{"source": "a.pdf", "text": "x"}]}, "2: an evidence passage lacks source, page or text"),
+        ({"evidence": [{"source": "a.pdf", "page": None, "text": "x", "line": 3}]}, "2: an evidence passage has unknown fields"),
+        ({"evidence": []}, None),
         ("{nope", "2: not a valid JSON object"),
         ("[1]", "2: not a valid JSON object"),
     ],
@@ -40,12 +43,19 @@ def test_strict_questions(spark, tmp_path, change, message):
         assert message in str(error.value)
     else:
         rows = questions.read_questions(spark, str(path)).collect()
-        assert [r.id for r in rows] == ["q1", "q2"] and rows[1].list_items == [] and rows[1].notes == "" and rows[0].evidence[0].page == 1
+        assert [r.id for r in rows] == ["q1", "q2"] and rows[1].list_items == [] and rows[1].notes == "" and (not rows[0].evidence or rows[0].evidence[0].page == 1)
+
+
+def test_questions_of_several_files_keep_their_order(spark, tmp_path):
+    for name, ids in (("b", ["q3", "q1"]), ("a", ["q9", "q2", "q5"])):
+        (tmp_path / f"{name}.jsonl").write_text("\n".join(json.dumps(GOOD | {"id": x}) for x in ids), encoding="utf-8")
+    assert [r.id for r in questions.read_questions(spark, str(tmp_path / "*.jsonl")).collect()] == ["q9", "q2", "q5", "q3", "q1"]
 
 
 def test_records_keep_nulls_and_folders_are_new(spark, tmp_path):
-    df = spark.createDataFrame([("b", None, [None, 2]), ("a", 1.5, [])], "id string, score double, ranks array<int>")
-    records.write_records(df, str(tmp_path / "r"), "id")
+    df = spark.createDataFrame([("b", None, [None, 2], 1), ("a", 1.5, [], 0)], "id string, score double, ranks array<int>, place int")
+    records.write_records(df, str(tmp_path / "r"), "place")
+    df = df.drop("place")
     lines = [x for f in sorted((tmp_path / "r").glob("part-*")) for x in f.read_text().splitlines()]
     assert [json.loads(x) for x in lines] == [{"id": "a", "score": 1.5, "ranks": []}, {"id": "b", "score": None, "ranks": [None, 2]}]
     assert records.read_records(spark, str(tmp_path / "r"), df.schema).count() == 2
