@@ -23,6 +23,8 @@ PUNCTUATION = string.punctuation
 NOT_AVAILABLE = "The answer is not available in the provided documents."
 REFUSALS = (NOT_AVAILABLE, "not available", "unanswerable", "no answer")
 NOT_AVAILABLE_REPLIES = ("not available", "unanswerable")
+# Fixed value: the instruction of a prompt.
+PROMPT_HEAD = 'Answer the question using only the context below. If the context does not contain the answer, reply "not available".\n\nContext:\n'
 
 
 @F.pandas_udf(T.StringType())
@@ -103,8 +105,7 @@ def format_context(texts: Column) -> Column:
 
 def build_prompt(question: Column, texts: Column) -> Column:
     """The instruction that asks for an answer from the numbered context only."""
-    head = 'Answer the question using only the context below. If the context does not contain the answer, reply "not available".\n\nContext:\n'
-    return F.concat(F.lit(head), format_context(texts), F.lit("\n\nQuestion: "), strip(question), F.lit("\nAnswer:"))
+    return F.concat(F.lit(PROMPT_HEAD), format_context(texts), F.lit("\n\nQuestion: "), strip(question), F.lit("\nAnswer:"))
 
 
 def raise_unless(valid: Column, value: Column, message: str) -> Column:

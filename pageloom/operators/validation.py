@@ -11,7 +11,7 @@ from pageloom.functions.text import clean_text, strip
 from pageloom.operators.chunking import split_sentences
 from pageloom.operators.retrieval import corpus_occurrences
 
-# Categories, splits and failure tags of the question format.
+# Categories, splits and failure tags of the question format, and the messages of its rules below.
 ANSWERABLE = ("factoid", "numeric", "list", "yes_no", "paraphrase", "multi_section")
 UNANSWERABLE = ("unanswerable_off_topic", "unanswerable_near_domain")
 SPLITS = ("dev", "test")

@@ -11,20 +11,66 @@ from pageloom.functions import answers, text, vectors
 from pageloom.operators import chunking, evaluation, rates, readers, retrieval, routing, search, validation
 from pageloom.operators.embedders import hashing_embedder
 from pageloom.plans import oracle
-from pageloom.session import durable, spread, table
+from pageloom.session import spread, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, status, rank, chunk_id, score): every question searched among the chunks of all pages, and routed."""
+#: Best score from which a question counts as covered, for the hashing embedder.
+COVERED = 0.3
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(index, results, routes) of every question among the chunks of all pages."""
     pages = spread(table(spark, sf_dir, "page_data"))
-    chunks = chunking.page_chunks(pages, keep=["page_id"])
-    index = durable(routing.build_index(chunks, hashing_embedder(), ["page_id", "chunk_index"]))
+    index = written(routing.build_index(chunking.page_chunks(pages, keep=["page_id"]), hashing_embedder(), ["page_id", "chunk_index"]))
     asked = table(spark, sf_dir, "questions").select(F.col("id").alias("query"), "question")
-    found = durable(routing.search(index, asked, hashing_embedder()).join(index.select("position", "chunk_id"), "position"))
-    routed = routing.route(asked, found.select("query", "rank", "score"), threshold=0.3)
-    return found.join(routed.select("query", "status"), "query").select(F.col("query").alias("id"), "status", "rank", "chunk_id", F.round("score", 6).alias("score"))
+    results = written(routing.search(index, asked, hashing_embedder()))
+    return index, results, routing.route(asked, results, threshold=COVERED)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, status, rank, chunk_id, score): every question searched among the chunks of all pages, and routed."""
+    index, results, routes = _searched(spark, sf_dir)
+    found = results.join(index.select("position", "chunk_id"), "position").join(routes.select("query", "status"), "query")
+    return found.select(F.col("query").alias("id"), "status", "rank", "chunk_id", F.round("score", 6).alias("score"))
+
+
+def question_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route of each question in words."""
+    return _searched(spark, sf_dir)[2].select(F.col("query").alias("id"), "status", "supported", "reason")
+
+
+def _retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, results, _ = _searched(spark, sf_dir)
+    passages = _passages(spark, sf_dir)
+    found = results.join(index.drop("vector"), "position").withColumnRenamed("query", "asked")
+    hits = retrieval.relevant_pairs(passages, found, cleaned=True).where("id = asked")
+    return retrieval.retrieval_metrics(retrieval.passage_ranks(passages, hits))
+
+
+def retrieval_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of each question's passages among its results, and what they are worth."""
+    ranks = F.array_join(F.transform("passage_ranks", lambda x: F.coalesce(x.cast("string"), F.lit("-"))), ",")
+    hits = [f"hit_{kind}_at_{k}" for k in retrieval.DEPTHS for kind in ("any", "all")]
+    return _retrieval(spark, sf_dir).select("id", ranks.alias("ranks"), *hits, F.round("reciprocal_rank", 6).alias("reciprocal_rank"))
+
+
+def mean_reciprocal_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean reciprocal rank of the questions of each split and category."""
+    asked = table(spark, sf_dir, "questions").where("answerable").select("id", "split", "category")
+    return _retrieval(spark, sf_dir).join(asked, "id").groupBy("split", "category").agg(F.count("*").alias("n"), F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
+
+
+def gold_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prompt of each question whose evidence is in the index: its first containing chunks, in order."""
+    passages = _passages(spark, sf_dir)
+    relevant = written(retrieval.relevant_pairs(passages, spread(table(spark, sf_dir, "document_chunks"))).select("id", "passage_index", "chunk_index", "chunk_row_id", text.clean_text(F.col("text")).alias("text")))
+    gold = retrieval.gold_context(retrieval.first_chunks(passages, relevant, F.struct("chunk_index", "chunk_row_id"), "chunk_row_id")).where("error is null")
+    named = gold.select("id", F.posexplode("context").alias("place", "chunk_row_id")).join(relevant.select("id", "chunk_row_id", "text").distinct(), ["id", "chunk_row_id"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"])
+    contexts = named.groupBy("id").agg(listed.alias("texts"))
+    return table(spark, sf_dir, "questions").select("id", "question").join(contexts, "id").select("id", text.build_prompt(F.col("question"), F.col("texts")).alias("prompt"))
 
 
 # text
@@ -169,10 +215,10 @@ def gold_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State of each passage: unknown file, no such page, no text, or on how many scans of its page it stands."""
-    pages = spread(table(spark, sf_dir, "page_data")).select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), text.clean_text(F.col("text")).alias("page_text"))
-    passages = _passages(spark, sf_dir)
-    files = pages.select("file").distinct().withColumn("known", F.lit(True))
-    joined = passages.join(files, "file", "left").join(pages.withColumn("there", F.lit(True)), ["file", "page"], "left")
+    pages, passages = table(spark, sf_dir, "page_data"), _passages(spark, sf_dir)
+    files = pages.select(text.base_name(F.col("source")).alias("file")).distinct().withColumn("known", F.lit(True))
+    cited = retrieval.cited_pages(spread(pages), passages).select("file", "page", text.clean_text(F.col("text")).alias("page_text"), F.lit(True).alias("there"))
+    joined = passages.join(files, "file", "left").join(cited, ["file", "page"], "left")
     held = F.coalesce(F.contains("page_text", "passage"), F.lit(False))
     grouped = joined.groupBy("id", "passage_index").agg(F.max("known").alias("known"), F.max("there").alias("there"), F.max("passage").alias("passage"), F.count_if(held).alias("scans"))
     state = F.when(F.col("known").isNull(), "unknown source").when(F.col("there").isNull(), "no such page").when(F.coalesce("passage", F.lit("")) == "", "no text").when(F.col("scans") == 0, "not on page").otherwise("found")
@@ -186,9 +232,10 @@ def evidence_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def evidence_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shortest sentence of its page that holds each passage; null where it spans several."""
-    pages = spread(table(spark, sf_dir, "page_data")).select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), text.clean_text(F.col("text")).alias("page_text"))
-    cut = pages.select("file", "page", "page_text", chunking.split_sentences(F.col("page_text")).alias("sentences"))
-    joined = _passages(spark, sf_dir).where("passage <> ''").join(cut, ["file", "page"]).where(F.contains("page_text", "passage"))
+    passages = _passages(spark, sf_dir).where("passage <> ''")
+    cited = retrieval.cited_pages(spread(table(spark, sf_dir, "page_data")), passages).select("file", "page", text.clean_text(F.col("text")).alias("page_text"))
+    cut = cited.select("file", "page", "page_text", chunking.split_sentences(F.col("page_text")).alias("sentences"))
+    joined = passages.join(cut, ["file", "page"]).where(F.contains("page_text", "passage"))
     length = F.array_min(F.transform(F.filter("sentences", lambda s: F.contains(s, F.col("passage"))), F.length))
     return joined.groupBy("id", "passage_index").agg(F.min(length).alias("shortest"))
 
@@ -216,17 +263,22 @@ def dataset_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.dataset_counts(table(spark, sf_dir, "questions"))["totals"]
 
 
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return validation.dataset_counts(table(spark, sf_dir, "questions"))["by_split"]
+
+
 def dataset_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scans = spread(table(spark, sf_dir, "page_data")).where("text is not null").select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), "text", "page_id")
+    """Problems of all questions against the latest scan of each page; a page without text is there, but holds nothing."""
+    scans = spread(table(spark, sf_dir, "page_data")).select(text.base_name(F.col("source")).alias("file"), F.col("page_number").alias("page"), F.coalesce("text", F.lit("")).alias("text"), "page_id")
     latest = scans.groupBy("file", "page").agg(F.max_by("text", "page_id").alias("text"))
     return validation.dataset_problems(table(spark, sf_dir, "questions"), latest)
 
 
 def unread_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of the test split for which a reader and mode has no row."""
-    asked = table(spark, sf_dir, "questions").where("split = 'test'").select(F.col("id").alias("question_id"), F.explode(evaluation.reader_modes(F.col("answerable"))).alias("mode"))
+    """Questions for which a reader and mode has no row."""
+    asked = table(spark, sf_dir, "questions").select(F.col("id").alias("question_id"), "split", F.explode(evaluation.reader_modes(F.col("answerable"))).alias("mode"))
     wanted = asked.withColumn("reader", F.explode(F.array(F.lit("extractive"), F.lit("generative"))))
-    return wanted.join(table(spark, sf_dir, "reader_records"), ["question_id", "reader", "mode"], "left_anti").select("question_id", "reader", "mode")
+    return wanted.join(table(spark, sf_dir, "reader_records"), ["question_id", "reader", "mode"], "left_anti").select("question_id", "split", "reader", "mode")
 
 
 # readers and the whole pipeline
@@ -285,7 +337,7 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     """All registered queries by name."""
     own = (
-        flagship, clean_pages, page_sentences, chunk_pages, chunk_counts, chunk_ids, normalized_predictions, answer_metrics, refusals, lexical_support, error_rates, auroc, correct_by_category,
+        flagship, question_routes, retrieval_records, mean_reciprocal_ranks, gold_prompts, split_counts, clean_pages, page_sentences, chunk_pages, chunk_counts, chunk_ids, normalized_predictions, answer_metrics, refusals, lexical_support, error_rates, auroc, correct_by_category,
         vector_top_k, vector_routes, label_retrieval, best_spans, evidence_chunks, gold_contexts, evidence_pages, evidence_occurrences, evidence_sentences,
         duplicate_questions, duplicate_chunk_ids, category_counts, tag_counts, dataset_totals, dataset_problems, unread_questions, token_windows, packed_prompts, reader_outcomes, evaluation_run,
     )

@@ -9,8 +9,9 @@ from __future__ import annotations
 import string
 import unicodedata
 
-from pageloom.functions.text import REFUSALS, normalize_phrase
+from pageloom.functions.text import PROMPT_HEAD, REFUSALS, normalize_phrase
 from pageloom.operators.chunking import ABBREVIATIONS
+from pageloom.operators.validation import ANSWERABLE, LONGEST_SENTENCE, SPLITS, TAGS, UNANSWERABLE
 
 SPACES = "[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
@@ -52,6 +53,92 @@ def tokens(column: str) -> str:
     return f"list_filter(string_split({normal(column)}, ' '), lambda t: t <> '')"
 
 
+def packed(name: str, key: str, lists: str, overlap: int, size: int = 1000) -> str:
+    """CTE ``name`` (key, k, first, stop): runs of a list's units of at most ``size`` characters, each beginning within the ``overlap`` of the one before.
+
+    ``lists`` is a table of the key, the units ``u`` and ``e``, the lengths of all beginnings with a blank after each unit.
+    """
+    stop = f"coalesce(list_min(list_filter(range({{0}} + 1, len(u)), lambda i: e[i + 2] - e[{{0}} + 1] - 1 > {size})), len(u))".format
+    begin = f"coalesce(list_min(list_filter(range(first, stop), lambda s: e[stop + 1] - e[s + 1] - 1 <= {overlap} AND e[stop + 2] - e[s + 1] - 1 <= {size})), stop)"
+    return f"""{name} AS (SELECT {key}, u, e, 0 AS k, 0::BIGINT AS first, {stop('0')} AS stop FROM {lists} UNION ALL
+        SELECT {key}, u, e, k + 1, n, {stop('n')} FROM (SELECT *, {begin} AS n FROM {name} WHERE stop < len(u)))"""
+
+
+def wrapped(name: str, size: int = 1000) -> str:
+    """CTE ``name`` (page_id, sentence_index, k, line, rest): lines from 1 of sentences above the size, cut between words; a longer word fills its line and is cut."""
+    last = f"({size} - strpos(reverse(left(rest, {size})), ' ') + 1) * (strpos(left(rest, {size}), ' ') > 0)::INT"
+    cut = f"CASE WHEN length(rest) <= {size} THEN length(rest) WHEN substr(rest, {size + 1}, 1) = ' ' OR length(regexp_extract(substr(rest, {last} + 1), '^[^ ]*')) > {size} THEN {size} ELSE {last} END"
+    return f"""{name} AS (SELECT page_id, sentence_index, 0 AS k, '' AS line, sentence AS rest FROM sentences WHERE length(sentence) > {size}
+        UNION ALL SELECT page_id, sentence_index, k + 1, rtrim(left(rest, cut)), ltrim(substr(rest, cut + 1)) FROM (SELECT *, ({cut})::INT AS cut FROM {name} WHERE rest <> ''))"""
+
+
+LENGTHS = "list_transform(range(len(u) + 1), lambda i: coalesce(list_sum(list_transform(u[:i], lambda x: length(x) + 1)), 0))"
+
+
+def embedded(name: str, key: str, rows: str) -> str:
+    """CTE ``name`` (key, b, v): the non-zero numbers of the hashed vectors of ``rows`` (key, text), of unit length in single precision and again in double."""
+    return f"""{name}_w AS (SELECT {key}, ('0x' || left(md5(w), 8))::UBIGINT AS code FROM (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM {rows})),
+        {name}_c AS (SELECT {key}, code % 256 AS b, sum(CASE WHEN code >= 2147483648 THEN 1 ELSE -1 END) AS c FROM {name}_w GROUP BY ALL HAVING c <> 0),
+        {name}_f AS (SELECT {key}, b, (sign(c) * ln(1 + abs(c)) / sqrt(sum(ln(1 + abs(c)) ** 2) OVER (PARTITION BY {key})))::FLOAT::DOUBLE AS v FROM {name}_c),
+        {name} AS (SELECT {key}, b, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM {name}_f)"""
+
+
+def problems(passages: str, pages: str, pieces: str) -> str:
+    """The rules of the dataset as SQL."""
+    known = lambda values: ", ".join(map(_quote, values))
+    listed = "'[''' || array_to_string({0}, ''', ''') || ''']'".format
+    quoted = "'''' || coalesce({0}::VARCHAR, 'None') || ''''".format
+    kept = lambda *pairs: "list_filter([" + ", ".join(f"CASE WHEN {test} THEN {message} END" for test, message in pairs) + "], lambda x: x IS NOT NULL)"
+    clean_list = lambda column: f"list_transform({column}, lambda x: {clean('coalesce(x, chr(32))')})"
+    blank = lambda column: f"regexp_replace({column}, '{SPACES}', '', 'g') = ''"
+    one = kept(
+        ("n > 1", "'evidence occurs ' || n || ' times in the corpus, so retrieval hits would be ambiguous: ' || " + quoted("passage")),
+        ("held = 0", "'evidence spans more than one sentence: ' || " + quoted("passage")),
+        (f"shortest > {LONGEST_SENTENCE}", f"'evidence is in a sentence longer than {LONGEST_SENTENCE} characters: ' || " + quoted("passage")),
+    )
+    head = kept(
+        (blank("coalesce(question, '')"), "'question is empty'"),
+        (f"split IS NULL OR split NOT IN ({known(SPLITS)})", "'unknown split ' || " + quoted("split")),
+        ("len(odd) > 0", "'unknown failure tags ' || " + listed("odd")),
+        ("len(list_distinct(failure_tags)) < len(failure_tags)", "'repeated failure tags'"),
+    )
+    refusing = kept(
+        ("answerable IS DISTINCT FROM FALSE", "'category ' || category || ' requires answerable=false'"),
+        ("len(answers) + len(evidence) + len(list_items) > 0", "'unanswerable questions must have no answers, evidence or list_items'"),
+    )
+    middle = kept(
+        ("answerable IS DISTINCT FROM TRUE", "'category ' || category || ' requires answerable=true'"),
+        (f"len(answers) = 0 OR list_bool_or(list_transform(answers, lambda x: {blank('x')}))", "'answerable questions need non-empty answers'"),
+        ("len(evidence) = 0", "'answerable questions need evidence'"),
+    )
+    tail = kept(
+        ("category = 'yes_no' AND NOT (len(answers) = 1 AND coalesce(answers[1] IN ('yes', 'no'), FALSE))", "'yes_no answers must be [\"yes\"] or [\"no\"]'"),
+        ("category <> 'yes_no' AND len(answers) > 0 AND NOT list_contains(failure_tags, 'requires_reasoning') AND NOT contains(together, lower(clean_answers[1]))", "'first answer ' || " + quoted("answers[1]") + " || ' does not appear in the evidence'"),
+        ("category = 'list' AND len(list_items) < 2", "'list questions need at least two list_items'"),
+        ("category = 'list' AND len(missing) > 0", "'list_items not in the evidence: ' || " + listed("missing")),
+        ("category <> 'list' AND len(list_items) > 0", "'only list questions may have list_items'"),
+        ("category = 'multi_section' AND len(evidence) < 2", "'multi_section questions need at least two evidence passages'"),
+    )
+    strip = f"lower(regexp_replace(question, '^{SPACES}+|{SPACES}+$', '', 'g'))"
+    return f"""WITH {passages}, {pages}, {pieces}, d AS (SELECT DISTINCT passage FROM p WHERE passage <> ''),
+        oc AS (SELECT passage, sum((length(t) - length(replace(t, passage, ''))) // length(passage))::BIGINT AS n FROM d JOIN g ON contains(t, passage) GROUP BY passage),
+        hs AS (SELECT p.id, p.passage_index, count(sentence) AS held, min(length(sentence)) AS shortest FROM p JOIN g USING (file, page) JOIN sentences s ON s.page_id = g.page_id AND contains(sentence, passage) GROUP BY ALL),
+        pm AS (SELECT p.id, p.passage_index, CASE WHEN k.file IS NULL THEN ['evidence source ' || {quoted('p.file')} || ' is not in the corpus'] WHEN g.t IS NULL THEN [p.file || ' has no page ' || coalesce(p.page::VARCHAR, 'None')]
+            WHEN coalesce(p.passage, '') = '' THEN ['evidence text is empty'] WHEN NOT contains(g.t, p.passage) THEN ['evidence not found on ' || p.file || ' page ' || p.page || ': ' || {quoted('p.passage')}]
+            ELSE {one.replace('passage', 'p.passage').replace('held = 0', 'coalesce(held, 0) = 0')} END AS m
+            FROM p LEFT JOIN (SELECT DISTINCT file FROM g) k ON k.file = p.file LEFT JOIN g ON g.file = p.file AND g.page = p.page LEFT JOIN oc ON oc.passage = p.passage LEFT JOIN hs ON hs.id = p.id AND hs.passage_index = p.passage_index),
+        em AS (SELECT id, flatten(list(m ORDER BY passage_index)) AS em FROM pm GROUP BY id),
+        q0 AS (SELECT * REPLACE (coalesce(answers, []) AS answers, coalesce(evidence, []) AS evidence, coalesce(failure_tags, []) AS failure_tags, coalesce(list_items, []) AS list_items) FROM questions),
+        q1 AS (SELECT *, list_sort(list_distinct(list_filter(failure_tags, lambda x: x NOT IN ({known(TAGS)})))) AS odd, lower(array_to_string({clean_list("list_transform(evidence, lambda y: y.text)")}, ' ')) AS together,
+            {clean_list('answers')} AS clean_answers, {clean_list('list_items')} AS clean_items FROM q0),
+        q2 AS (SELECT *, list_filter(clean_items, lambda x: NOT contains(together, lower(x))) AS missing FROM q1),
+        q3 AS (SELECT q2.id, CASE WHEN category IN ({known(UNANSWERABLE)}) THEN list_concat({head}, {refusing}) WHEN category IS NULL OR category NOT IN ({known(ANSWERABLE)}) THEN list_concat({head}, ['unknown category ' || {quoted('category')}])
+            ELSE list_concat(list_concat({head}, {middle}), list_concat(coalesce(em, []), {tail})) END AS m FROM q2 LEFT JOIN em ON em.id = q2.id)
+        SELECT 0 AS part, id, 0 AS ordinal, id || ': duplicate id' AS message FROM questions GROUP BY id HAVING count(*) > 1
+        UNION ALL SELECT 1, NULL, 0, 'duplicate question ''' || {strip} || '''' FROM questions WHERE question IS NOT NULL GROUP BY {strip} HAVING count(*) > 1
+        UNION ALL SELECT 2, id, (generate_subscripts(m, 1) - 1)::INT, id || ': ' || unnest(m) FROM q3"""
+
+
 def statements() -> dict[str, str]:
     """SQL by query name."""
     name = "regexp_extract({0}, '[^/]*$')".format
@@ -71,7 +158,7 @@ def statements() -> dict[str, str]:
         CASE WHEN error IS NULL AND answerable THEN CASE WHEN category = 'list' THEN list_item_recall = 1.0 ELSE answer_containment END END AS correct FROM m)"""
     passages = f"""e AS (SELECT id, generate_subscripts(evidence, 1) - 1 AS passage_index, unnest(evidence) AS e FROM questions),
         p AS (SELECT id, passage_index::INT AS passage_index, e.source AS file, e.page AS page, {clean('e.text')} AS passage FROM e)"""
-    pages = f"g AS (SELECT page_id, {name('source')} AS file, page_number AS page, {clean('text')} AS t FROM page_data)"
+    pages = f"g AS (SELECT page_id, source, {name('source')} AS file, page_number AS page, {clean('text')} AS t FROM page_data)"
     chunks = f"c AS (SELECT chunk_row_id, chunk_id, chunk_index, {name('source')} AS file, page_number AS page, {clean('text')} AS t FROM document_chunks)"
     pieces = """x AS (SELECT *, string_split(regexp_replace(t, '([.!?]["''”’)\\]]?) +(["''“‘(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM g WHERE t <> ''),
         y AS (SELECT * EXCLUDE (l), generate_subscripts(l, 1) AS i, unnest(l) AS piece FROM x),
@@ -79,10 +166,33 @@ def statements() -> dict[str, str]:
         a AS (SELECT *, coalesce(lag(piece LIKE '%.' AND (w IN ({abbreviations}) OR regexp_matches(w, '^(\\p{{Nd}}+|\\p{{L}})$'))) OVER (PARTITION BY page_id ORDER BY i), FALSE) AS goes_on FROM z),
         b AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS k FROM a),
         sentences AS (SELECT page_id, any_value(file) AS file, any_value(page) AS page, any_value(t) AS t, (k - 1)::INT AS sentence_index, string_agg(piece, ' ' ORDER BY i) AS sentence FROM b GROUP BY page_id, k)""".format(abbreviations=", ".join(map(_quote, ABBREVIATIONS)))
+    chunked = f"""{pieces}, {wrapped('lr')},
+        un AS (SELECT page_id, sentence_index, 0 AS k, sentence AS unit FROM sentences WHERE length(sentence) <= 1000 UNION ALL SELECT page_id, sentence_index, k, line FROM lr WHERE k > 0),
+        ul AS (SELECT page_id, list(unit ORDER BY sentence_index, k) AS u FROM un GROUP BY page_id), ue AS (SELECT *, {LENGTHS} AS e FROM ul), {packed('cr', 'page_id', 'ue', 200)},
+        ch AS (SELECT g.page_id, source, file, page, k AS chunk_index, file || ':p' || page || ':c' || k AS chunk_id, array_to_string(u[first + 1:stop], ' ') AS text FROM cr JOIN g USING (page_id))"""
+    searched = f"""{chunked}, ck AS (SELECT *, row_number() OVER (ORDER BY page_id, chunk_index) AS position FROM ch), qt AS (SELECT id, question AS text FROM questions), {embedded('cv', 'position', 'ck')}, {embedded('qv', 'id', 'qt')},
+        sc AS (SELECT qv.id, cv.position, round(sum(qv.v * cv.v), 12) AS score FROM qv JOIN cv USING (b) GROUP BY ALL),
+        rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, position) AS rank, max(score) OVER (PARTITION BY id) AS top FROM sc QUALIFY rank <= 5), rr AS (SELECT rk.*, ck.* EXCLUDE (position) FROM rk JOIN ck USING (position))"""
+    located = f"""{searched}, mr AS (SELECT p.id, p.passage_index, min(rank) AS rank FROM p LEFT JOIN rr ON rr.id = p.id AND rr.file = p.file AND rr.page = p.page AND passage <> '' AND contains(rr.text, passage) GROUP BY ALL),
+        mt AS (SELECT id, array_to_string(list(coalesce(rank::VARCHAR, '-') ORDER BY passage_index), ',') AS ranks, {", ".join(f"bool_{how}(coalesce(rank <= {k}, FALSE)) AS hit_{kind}_at_{k}" for k in (1, 3, 5) for kind, how in (("any", "or"), ("all", "and")))}, coalesce(1.0 / min(rank), 0.0) AS rr FROM mr GROUP BY id)"""
+    latest = f"g AS (SELECT max(page_id) AS page_id, {name('source')} AS file, page_number AS page, {clean("arg_max(coalesce(text, ''), page_id)")} AS t FROM page_data GROUP BY 2, 3)"
     ranked = """v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT vec_id, label, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM v),
         s AS (SELECT q.vec_id AS query, n.vec_id AS position, q.label AS wanted, n.label AS got, list_dot_product(q.v, n.v) AS score FROM n JOIN n q ON q.vec_id % 20 = 0 AND q.vec_id <> n.vec_id),
         o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, position) AS rank FROM s)"""
     return {
+        "chunk_pages": f"WITH RECURSIVE {pages}, {chunked} SELECT source, page AS page_number, page_id, chunk_index, text, chunk_id FROM ch",
+        "chunk_counts": f"WITH RECURSIVE {pages}, {chunked} SELECT file, count(*) AS chunks, count(DISTINCT page) AS pages, max(length(text))::INT AS longest FROM ch GROUP BY file",
+        "flagship": f"WITH RECURSIVE {pages}, {searched} SELECT id, CASE WHEN top >= 0.3 THEN 'supported' ELSE 'below_threshold' END AS status, rank::INT AS rank, chunk_id, round(score, 6) AS score FROM rr",
+        "question_routes": f"""WITH RECURSIVE {pages}, {searched} SELECT id, CASE WHEN top >= 0.3 THEN 'supported' ELSE 'below_threshold' END AS status, top >= 0.3 AS supported,
+            'Top similarity ' || printf('%.3f', top) || CASE WHEN top >= 0.3 THEN ' meets the threshold of 0.300.' ELSE ' is below the threshold of 0.300, so the documents most likely do not cover this question.' END AS reason FROM rr WHERE rank = 1""",
+        "retrieval_records": f"WITH RECURSIVE {pages}, {passages}, {located} SELECT * EXCLUDE (rr), round(rr, 6) AS reciprocal_rank FROM mt",
+        "mean_reciprocal_ranks": f"WITH RECURSIVE {pages}, {passages}, {located} SELECT split, category, count(*) AS n, round(avg(mt.rr), 6) AS mrr FROM mt JOIN questions q USING (id) WHERE answerable GROUP BY ALL",
+        "gold_prompts": f"""WITH {passages}, {chunks}, h AS (SELECT id, passage_index, arg_min(chunk_row_id, (chunk_index, chunk_row_id)) AS chunk FROM p JOIN c USING (file, page) WHERE passage <> '' AND contains(t, passage) GROUP BY ALL),
+            o AS (SELECT p.id, p.passage_index, chunk FROM p LEFT JOIN h USING (id, passage_index)), d AS (SELECT id, chunk, min(passage_index) AS i FROM o GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS place FROM d),
+            x AS (SELECT n.id, bool_or(n.chunk IS NULL) AS failed, string_agg('[' || place || '] ' || t, chr(10) || chr(10) ORDER BY place) AS context FROM n LEFT JOIN c ON c.chunk_row_id = n.chunk GROUP BY n.id)
+            SELECT id, {_quote(PROMPT_HEAD)} || context || chr(10) || chr(10) || 'Question: ' || regexp_replace(question, '^{SPACES}+|{SPACES}+$', '', 'g') || chr(10) || 'Answer:' AS prompt FROM x JOIN questions USING (id) WHERE NOT failed""",
+        "split_counts": "SELECT split, count(*) AS n FROM questions GROUP BY split",
+        "dataset_problems": problems(passages, latest, pieces),
         "clean_pages": f"SELECT page_id, {clean('text')} AS clean FROM page_data",
         "page_sentences": f"WITH {pages}, {pieces} SELECT page_id, sentence_index, sentence FROM sentences",
         "chunk_ids": f"SELECT chunk_row_id, {name('source')} || ':p' || page_number || ':c' || chunk_index AS made_id FROM document_chunks",
@@ -124,9 +234,9 @@ def statements() -> dict[str, str]:
         "category_counts": "SELECT category, split, count(*) AS n FROM questions GROUP BY ALL",
         "tag_counts": "SELECT tag, count(*) AS n FROM (SELECT unnest(failure_tags) AS tag FROM questions) GROUP BY tag",
         "dataset_totals": "SELECT count(*) AS questions, count(*) FILTER (answerable) AS answerable, count(*) FILTER (NOT answerable) AS unanswerable FROM questions",
-        "unread_questions": """WITH m AS (SELECT id AS question_id, unnest(CASE WHEN answerable THEN ['gold_context', 'retrieved_context'] ELSE ['retrieved_context'] END) AS mode FROM questions WHERE split = 'test'),
-            w AS (SELECT question_id, mode, unnest(['extractive', 'generative']) AS reader FROM m)
-            SELECT question_id, reader, mode FROM w WHERE NOT EXISTS (SELECT 1 FROM reader_records r WHERE r.question_id = w.question_id AND r.reader = w.reader AND r.mode = w.mode)""",
+        "unread_questions": """WITH m AS (SELECT id AS question_id, unnest(CASE WHEN answerable THEN ['gold_context', 'retrieved_context'] ELSE ['retrieved_context'] END) AS mode, split FROM questions),
+            w AS (SELECT question_id, split, mode, unnest(['extractive', 'generative']) AS reader FROM m)
+            SELECT question_id, split, reader, mode FROM w WHERE NOT EXISTS (SELECT 1 FROM reader_records r WHERE r.question_id = w.question_id AND r.reader = w.reader AND r.mode = w.mode)""",
         "token_windows": """WITH n AS (SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n\\t]+'), lambda x: x <> '')) AS n FROM documents),
             w AS (SELECT doc_id, n, unnest(range(CASE WHEN n <= 96 THEN 1 ELSE 1 + ceil((n - 96) / 64.0)::BIGINT END)) AS i FROM n)
             SELECT doc_id, i::INT AS "window", (i * 64)::INT AS start_token, least(i * 64 + 96, n)::INT AS end_token FROM w""",
