@@ -1,11 +1,12 @@
 """Same or nearly same records on both sides of a train / evaluation split.
 
 Distinct normalised texts of the evaluation side are cut into segments, more than the allowed changes can
-all touch, so that at least one segment of a true copy stands in the training text unchanged. Shards of
-evaluation texts are compiled into Aho-Corasick automata that scan the training texts; matched intervals
-are merged into the coverage of each evaluation text, and covered candidates are compared exactly. As
-numbers and codes must agree, texts are sharded by their digits; a shard that grows beyond its bound is
-split into blocks of evaluation texts and slices of training texts, so no task holds an unbounded group.
+touch, so that a known number of them stands in a true copy unchanged and near its place. Shards of
+evaluation texts are compiled into Aho-Corasick automata that scan the training texts; matched intervals are
+merged into the coverage of each evaluation text, and candidates that have enough of their segments are
+compared exactly. Texts too short for that are compared with all training texts of like length. As numbers
+and codes must agree, texts are sharded by their digits; a shard that grows beyond its bound is split into
+blocks of evaluation texts and slices of training texts, so no task holds an unbounded group.
 """
 
 from __future__ import annotations
@@ -14,26 +15,47 @@ import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.llm.folding import UNSPACED, digits_of, distance, letters_of
 from pageloom.llm.lookalike import LookalikeClasses, fit
-from pageloom.session import durable
-
-SEGMENTS, SHORTEST = 8, 3
-LETTERS, WORDS = 3, 2
-#: Texts of one task: evaluation texts compiled into one automaton, training texts that it scans.
-BLOCK, SLICE = 5_000, 20_000
+from pageloom.session import durable, written
+
+#: Changes of a near copy: letters (a swap of neighbours is one), words, and characters of scripts without blanks that make up WORDS words.
+LETTERS, WORDS, CHARACTERS = 3, 2, 8
+#: Segments that must be left of a near copy.
+LEFT = 2
+#: Letters of the evaluation texts of one task, and of the training texts that it scans.
+BLOCK, SLICE = 500_000, 2_000_000
 SPLIT_WORDS = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+(?:[-'’.:/_]+[^\W_{UNSPACED}]+)*")
+ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
+
 
+def widest_change(form: str) -> int:
+    """Letters by which a near copy of a consistent form can be shorter, or two copies of it shifted."""
+    words = sorted((len(letters_of(x)) for x in SPLIT_WORDS.findall(form)), reverse=True)
+    return LETTERS + max(sum(words[:WORDS]), CHARACTERS if ANY_UNSPACED.search(form) else 0)
 
-def segments(letters: str) -> list[tuple[int, str]]:
-    """(offset, segment) of an evaluation text: SEGMENTS equal parts, fewer in short texts."""
-    n = max(1, min(SEGMENTS, len(letters) // SHORTEST))
-    bounds = [len(letters) * i // n for i in range(n + 1)]
-    return [(a, letters[a:b]) for a, b in zip(bounds, bounds[1:])]
+
+def segments(letters: str, form: str) -> list[tuple[int, str]]:
+    """(offset, segment) of an evaluation text: the fewest equal parts of which the allowed changes leave LEFT untouched; none where no number of parts does.
+
+    A letter's change touches one part or, as a swap, two; a word that changes at most as many as its letters
+    can reach into; a changed character of a script without blanks one.
+    """
+    n = len(letters)
+    words = sorted((len(letters_of(x)) for x in SPLIT_WORDS.findall(form)), reverse=True)[:WORDS]
+    single = CHARACTERS if ANY_UNSPACED.search(form) else 0
+    for parts in range(LEFT + 2 * LETTERS, n + 1):
+        size = n // parts
+        touched = 2 * LETTERS + max(sum((x + size - 2) // size + 1 for x in words), single)
+        if parts - touched >= LEFT:
+            bounds = [n * i // parts for i in range(parts + 1)]
+            return [(a, letters[a:b]) for a, b in zip(bounds, bounds[1:])]
+    return []
 
 
 def merged_length(spans: list[tuple[int, int]]) -> int:
@@ -106,46 +128,76 @@ def normalised(rows: DataFrame, classes: LookalikeClasses) -> DataFrame:
     return rows.mapInPandas(formed, f"{fields}, form string, letters string, digits string").where("letters <> ''")
 
 
+class _Automaton:
+    """Evaluation texts of one route, compiled; training texts are scanned one by one."""
+
+    def __init__(self, letters: list[str], forms: list[str]) -> None:
+        import ahocorasick
+
+        self.lengths = np.array([len(x) for x in letters])
+        self.change = np.array([widest_change(x) for x in forms])
+        where: dict[str, list[tuple[int, int, int]]] = {}
+        self.short = []
+        for row, (text, form) in enumerate(zip(letters, forms)):
+            parts = segments(text, form)
+            if not parts:
+                self.short.append(row)
+            for number, (offset, segment) in enumerate(parts):
+                where.setdefault(segment, []).append((row, offset, number))
+        self.automaton = ahocorasick.Automaton()
+        for segment, places in where.items():
+            self.automaton.add_word(segment, (len(segment), np.array(places, np.int64)))
+        self.automaton.make_automaton()
+        self.parts = 1 + max((number for places in where.values() for *_, number in places), default=0)
+
+    def candidates(self, letters: str, form: str) -> Iterator[tuple[int, float]]:
+        """(row, coverage) of evaluation texts of which enough segments stand near their places; short texts of like length with coverage 0."""
+        change = widest_change(form)
+        near = np.maximum(self.change, change)
+        like = (self.lengths - self.change <= len(letters)) & (len(letters) - change <= self.lengths)
+        for row in self.short:
+            if like[row]:
+                yield row, 0.0
+        hits = [np.column_stack((places, np.full(len(places), end - length + 1), np.full(len(places), length))) for end, (length, places) in self.automaton.iter(letters)] if len(self.automaton) else []
+        if not hits:
+            return
+        row, offset, number, at, length = np.concatenate(hits).T
+        there = like[row] & (np.abs(at - offset) <= near[row])
+        _, first = np.unique(row[there] * self.parts + number[there], return_index=True)
+        row, offset, length = row[there][first], offset[there][first], length[there][first]
+        enough = np.bincount(row, minlength=len(self.lengths)) >= LEFT
+        for found in np.flatnonzero(enough).tolist():
+            own = row == found
+            yield found, merged_length([*zip(offset[own].tolist(), (offset[own] + length[own]).tolist())]) / int(self.lengths[found])
+
+
 def _scan(key, evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
     """Pairs (hash of evaluation text, hash of training text, coverage) of one block and slice."""
-    import ahocorasick
-
     found: list[tuple[str, str, float]] = []
     evaluation, training = evaluation.rename(columns=lambda x: x[2:]), training.rename(columns=lambda x: x[2:])
-    if len(evaluation) and len(training):
-        where: dict[str, list[tuple[int, int]]] = {}
-        for row, letters in enumerate(evaluation["letters"]):
-            for offset, segment in segments(letters):
-                where.setdefault(segment, []).append((row, offset))
-        automaton = ahocorasick.Automaton()
-        for segment, places in where.items():
-            automaton.add_word(segment, (len(segment), places))
-        automaton.make_automaton()
-        routes, forms, hashes, lengths = (evaluation[c].tolist() for c in ("route", "form", "hash", "length"))
-        for route, letters, form, digest in zip(training["route"], training["letters"], training["form"], training["hash"]):
-            spans: dict[int, list[tuple[int, int]]] = {}
-            for _, (length, places) in automaton.iter(letters):
-                for row, offset in places:
-                    if routes[row] == route:
-                        spans.setdefault(row, []).append((offset, offset + length))
-            for row, covered in spans.items():
-                if nearly_same(forms[row], form):
-                    found.append((hashes[row], digest, merged_length(covered) / lengths[row]))
+    scanned = dict([*training.groupby("route")])
+    for route, own in evaluation.groupby("route"):
+        if route not in scanned:
+            continue
+        forms, hashes = own["form"].tolist(), own["hash"].tolist()
+        automaton = _Automaton(own["letters"].tolist(), forms)
+        for letters, form, digest in zip(*(scanned[route][c] for c in ("letters", "form", "hash"))):
+            found += [(hashes[row], digest, coverage) for row, coverage in automaton.candidates(letters, form) if nearly_same(forms[row], form)]
     return pd.DataFrame(found, columns=["evaluation", "training", "coverage"])
 
 
 def overlapping_texts(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     """(evaluation, training, coverage): hashes of overlapping distinct texts, both sides with hash, kind, form, letters, digits."""
-    sides = [durable(x.dropDuplicates(["hash"]).withColumn("route", F.xxhash64("kind", "digits")).withColumn("length", F.length("letters"))) for x in (evaluation, training)]
-    counts = [x.groupBy("route").agg(F.count("*").alias("n")) for x in sides]
+    sides = [x.dropDuplicates(["hash"]).withColumn("route", F.xxhash64("kind", "digits")) for x in (evaluation, training)]
+    counts = [x.groupBy("route").agg(F.sum(F.length("letters") + 1).alias("n")) for x in sides]
     both = counts[0].withColumnRenamed("n", "n_eval").join(counts[1].withColumnRenamed("n", "n_train"), "route")
-    both = durable(both.select("route", F.ceil(F.col("n_eval") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_train") / SLICE).cast("int").alias("slices"), "n_eval", "n_train"))
+    both = written(both.select("route", F.ceil(F.col("n_eval") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_train") / SLICE).cast("int").alias("slices"), "n_eval", "n_train"))
     totals = both.agg(F.sum("n_eval").alias("e"), F.sum("n_train").alias("t")).first()
     shards = max(1, -(-(totals["e"] or 0) // (BLOCK // 4)), -(-(totals["t"] or 0) // (SLICE // 4)))
     routed = both.select("route", "blocks", "slices", F.when((F.col("blocks") > 1) | (F.col("slices") > 1), F.col("route")).otherwise(F.pmod("route", F.lit(shards))).alias("shard"))
     left = sides[0].join(routed, "route").withColumn("block", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     right = sides[1].join(routed, "route").withColumn("slice", F.pmod(F.xxhash64("hash"), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keep = ["shard", "block", "slice", "hash", "route", "form", "letters", "length"]
+    keep = ["shard", "block", "slice", "hash", "route", "form", "letters"]
     keys = ["shard", "block", "slice"]
     left, right = left.select(keep).toDF(*(f"e_{x}" for x in keep)), right.select(keep).toDF(*(f"t_{x}" for x in keep))
     grouped = left.groupBy([f"e_{x}" for x in keys]).cogroup(right.groupBy([f"t_{x}" for x in keys]))
@@ -166,10 +218,9 @@ def cross_split_pairs(questions: DataFrame) -> DataFrame:
     Texts are compared once however many questions hold them. A pair comes out once for each kind of text,
     with its best coverage. Null splits take no part; null, empty and symbol-only texts match nothing.
     """
-    texts = durable(question_texts(questions))
+    texts = question_texts(questions)
     classes = fit(texts.select("text"))
-    formed = normalised(texts, classes).withColumn("hash", F.sha2(F.concat_ws("\u0001", "kind", "form"), 256))
-    formed = durable(formed)
+    formed = written(normalised(texts, classes).withColumn("hash", F.sha2(F.concat_ws("\u0001", "kind", "form"), 256)))
     sides = formed.where("split in ('dev', 'test')"), formed.where("split = 'train'")
     pairs = overlapping_texts(*sides)
     held = [x.select("id", "split", "kind", "hash").distinct() for x in sides]

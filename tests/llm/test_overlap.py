@@ -4,7 +4,7 @@ import pytest
 
 from pageloom.llm.folding import digits_of, distance, letters_of, words_of
 from pageloom.llm.lookalike import fit
-from pageloom.llm.overlap import cross_split_pairs, merged_length, nearly_same, normalised, overlap_report, question_texts, segments
+from pageloom.llm.overlap import cross_split_pairs, merged_length, nearly_same, normalised, overlap_report, question_texts, segments, widest_change
 
 QUESTION = "id string, question string, split string, evidence array<struct<source:string,page:int,text:string>>, hash string, form string"
 BASE = "When should the spare beacon in Vashsan send its temporary badges to unit KYN-60305?"
@@ -38,11 +38,43 @@ def test_folding_sets_case_aside_in_every_script(text):
 
 def test_helpers():
     assert merged_length([(0, 4), (2, 6), (9, 10)]) == 7
-    assert "".join(x for _, x in segments("abcdefghijk")) == "abcdefghijk" and segments("ab") == [(0, "ab")]
+    parts = segments(letters_of(BASE), BASE)
+    assert "".join(x for _, x in parts) == letters_of(BASE) and 8 < len(parts) < 40 and segments("ab", "ab") == []
+    assert widest_change("the pump runs") == 3 + 8 and widest_change("水泵") == 3 + 8
     assert digits_of("a１b२c3") == "123" and letters_of("Ça-va 5") == "cava5" and words_of("certifi-\ncates NK-5") == ["certificates", "nk5"]
     assert distance("abcd", "acbd", 2) == 1 and distance("abc", "xyz", 2) == 3
 
 
+def changed(rng, text):
+    """A near copy: up to three letters and two words changed, added or dropped, in texts of few or many words."""
+    words = text.split()
+    for _ in range(rng.randrange(3)):
+        at = rng.randrange(len(words))
+        words[at : at + rng.randrange(2)] = [rng.choice(["north", "a", "extraordinary", ""])]
+    out = [*" ".join(words)]
+    for _ in range(rng.randrange(4)):
+        at = rng.randrange(len(out))
+        out[at : at + rng.randrange(2)] = [rng.choice("aeiou ")]
+    return "".join(out)
+
+
+def test_no_near_copy_is_missed_however_short():
+    from pageloom.llm.overlap import _Automaton
+
+    rng = random.Random(7)
+    words = "pump valve meter clerk door night report signal counts checks stores every remote fixed annual spare of in the a".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([2, 3, 4, 5, 9, 14]))) for _ in range(300)]
+    automaton = _Automaton([letters_of(x) for x in texts], texts)
+    pairs = 0
+    for row, text in enumerate(texts):
+        for _ in range(6):
+            copy = changed(rng, text)
+            if letters_of(copy) and nearly_same(text, copy):
+                pairs += 1
+                assert row in dict(automaton.candidates(letters_of(copy), copy)), (text, copy)
+    assert pairs > 900 and 0 < len(automaton.short) < len(texts)
+
+
 def rows():
     rng = random.Random(2)
     words = "pump valve meter clerk door night report signal counts checks stores every remote fixed annual spare".split()
@@ -83,8 +115,8 @@ def test_blocks_and_slices_lose_nothing(spark, monkeypatch):
 
     df = spark.createDataFrame([(*r, "h", "f") for r in rows()], QUESTION)
     whole = {(r.id_a, r.id_b) for r in cross_split_pairs(df).collect()}
-    monkeypatch.setattr(overlap, "BLOCK", 4)
-    monkeypatch.setattr(overlap, "SLICE", 4)
+    monkeypatch.setattr(overlap, "BLOCK", 400)
+    monkeypatch.setattr(overlap, "SLICE", 400)
     assert {(r.id_a, r.id_b) for r in cross_split_pairs(df).collect()} == whole
 
 
