@@ -1,7 +1,7 @@
 """Sentence units of multilingual text, as end offsets into the stored text.
 
-A pushdown automaton runs over each paragraph: its stack holds open quotations and brackets, its list
-state the marker and number of the current item. Only the characters that can matter (terminators,
+A pushdown automaton runs over each paragraph: one stack holds open quotations and brackets, another the
+levels of lists, each with its marker and the number of its current item. Only the characters that can matter (terminators,
 quotation marks, brackets, line breaks, blanks between Thai words) are visited. A full stop is looked up,
 word by word from its end, in a trie of abbreviations; other scripts bring their own terminators.
 """
@@ -148,23 +148,28 @@ def _paragraph(text: str, begin: int, end: int, ends: list[int]) -> None:
     pairs = _paired(events) if events else {}
     depth_until, unit, line = begin, begin, begin
     greek = None
-    item: tuple[str, int] | None = None
+    levels: list[tuple[str, int]] = []
 
-    def marker(at: int, previous: str, first: bool) -> tuple[str, int] | None:
+    def marker(at: int, previous: str, first: bool) -> bool:
+        """Whether a list item begins at a line; its level is then on top of the stack, deeper ones are popped."""
         found = MARKER.match(text, at, end)
         if not found:
-            return None
+            return False
         if found["bullet"]:
-            kind = (found["bullet"][0], 0)
-            return kind if first or item or ENDS.search(previous) else None
-        number = unicodedata.normalize("NFKC", found["n"])
-        kind = f"{found['open'] or ''}{'9' if number.isdigit() else 'a'}{found['close']}"
-        value = int(number) if number.isdigit() else ord(number[0].lower()) - 96 if len(number) == 1 else -1
-        if first and (found["close"] != "." or number.isdigit()):
-            return kind, value
-        if item and item[0] == kind and (value in (item[1] + 1, -1)):
-            return kind, value
-        return (kind, value) if value == 1 and (number.isdigit() or found["close"] != ".") and ENDS.search(previous) else None
+            kind, value, opens = found["bullet"][0], 0, first or bool(levels) or bool(ENDS.search(previous))
+        else:
+            number = unicodedata.normalize("NFKC", found["n"])
+            kind = f"{found['open'] or ''}{'9' if number.isdigit() else 'a'}{found['close']}"
+            value = int(number) if number.isdigit() else ord(number[0].lower()) - 96 if len(number) == 1 else -1
+            opens = first and (found["close"] != "." or number.isdigit()) or value == 1 and (number.isdigit() or found["close"] != ".") and bool(ENDS.search(previous))
+        for depth in range(len(levels) - 1, -1, -1):
+            if levels[depth][0] == kind and (found["bullet"] or value in (levels[depth][1] + 1, -1)):
+                del levels[depth:]
+                levels.append((kind, value))
+                return True
+        if opens:
+            levels.append((kind, value))
+        return opens
 
     def close(at: int) -> None:
         nonlocal unit
@@ -175,19 +180,17 @@ def _paragraph(text: str, begin: int, end: int, ends: list[int]) -> None:
             ends.append(last)
             unit = at
 
-    item = marker(begin, "", True)
-    body = MARKER.match(text, begin, end).end() if item else begin
+    body = MARKER.match(text, begin, end).end() if marker(begin, "", True) else begin
     for event in events:
         at, mark = event.start(), event.group()
         if at < body:
             continue
         if mark == "\n":
             previous = text[line:at]
-            following = marker(at + 1, previous.rstrip(), False)
-            if following:
+            if marker(at + 1, previous.rstrip(), False):
                 close(at)
-                item, body, depth_until = following, MARKER.match(text, at + 1, end).end(), at
-            elif item is None and line == begin and HEADING.match(previous.strip()) and not ENDS.search(previous.rstrip()) and _starts(text, at, end)[:1].isupper():
+                body, depth_until = MARKER.match(text, at + 1, end).end(), at
+            elif not levels and line == begin and HEADING.match(previous.strip()) and not ENDS.search(previous.rstrip()) and _starts(text, at, end)[:1].isupper():
                 close(at)
             elif at >= depth_until and at > begin and "฀" <= text[at - 1] <= "๿" and "฀" <= _starts(text, at, end)[:1] <= "๿":
                 close(at)
@@ -266,15 +269,30 @@ def ends_column(text: Column) -> Column:
     return _ends(text)
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("unit", T.StringType())])))
+def _units(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        out = []
+        for text in batch:
+            ends = sentence_ends(text)
+            out.append([{"start_char": a, "end_char": b, "unit": text[a:b].lstrip()} for a, b in zip([0, *ends], ends)])
+        yield pd.Series(out, dtype=object)
+
+
+_units = _units.asNondeterministic()
+
+
 def sentence_units(rows: DataFrame, id_column: str, text_column: str, with_text: bool = False) -> DataFrame:
     """(row_id, unit_index, start_char, end_char[, unit]) of every row; rows without text give none.
 
-    Repeated rows give their units once each; extra columns are ignored.
+    Repeated rows give their units once each; extra columns are ignored. A unit is cut where its text is, so
+    nothing but itself goes with it.
     """
-    found = rows.select(F.col(id_column).alias("row_id"), F.col(text_column).alias("stored"), _ends(F.col(text_column)).alias("ends"))
-    units = found.select("row_id", *(["stored"] if with_text else []), "ends", F.posexplode("ends").alias("unit_index", "end_char"))
-    start = F.when(F.col("unit_index") == 0, F.lit(0)).otherwise(F.expr("ends[greatest(unit_index - 1, 0)]"))
-    units = units.withColumn("start_char", start.cast("int"))
+    own = F.col(text_column)
     if with_text:
-        units = units.withColumn("unit", F.expr("regexp_replace(substring(stored, start_char + 1, end_char - start_char), '(?U)^\\\\s+', '')"))
-    return units.drop("ends", "stored")
+        found = rows.select(F.col(id_column).alias("row_id"), F.posexplode(_units(own)).alias("unit_index", "u"))
+        return found.select("row_id", "unit_index", "u.start_char", "u.end_char", "u.unit")
+    found = rows.select(F.col(id_column).alias("row_id"), _ends(own).alias("ends"))
+    spans = F.transform("ends", lambda end, i: F.struct(F.when(i == 0, 0).otherwise(F.get("ends", i - 1)).alias("start_char"), end.alias("end_char")))
+    units = found.select("row_id", F.posexplode(spans).alias("unit_index", "u"))
+    return units.select("row_id", "unit_index", "u.start_char", "u.end_char")

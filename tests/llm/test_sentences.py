@@ -16,6 +16,8 @@ CASES = [
     ("Storage\n\nThe pump is\nin the cellar. It runs", ["Storage", "The pump is\nin the cellar.", "It runs"]),
     ("Take these steps:\n• check it\n• sign it;\n\nThen leave.", ["Take these steps:", "• check it", "• sign it;", "Then leave."]),
     ("Do this:\n1. check it.\n2. sign it", ["Do this:", "1. check it.", "2. sign it"]),
+    ("Do this:\n1. open it:\n- turn the key\n- push\n2. sign it\n3. leave", ["Do this:", "1. open it:", "- turn the key", "- push", "2. sign it", "3. leave"]),
+    ("1) first:\na) one\nb) two\n2) second", ["1) first:", "a) one", "b) two", "2) second"]),
     ("The note is on page\n12. It is short.", ["The note is on page\n12.", "It is short."]),
     ("Der Wert liegt bei 3,5 bzw. 4 Euro. Am 3. Mai war er z. B. höher.", ["Der Wert liegt bei 3,5 bzw. 4 Euro.", "Am 3. Mai war er z. B. höher."]),
     ("„Ist es aus?“ fragte er. Ja.", ["„Ist es aus?“ fragte er.", "Ja."]),
