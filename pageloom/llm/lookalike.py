@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.session import durable
+from pageloom.session import written
 
 # Letters of different scripts that print alike, one class per row.
 LETTER_CLASSES = (
@@ -115,37 +115,32 @@ def build_classes(counts: dict[str, int]) -> LookalikeClasses:
     for letters in (*LETTER_CLASSES, HYPHENS):
         for other in letters[1:]:
             sets.union(letters[0], other)
-    expansion: dict[str, str] = {}
     for char in counts:
         if is_blank(char):
             sets.union(char, " ")
         elif is_widthless(char):
-            expansion[char] = ""
+            sets.union(char, "")
         elif char not in UNLIKE:
             tag, _, parts = unicodedata.decomposition(char).rpartition("> ")
             if parts and (not tag or f"{tag}>" in ALIKE_TAGS):
-                whole = "".join(chr(int(x, 16)) for x in parts.split())
-                if len(whole) == 1:
-                    sets.union(char, whole)
-                else:
-                    expansion[char] = whole
+                sets.union(char, "".join(chr(int(x, 16)) for x in parts.split()))
     members: dict[str, list[str]] = {}
-    for char in sets.parent:
-        members.setdefault(sets.find(char), []).append(char)
+    for item in sets.parent:
+        members.setdefault(sets.find(item), []).append(item)
     chosen: dict[str, str] = {}
+    expansion: dict[str, str] = {}
     for group in members.values():
-        simple = [x for x in group if x not in expansion and unicodedata.normalize("NFC", x) == x] or group
-        best = " " if " " in group else min(simple, key=lambda x: (-counts.get(x, 0), x))
-        long = next((expansion[x] for x in sorted(group) if x in expansion), None)
-        for x in group:
-            chosen[x] = best
-            if long is not None:
-                expansion[x] = long
+        points, strings = [x for x in group if len(x) == 1], sorted(x for x in group if len(x) != 1)
+        if strings:  # spelled out, part by part; nothing at all for what has no width
+            expansion |= dict.fromkeys(points, strings[0])
+            continue
+        simple = [x for x in points if unicodedata.normalize("NFC", x) == x] or points
+        chosen |= dict.fromkeys(points, " " if " " in group else min(simple, key=lambda x: (-counts.get(x, 0), x)))
 
     def form(text: str, depth: int = 0) -> str:
         return "".join(form(expansion[x], depth + 1) if x in expansion and depth < 8 else chosen.get(x, x) for x in text)
 
-    alphabet = set(counts) | set(sets.parent) | set(expansion)
+    alphabet = set(counts) | {x for x in sets.parent if len(x) == 1}
     rules = {x: y for x in alphabet if (y := unicodedata.normalize("NFC", form(x))) != x}
     marks = [x for x in counts if unicodedata.combining(x)]
     for base in [x for x in rules if rules[x] and unicodedata.category(x)[0] == "L"]:
@@ -202,18 +197,35 @@ def _spread(classes: LookalikeClasses):
     return SparkSession.active().sparkContext.broadcast(classes)
 
 
-def lookalike_pairs(rows: DataFrame, group: list[str], id_column: str, text_column: str, classes: LookalikeClasses) -> DataFrame:
-    """Pairs (group columns, id_a < id_b) of rows of one group whose texts look the same but differ as strings.
+def lookalike_members(rows: DataFrame, group: list[str], id_column: str, text_column: str, classes: LookalikeClasses) -> DataFrame:
+    """(group columns, id, written, looks): 256-bit hashes of each row's text and of its form, in a written table.
 
-    Only hashes are shuffled. Copies of one string are first gathered under it, so a text that fills a
-    third of the table is compared as one string; its rows are paired only with rows of other strings.
-    Rows without id, and null and blank texts, give no pair; a repeated id gives each pair once.
+    Rows without id, and null and blank texts, are left out.
     """
     formed = rows.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(
         *group, F.col(id_column).alias("id"), F.unhex(F.sha2(text_column, 256)).alias("written"), consistent_form(F.col(text_column), classes).alias("form")
     )
     # written once: the forms are costly, and the hashes are read by every join below
-    members = durable(formed.where(F.col("form") != "").select(*group, "id", "written", F.unhex(F.sha2("form", 256)).alias("looks")))
+    return written(formed.where(F.col("form") != "").select(*group, "id", "written", F.unhex(F.sha2("form", 256)).alias("looks")))
+
+
+def lookalike_classes(members: DataFrame, group: list[str]) -> DataFrame:
+    """(group columns, id, class, rows, strings): every row with its class of texts that look the same, its rows and different strings.
+
+    Hashes are counted before they are joined, so a class that fills a third of the table is one row where it is counted.
+    """
+    strings = members.groupBy(*group, "looks", "written").agg(F.count("*").alias("n"))
+    sizes = strings.groupBy(*group, "looks").agg(F.sum("n").alias("rows"), F.count("*").alias("strings"))
+    return members.join(sizes, [*group, "looks"]).select(*group, "id", F.lower(F.hex("looks")).alias("class"), "rows", "strings")
+
+
+def lookalike_pairs(members: DataFrame, group: list[str]) -> DataFrame:
+    """Pairs (group columns, id_a < id_b) of members of one group whose texts look the same but differ as strings.
+
+    Only hashes are shuffled. Copies of one string are first gathered under it, so a text that fills a
+    third of the table is compared as one string; its rows are paired only with rows of other strings.
+    A repeated id gives each pair once.
+    """
     several = members.groupBy(*group, "looks").agg(F.min("written").alias("low"), F.max("written").alias("high")).where("low <> high").select(*group, "looks")
     members = members.join(several, [*group, "looks"], "left_semi")
     strings = members.select(*group, "looks", "written").distinct()

@@ -22,9 +22,18 @@ def _rows(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     return whole
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lookalikes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _rows(spark, sf_dir, *KEYS)
-    return lookalike.lookalike_pairs(rows, ["table_name"], "row_id", "text", lookalike.fit(rows.select("text")))
+    return lookalike.lookalike_members(rows, ["table_name"], "row_id", "text", lookalike.fit(rows.select("text")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalike.lookalike_pairs(_lookalikes(spark, sf_dir), ["table_name"])
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every row, with its rows and its different strings."""
+    return lookalike.lookalike_classes(_lookalikes(spark, sf_dir), ["table_name"])
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,10 +62,15 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = splits.durable(splits.question_groups(table(spark, sf_dir, "questions")))
+    grouped = written(splits.question_groups(table(spark, sf_dir, "questions")))
     return splits.deal_splits(grouped, table(spark, sf_dir, "split_targets"))
 
 
+def p3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The citations that hold the groups together: the spanning forest by name."""
+    return splits.forest_citations(table(spark, sf_dir, "questions"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.cross_split_pairs(table(spark, sf_dir, "questions")).select("id_a", "id_b").distinct()
 
@@ -99,7 +113,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (p1_found, p1_forms, p2_found, p2_pieces, p3_found, p3_splits, p4_found, p4_report, p5_found, p5_units, p6_ids, p6_texts, p7_found, p7_places, p8_found, p8_statistics)
+    own = (p1_found, p1_classes, p1_forms, p2_found, p2_pieces, p3_found, p3_splits, p3_forest, p4_found, p4_report, p5_found, p5_units, p6_ids, p6_texts, p7_found, p7_places, p8_found, p8_statistics)
     return {x.__name__: x for x in own}
 
 

@@ -4,22 +4,29 @@ Records and what they cite are the two kinds of nodes of a graph; a record and a
 directly or through chains, form a group. Groups are found by Boruvka rounds in Spark: every component
 picks its smallest outgoing edge, the picked edges join a spanning forest and are contracted. Each round
 at least halves the components that still have edges, so a few rounds do, however long the chains or hot
-the keys: an edge list is only ever grouped by minimum (combined before the shuffle), never gathered.
+the keys: an edge list is only ever grouped by minimum (combined before the shuffle), never gathered, and
+what is looked up by root comes from a table of counted size or by a salted key. The forest is written and
+kept by name, so that every group can be traced to the citations that hold it together.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.llm.folding import CASELESS
 from pageloom.llm.lookalike import consistent_form, fit
-from pageloom.session import durable
+from pageloom.session import durable, written
 
 #: Roots above this share of all records are dealt one by one; there can be at most 1 / LARGE of them.
 LARGE = 0.001
-#: Hash buckets a size band is dealt in; prefix sums run over buckets, then inside each of them.
-BUCKETS = 64
+#: Hash buckets a size band is dealt in at least, and groups of a bucket beyond which there are more; prefix sums run over buckets, then inside each of them.
+BUCKETS, HELD = 64, 100_000
+#: Roots that are sent to every task; beyond them the join is salted by so many parts, as a root may hold a third of all nodes.
+SENT, SALTS = 200_000, 16
 
 
 def page_citations(questions: DataFrame) -> DataFrame:
@@ -36,13 +43,29 @@ def page_citations(questions: DataFrame) -> DataFrame:
     return keyed.select("id", F.concat_ws("#", "name", "number").alias("page")).distinct()
 
 
+def node(tag: str, name: str) -> Column:
+    """128-bit key of a node; the tag tells members from what they cite."""
+    return F.unhex(F.md5(F.concat(F.lit(tag), F.col(name).cast("string"))))
+
+
+def _looked_up(rows: DataFrame, moved: DataFrame, column: str, part: str) -> DataFrame:
+    """Rows whose root in a column has moved get the new one; a hot root is no hot key of the join."""
+    there = moved.select(F.col("root").alias(column), F.col("parent").alias("_to"))
+    if moved.count() <= SENT:
+        joined = rows.join(F.broadcast(there), column, "left")
+    else:
+        salted = there.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64(part), F.lit(SALTS)).cast("int")).join(salted, [column, "_salt"], "left").drop("_salt")
+    return joined.withColumn(column, F.coalesce("_to", column)).drop("_to")
+
+
 def spanning_forest(links: DataFrame, member: str, key: str) -> tuple[DataFrame, DataFrame]:
     """(node, root) of every node and the forest edges (a, b), for a table of (member, key) links.
 
-    Nodes are 64-bit hashes of tagged names, members and keys being told apart by the tag. Both results
+    Nodes are 128-bit keys (`node`), a those of members and b those of what they are linked to. Both results
     are checkpointed. The smallest edge of a component is unique, because edges are ordered as pairs.
     """
-    edges = links.select(F.xxhash64(F.lit("m"), member).alias("a"), F.xxhash64(F.lit("k"), key).alias("b")).distinct()
+    edges = links.where(F.col(member).isNotNull() & F.col(key).isNotNull()).select(node("m", member).alias("a"), node("k", key).alias("b")).distinct()
     edges = durable(edges.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "a", "b"))
     nodes = durable(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("root")))
     forest = None
@@ -57,17 +80,16 @@ def spanning_forest(links: DataFrame, member: str, key: str) -> tuple[DataFrame,
         forest = chosen if forest is None else forest.union(chosen)
         back = picked.select(F.col("root").alias("parent"), F.col("parent").alias("grand"))
         # two components that picked each other: the smaller becomes the root of the tree
-        jump = picked.join(back, "parent", "left").select("root", F.when((F.col("grand") == F.col("root")) & (F.col("root") < F.col("parent")), F.col("root")).otherwise(F.col("parent")).alias("parent"))
-        jump = durable(jump)
+        jump = durable(picked.join(back, "parent", "left").select("root", F.when((F.col("grand") == F.col("root")) & (F.col("root") < F.col("parent")), F.col("root")).otherwise(F.col("parent")).alias("parent")))
         while True:  # pointer jumping: the distance to the root halves with every turn
             up = jump.select(F.col("root").alias("parent"), F.col("parent").alias("above"))
             further = durable(jump.join(up, "parent").select("root", F.col("above").alias("parent"), (F.col("above") != F.col("parent")).alias("moved")))
             jump = further.select("root", "parent")
             if further.where("moved").isEmpty():
                 break
-        nodes = durable(nodes.join(jump, "root", "left").select("node", F.coalesce("parent", "root").alias("root")))
+        nodes = durable(_looked_up(nodes, jump, "root", "node"))
         for side in ("ra", "rb"):
-            edges = edges.join(jump.withColumnRenamed("root", side), side, "left").withColumn(side, F.coalesce("parent", side)).drop("parent")
+            edges = _looked_up(edges, jump, side, "a" if side == "rb" else "b")
         edges = edges.where("ra <> rb").select("ra", "rb", "a", "b")
         # of parallel edges between two components the smallest is enough
         pair = (F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
@@ -76,11 +98,26 @@ def spanning_forest(links: DataFrame, member: str, key: str) -> tuple[DataFrame,
     return nodes, forest
 
 
+def _grouped(questions: DataFrame, nodes: DataFrame) -> DataFrame:
+    ids = questions.where("id is not null").select("id").distinct().withColumn("node", node("m", "id"))
+    return ids.join(nodes, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
+
+
 def question_groups(questions: DataFrame) -> DataFrame:
     """(id, group): every question with an id, once, and the root of its group; one that cites nothing is its own group."""
     nodes, _ = spanning_forest(page_citations(questions), "id", "page")
-    ids = questions.where("id is not null").select("id").distinct().withColumn("node", F.xxhash64(F.lit("m"), "id"))
-    return ids.join(nodes, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
+    return _grouped(questions, nodes)
+
+
+def forest_citations(questions: DataFrame) -> DataFrame:
+    """(id, page, group): the citations of the spanning forest by name, one fewer in a group than it has questions and pages.
+
+    A group falls apart where any of them is taken away; questions that cite nothing are in none.
+    """
+    cited = written(page_citations(questions))
+    nodes, forest = spanning_forest(cited, "id", "page")
+    named = cited.withColumns({"a": node("m", "id"), "b": node("k", "page")}).join(forest, ["a", "b"], "left_semi")
+    return named.join(nodes.withColumnRenamed("node", "a"), "a").select("id", "page", F.lower(F.hex("root")).alias("group"))
 
 
 def mixed_questions(questions: DataFrame) -> DataFrame:
@@ -112,7 +149,7 @@ def deal_splits(grouped: DataFrame, targets: DataFrame) -> DataFrame:
         best = max(names, key=lambda x: (lack[x], x))
         lack[best] -= row["size"]
         large.append((row["group"], best))
-    dealt = grouped.sparkSession.createDataFrame(large, "group long, split string")
+    dealt = grouped.sparkSession.createDataFrame(large, T.StructType([T.StructField("group", grouped.schema["group"].dataType), T.StructField("split", T.StringType())]))
     small = sizes.join(F.broadcast(dealt), "group", "left_anti")
     for part in (small.where("size > 1"), small.where("size = 1")):
         placed = durable(_deal_systematically(part, lack))
@@ -126,10 +163,11 @@ def _deal_systematically(sizes: DataFrame, lack: dict[str, float]) -> DataFrame:
     """(group, size, split) for groups of similar size, in proportion to what each split still lacks."""
     left = {x: max(y, 0.0) for x, y in lack.items()}
     rest, names = sum(left.values()) or 1.0, list(left)
-    banded = sizes.withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("hash", F.xxhash64(F.lit("deal"), "group")).withColumn("bucket", F.pmod("hash", F.lit(BUCKETS)))
+    buckets = max(BUCKETS, math.ceil(sizes.count() / HELD))
+    banded = sizes.withColumn("band", F.floor(F.log2("size")).cast("int")).withColumn("hash", F.xxhash64(F.lit("deal"), "group")).withColumn("bucket", F.pmod("hash", F.lit(buckets)))
     totals = banded.groupBy("band", "bucket").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy(F.lit(0)).orderBy("band", "bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("band", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))  # at most 64 bands x BUCKETS rows
+    offsets = totals.select("band", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("offset"))  # a row for each band and bucket
     inside = Window.partitionBy("band", "bucket").orderBy("hash", "group").rowsBetween(Window.unboundedPreceding, -1)
     placed = banded.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(F.broadcast(offsets), ["band", "bucket"])
     middle = F.col("offset") + F.col("before") + F.floor((F.col("size") - 1) / 2)

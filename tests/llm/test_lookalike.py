@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from pageloom.llm.lookalike import build_classes, consistent_form, count_code_points, fit, lookalike_pairs
+from pageloom.llm.lookalike import build_classes, consistent_form, count_code_points, fit, lookalike_classes, lookalike_members, lookalike_pairs
 
 PLAIN = "Naïve café, first Office 8°C at the U.S. site – no. 5."
 VARIANTS = [
@@ -42,7 +42,7 @@ def test_pairs_against_brute_force_with_nulls_copies_and_extra_columns(spark):
     df = spark.createDataFrame(rows, "table_name string, row_id long, text string, form string, looks string")
     classes = fit(df.select("text"))
     rewrite = classes.rewriter()
-    found = sorted(tuple(r) for r in lookalike_pairs(df, ["table_name"], "row_id", "text", classes).collect())
+    found = sorted(tuple(r) for r in lookalike_pairs(lookalike_members(df, ["table_name"], "row_id", "text", classes), ["table_name"]).collect())
     want = {
         (g, min(i, j), max(i, j))
         for g, i, t, *_ in rows
@@ -52,8 +52,23 @@ def test_pairs_against_brute_force_with_nulls_copies_and_extra_columns(spark):
     assert found == sorted(want)
 
 
+def test_classes_count_their_rows_and_strings(spark):
+    rows = [(i, t) for i, t in enumerate([PLAIN, PLAIN, VARIANTS[3], OTHERS[0], None, " "])]
+    df = spark.createDataFrame(rows, "row_id long, text string")
+    out = {r.id: r for r in lookalike_classes(lookalike_members(df, [], "row_id", "text", fit(df.select("text"))), []).collect()}
+    assert {i: (r.rows, r.strings) for i, r in out.items()} == {0: (3, 2), 1: (3, 2), 2: (3, 2), 3: (1, 1)}
+    assert len({out[i]["class"] for i in range(3)}) == 1 and out[3]["class"] != out[0]["class"]
+
+
+def test_strings_and_code_points_share_classes():
+    rewrite = build_classes(dict.fromkeys("ﬃﬁfi℃°CС…. ㎞km​é", 1)).rewriter()
+    for a, b in (("ﬃ", "ffi"), ("℃", "°C"), ("°С", "℃"), ("…", "..."), ("é", "é"), ("k​m", "km")):
+        assert rewrite(a) == rewrite(b)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "table_name string, row_id long, text string")
     classes = fit(df.select("text"))
     assert count_code_points(df.select("text")).count() == 0
-    assert lookalike_pairs(df, ["table_name"], "row_id", "text", classes).count() == 0
+    members = lookalike_members(df, ["table_name"], "row_id", "text", classes)
+    assert lookalike_pairs(members, ["table_name"]).count() == 0 and lookalike_classes(members, ["table_name"]).count() == 0

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pageloom.llm.splits import deal_splits, mixed_questions, page_citations, question_groups, spanning_forest
+from pageloom.llm import splits
+from pageloom.llm.splits import deal_splits, forest_citations, mixed_questions, page_citations, question_groups, spanning_forest
 
 QUESTION = "id string, split string, evidence array<struct<source:string,page:int,text:string>>, root long"
 TARGETS = [("train", 0.8), ("dev", 0.1), ("test", 0.1)]
@@ -37,10 +38,10 @@ def test_forest_spans_the_components(spark, kind):
     }[kind]
     df = spark.createDataFrame(links, "id string, page string")
     nodes, forest = spanning_forest(df, "id", "page")
-    names = {r.h: r.n for r in df.select(F.xxhash64(F.lit("m"), "id").alias("h"), F.struct(F.lit("m"), "id").alias("n")).union(df.select(F.xxhash64(F.lit("k"), "page"), F.struct(F.lit("k"), "page"))).collect()}
+    names = {bytes(r.h): r.n for r in df.select(splits.node("m", "id").alias("h"), F.struct(F.lit("m"), "id").alias("n")).union(df.select(splits.node("k", "page"), F.struct(F.lit("k"), "page"))).collect()}
     got = {}
     for r in nodes.collect():
-        got.setdefault(r.root, set()).add(tuple(names[r.node]))
+        got.setdefault(bytes(r.root), set()).add(tuple(names[bytes(r.node)]))
     assert {frozenset(g) for g in got.values()} == components(links)
     assert forest.count() == nodes.count() - len(got)
 
@@ -64,10 +65,23 @@ def test_citations_and_mixed_groups(spark):
     df = questions(spark, rows)
     assert {(r.id, r.page.split("#")[1]) for r in page_citations(df).collect()} == {("a", "3"), ("b", "3"), ("c", "3"), ("d", "4"), ("g", "7"), ("h", "7")}
     assert sorted(r.id for r in mixed_questions(df).collect()) == ["a", "b", "c"]
-    assert len({r.group for r in question_groups(df).collect()}) == 5
+    assert len({bytes(r.group) for r in question_groups(df).collect()}) == 5
     assert mixed_questions(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_forest_by_name_holds_the_groups_together(spark, monkeypatch, sent):
+    monkeypatch.setattr(splits, "SENT", sent)
+    rng = random.Random(1)
+    rows = [(f"q{i}", None, [(f"f{rng.randrange(12)}.pdf", rng.randrange(6), "t") for _ in range(rng.randrange(3))]) for i in range(80)]
+    df = questions(spark, rows)
+    edges = forest_citations(df).collect()
+    links = [(i, f"{s}#{p}") for i, _, e in rows for s, p, _ in e]
+    assert components([(r.id, r.page) for r in edges]) == components(links) and {(r.id, r.page) for r in edges} <= set(links)
+    assert len(edges) == sum(len(x) - 1 for x in components(links)) and len({r.group for r in edges}) == len(components(links))
+    assert forest_citations(df.limit(0)).count() == 0
+
+
 def test_dealing_keeps_groups_and_meets_shares(spark):
     rng = random.Random(5)
     rows, n = [], 0
