@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.folding import UNSPACED, digits_of, distance, letters_of
+from pageloom.llm.folding import UNSPACED, digits_of, distance, fold, letters_of
 from pageloom.llm.lookalike import LookalikeClasses, fit
 from pageloom.session import durable, written
 
@@ -34,24 +34,27 @@ SPLIT_WORDS = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+(?:[-'’.:/_]+[^\W_{U
 ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
 
 
-def widest_change(form: str) -> int:
-    """Letters by which a near copy of a consistent form can be shorter, or two copies of it shifted."""
-    words = sorted((len(letters_of(x)) for x in SPLIT_WORDS.findall(form)), reverse=True)
-    return LETTERS + max(sum(words[:WORDS]), CHARACTERS if ANY_UNSPACED.search(form) else 0)
+def reach(form: str) -> tuple[int, int, int]:
+    """What can change in a near copy of a consistent form: letters (at least as many as its two longest words have), and characters of scripts without blanks."""
+    words = sorted(map(len, SPLIT_WORDS.findall(fold(form))), reverse=True)
+    return words[0] if words else 0, words[1] if len(words) > 1 else 0, CHARACTERS if ANY_UNSPACED.search(form) else 0
 
 
-def segments(letters: str, form: str) -> list[tuple[int, str]]:
+def widest_change(first: int, second: int, single: int) -> int:
+    """Letters by which a near copy can be shorter, or two copies shifted."""
+    return LETTERS + max(first + second, single)
+
+
+def segments(letters: str, first: int, second: int, single: int) -> list[tuple[int, str]]:
     """(offset, segment) of an evaluation text: the fewest equal parts of which the allowed changes leave LEFT untouched; none where no number of parts does.
 
     A letter's change touches one part or, as a swap, two; a word that changes at most as many as its letters
     can reach into; a changed character of a script without blanks one.
     """
     n = len(letters)
-    words = sorted((len(letters_of(x)) for x in SPLIT_WORDS.findall(form)), reverse=True)[:WORDS]
-    single = CHARACTERS if ANY_UNSPACED.search(form) else 0
     for parts in range(LEFT + 2 * LETTERS, n + 1):
         size = n // parts
-        touched = 2 * LETTERS + max(sum((x + size - 2) // size + 1 for x in words), single)
+        touched = 2 * LETTERS + max(sum((x + size - 2) // size + 1 for x in (first, second) if x), single)
         if parts - touched >= LEFT:
             bounds = [n * i // parts for i in range(parts + 1)]
             return [(a, letters[a:b]) for a, b in zip(bounds, bounds[1:])]
@@ -114,7 +117,7 @@ def nearly_same(a: str, b: str) -> bool:
 
 
 def normalised(rows: DataFrame, classes: LookalikeClasses) -> DataFrame:
-    """Adds ``form`` (consistent form), ``letters`` and ``digits`` for a string column ``text``."""
+    """Adds ``form`` (consistent form), ``letters``, ``digits`` and ``reach`` for a string column ``text``."""
     spread = rows.sparkSession.sparkContext.broadcast(classes)
 
     def formed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,24 +125,24 @@ def normalised(rows: DataFrame, classes: LookalikeClasses) -> DataFrame:
         for batch in batches:
             forms = [rewrite(x) for x in batch["text"]]
             letters = [letters_of(x) for x in forms]
-            yield batch.drop(columns="text").assign(form=forms, letters=letters, digits=[digits_of(x) for x in letters])
+            yield batch.drop(columns="text").assign(form=forms, letters=letters, digits=[digits_of(x) for x in letters], reach=[reach(x) for x in forms])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
-    return rows.mapInPandas(formed, f"{fields}, form string, letters string, digits string").where("letters <> ''")
+    return rows.mapInPandas(formed, f"{fields}, form string, letters string, digits string, reach array<int>").where("letters <> ''")
 
 
 class _Automaton:
     """Evaluation texts of one route, compiled; training texts are scanned one by one."""
 
-    def __init__(self, letters: list[str], forms: list[str]) -> None:
+    def __init__(self, letters: list[str], reaches: list[tuple[int, int, int]]) -> None:
         import ahocorasick
 
         self.lengths = np.array([len(x) for x in letters])
-        self.change = np.array([widest_change(x) for x in forms])
+        self.change = np.array([widest_change(*x) for x in reaches])
         where: dict[str, list[tuple[int, int, int]]] = {}
         self.short = []
-        for row, (text, form) in enumerate(zip(letters, forms)):
-            parts = segments(text, form)
+        for row, (text, own) in enumerate(zip(letters, reaches)):
+            parts = segments(text, *own)
             if not parts:
                 self.short.append(row)
             for number, (offset, segment) in enumerate(parts):
@@ -150,9 +153,9 @@ class _Automaton:
         self.automaton.make_automaton()
         self.parts = 1 + max((number for places in where.values() for *_, number in places), default=0)
 
-    def candidates(self, letters: str, form: str) -> Iterator[tuple[int, float]]:
+    def candidates(self, letters: str, own: tuple[int, int, int]) -> Iterator[tuple[int, float]]:
         """(row, coverage) of evaluation texts of which enough segments stand near their places; short texts of like length with coverage 0."""
-        change = widest_change(form)
+        change = widest_change(*own)
         near = np.maximum(self.change, change)
         like = (self.lengths - self.change <= len(letters)) & (len(letters) - change <= self.lengths)
         for row in self.short:
@@ -174,20 +177,21 @@ class _Automaton:
 def _scan(key, evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame:
     """Pairs (hash of evaluation text, hash of training text, coverage) of one block and slice."""
     found: list[tuple[str, str, float]] = []
-    evaluation, training = evaluation.rename(columns=lambda x: x[2:]), training.rename(columns=lambda x: x[2:])
-    scanned = dict([*training.groupby("route")])
-    for route, own in evaluation.groupby("route"):
-        if route not in scanned:
-            continue
-        forms, hashes = own["form"].tolist(), own["hash"].tolist()
-        automaton = _Automaton(own["letters"].tolist(), forms)
-        for letters, form, digest in zip(*(scanned[route][c] for c in ("letters", "form", "hash"))):
-            found += [(hashes[row], digest, coverage) for row, coverage in automaton.candidates(letters, form) if nearly_same(forms[row], form)]
+    sides: list[dict[int, list[tuple]]] = []
+    for side, prefix in ((evaluation, "e_"), (training, "t_")):
+        rows: dict[int, list[tuple]] = {}
+        for route, *row in zip(*(side[prefix + x].tolist() for x in ("route", "hash", "form", "letters", "reach"))):
+            rows.setdefault(route, []).append(tuple(row))
+        sides.append(rows)
+    for route, own in sides[0].items():
+        automaton = _Automaton([x[2] for x in own], [x[3] for x in own]) if route in sides[1] else None
+        for digest, form, letters, own_reach in sides[1].get(route, ()):
+            found += [(own[row][0], digest, coverage) for row, coverage in automaton.candidates(letters, own_reach) if nearly_same(own[row][1], form)]
     return pd.DataFrame(found, columns=["evaluation", "training", "coverage"])
 
 
 def overlapping_texts(evaluation: DataFrame, training: DataFrame) -> DataFrame:
-    """(evaluation, training, coverage): hashes of overlapping distinct texts, both sides with hash, kind, form, letters, digits."""
+    """(evaluation, training, coverage): hashes of overlapping distinct texts, both sides with hash, kind, form, letters, digits, reach."""
     sides = [x.dropDuplicates(["hash"]).withColumn("route", F.xxhash64("kind", "digits")) for x in (evaluation, training)]
     counts = [x.groupBy("route").agg(F.sum(F.length("letters") + 1).alias("n")) for x in sides]
     both = counts[0].withColumnRenamed("n", "n_eval").join(counts[1].withColumnRenamed("n", "n_train"), "route")
@@ -197,7 +201,7 @@ def overlapping_texts(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     routed = both.select("route", "blocks", "slices", F.when((F.col("blocks") > 1) | (F.col("slices") > 1), F.col("route")).otherwise(F.pmod("route", F.lit(shards))).alias("shard"))
     left = sides[0].join(routed, "route").withColumn("block", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     right = sides[1].join(routed, "route").withColumn("slice", F.pmod(F.xxhash64("hash"), F.col("slices")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    keep = ["shard", "block", "slice", "hash", "route", "form", "letters"]
+    keep = ["shard", "block", "slice", "hash", "route", "form", "letters", "reach"]
     keys = ["shard", "block", "slice"]
     left, right = left.select(keep).toDF(*(f"e_{x}" for x in keep)), right.select(keep).toDF(*(f"t_{x}" for x in keep))
     grouped = left.groupBy([f"e_{x}" for x in keys]).cogroup(right.groupBy([f"t_{x}" for x in keys]))
