@@ -5,7 +5,7 @@ directly or through chains, form a group. Groups are found by Boruvka rounds in
 picks its smallest outgoing edge, the picked edges join a spanning forest and are contracted. Each round
 at least halves the components that still have edges, so a few rounds do, however long the chains or hot
 the keys: an edge list is only ever grouped by minimum (combined before the shuffle), never gathered, and
-what is looked up by root comes from a table of counted size or by a salted key. The forest is written and
+roots that hold many rows are looked up in a table of counted size. The forest is written and
 kept by name, so that every group can be traced to the citations that hold it together.
 """
 
@@ -25,8 +25,8 @@ from pageloom.session import durable, written
 LARGE = 0.001
 #: Hash buckets a size band is dealt in at least, and groups of a bucket beyond which there are more; prefix sums run over buckets, then inside each of them.
 BUCKETS, HELD = 64, 100_000
-#: Roots that are sent to every task; beyond them the join is salted by so many parts, as a root may hold a third of all nodes.
-SENT, SALTS = 200_000, 16
+#: Roots that are sent to every task, and the share of all rows above which a root is sent where there are more; there are at most 1 / FREQUENT of these.
+SENT, FREQUENT = 20_000, 0.001
 
 
 def page_citations(questions: DataFrame) -> DataFrame:
@@ -48,15 +48,19 @@ def node(tag: str, name: str) -> Column:
     return F.unhex(F.md5(F.concat(F.lit(tag), F.col(name).cast("string"))))
 
 
-def _looked_up(rows: DataFrame, moved: DataFrame, column: str, part: str) -> DataFrame:
-    """Rows whose root in a column has moved get the new one; a hot root is no hot key of the join."""
-    there = moved.select(F.col("root").alias(column), F.col("parent").alias("_to"))
-    if moved.count() <= SENT:
-        joined = rows.join(F.broadcast(there), column, "left")
-    else:
-        salted = there.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("_salt", F.pmod(F.xxhash64(part), F.lit(SALTS)).cast("int")).join(salted, [column, "_salt"], "left").drop("_salt")
-    return joined.withColumn(column, F.coalesce("_to", column)).drop("_to")
+def _looked_up(rows: DataFrame, moved: DataFrame, columns: list[str], count: int) -> DataFrame:
+    """Rows whose roots in some columns have moved get the new ones; a hot root is no hot key of the join."""
+    for column in columns:
+        there = moved.select(F.col("root").alias(column), F.col("parent").alias("_to"))
+        if count <= SENT:
+            joined = rows.join(F.broadcast(there), column, "left")
+        else:  # roots of many rows are few: they are looked up apart
+            frequent = written(rows.groupBy(column).agg(F.count("*").alias("_n")).where(F.col("_n") > FREQUENT * rows.count()).select(column))
+            few = there.join(F.broadcast(frequent), column, "left_semi")
+            joined = rows.join(F.broadcast(frequent), column, "left_semi").join(F.broadcast(few), column, "left")
+            joined = joined.unionByName(rows.join(F.broadcast(frequent), column, "left_anti").join(there, column, "left"))
+        rows = joined.withColumn(column, F.coalesce("_to", column)).drop("_to")
+    return rows
 
 
 def spanning_forest(links: DataFrame, member: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -87,10 +91,9 @@ def spanning_forest(links: DataFrame, member: str, key: str) -> tuple[DataFrame,
             jump = further.select("root", "parent")
             if further.where("moved").isEmpty():
                 break
-        nodes = durable(_looked_up(nodes, jump, "root", "node"))
-        for side in ("ra", "rb"):
-            edges = _looked_up(edges, jump, side, "a" if side == "rb" else "b")
-        edges = edges.where("ra <> rb").select("ra", "rb", "a", "b")
+        count = jump.count()
+        nodes = durable(_looked_up(nodes, jump, ["root"], count))
+        edges = _looked_up(edges, jump, ["ra", "rb"], count).where("ra <> rb").select("ra", "rb", "a", "b")
         # of parallel edges between two components the smallest is enough
         pair = (F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
         edges = durable(edges.groupBy(*pair).agg(F.min(F.struct("a", "b")).alias("e")).select(F.col("x").alias("ra"), F.col("y").alias("rb"), "e.a", "e.b"))
