@@ -83,6 +83,44 @@ def embedded(name: str, key: str, rows: str) -> str:
         {name} AS (SELECT {key}, b, v / sqrt(sum(v * v) OVER (PARTITION BY {key})) AS v FROM {name}_f)"""
 
 
+def split(prefix: str, key: str, rows: str) -> str:
+    """CTE ``prefix`` (key, sentence_index, sentence) of the sentences of ``rows`` (key, t): split at boundaries, pieces after an abbreviation joined again."""
+    abbreviations = ", ".join(map(_quote, ABBREVIATIONS))
+    return f"""{prefix}_x AS (SELECT *, string_split(regexp_replace(t, '([.!?]["''”’)\\]]?) +(["''“‘(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM {rows} WHERE t <> ''),
+        {prefix}_y AS (SELECT {key}, generate_subscripts(l, 1) AS i, unnest(l) AS piece FROM {prefix}_x),
+        {prefix}_z AS (SELECT *, lower(ltrim(regexp_extract(piece, '([^ ]+)\\.$', 1), '"''“‘([')) AS w FROM {prefix}_y),
+        {prefix}_a AS (SELECT *, coalesce(lag(piece LIKE '%.' AND (w IN ({abbreviations}) OR regexp_matches(w, '^(\\p{{Nd}}+|\\p{{L}})$'))) OVER (PARTITION BY {key} ORDER BY i), FALSE) AS goes_on FROM {prefix}_z),
+        {prefix}_b AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY i) AS k FROM {prefix}_a),
+        {prefix} AS (SELECT {key}, (k - 1)::INT AS sentence_index, string_agg(piece, ' ' ORDER BY i) AS sentence FROM {prefix}_b GROUP BY {key}, k)"""
+
+
+def evaluated(searched: str, passages: str, refused: str, holds) -> str:
+    """A whole run with the stand-in embedder and reader, from CTEs of the searched index and the passages."""
+    words = lambda text: f"list_distinct(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_]+'))"
+    return f"""WITH RECURSIVE {passages}, {searched},
+        re AS (SELECT p.id, p.passage_index, ck.position, ck.chunk_id, ck.chunk_index FROM p JOIN ck ON ck.file = p.file AND ck.page = p.page AND passage <> '' AND contains(ck.text, passage)),
+        mk AS (SELECT p.id, p.passage_index, min(rank) AS rank FROM p LEFT JOIN (SELECT re.id, re.passage_index, rk.rank FROM re JOIN rk ON rk.id = re.id AND rk.position = re.position) h ON h.id = p.id AND h.passage_index = p.passage_index GROUP BY ALL),
+        me AS (SELECT id, bool_and(rank IS NOT NULL) AS retrieved, bool_or(coalesce(rank <= 5, FALSE)) AS hit FROM mk GROUP BY id),
+        go AS (SELECT p.id, p.passage_index, b.position FROM p LEFT JOIN (SELECT id, passage_index, arg_min(position, (chunk_index, chunk_id, position)) AS position FROM re GROUP BY ALL) b USING (id, passage_index)),
+        gf AS (SELECT id, bool_or(position IS NULL) AS failed FROM go GROUP BY id),
+        ct AS (SELECT go.id, 'gold_context' AS mode, position, min(passage_index) AS place FROM go JOIN gf USING (id) WHERE NOT failed GROUP BY ALL UNION ALL SELECT id, 'retrieved_context', position, rank FROM rk),
+        tk AS (SELECT id, question, answerable, category, answers, coalesce(list_items, []) AS list_items, unnest(CASE WHEN answerable THEN ['gold_context', 'retrieved_context'] ELSE ['retrieved_context'] END) AS mode FROM questions),
+        us AS (SELECT DISTINCT position, text AS t FROM ck WHERE position IN (SELECT position FROM ct)), {split('cs', 'position', 'us')}, sw AS (SELECT *, {words('sentence')} AS ws FROM cs), qw AS (SELECT id, {words('question')} AS ws FROM questions),
+        sr AS (SELECT ct.id, ct.mode, sentence, len(list_filter(qw.ws, lambda x: list_contains(sw.ws, x))) AS score, place, sentence_index FROM ct JOIN qw USING (id) JOIN sw USING (position)),
+        be AS (SELECT id, mode, arg_min(array_to_string(string_split(sentence, ' ')[:30], ' '), (-score, place, sentence_index)) AS prediction FROM sr WHERE score > 0 GROUP BY ALL),
+        r0 AS (SELECT tk.*, be.prediction, NOT EXISTS (SELECT 1 FROM ct WHERE ct.id = tk.id AND ct.mode = tk.mode) AS failed FROM tk LEFT JOIN be USING (id, mode)),
+        r1 AS (SELECT *, NOT failed AND {refused} AS declined, CASE WHEN {refused} THEN '' ELSE {normal('prediction')} END AS n FROM r0),
+        r2 AS (SELECT *, CASE WHEN NOT failed AND answerable THEN CASE WHEN category = 'list' THEN len(list_items) > 0 AND len(list_filter(list_items, lambda a: {holds(normal('a'), 'n')})) = len(list_items)
+            ELSE list_bool_or(list_transform(answers, lambda a: {holds(normal('a'), 'n')})) END END AS correct FROM r1),
+        pu AS (SELECT p.id, bool_and(EXISTS (SELECT 1 FROM re JOIN ct ON ct.id = re.id AND ct.mode = 'retrieved_context' JOIN ck ON ck.position = ct.position AND ck.chunk_id = re.chunk_id WHERE re.id = p.id AND re.passage_index = p.passage_index)) AS used FROM p GROUP BY p.id),
+        j AS (SELECT q.id, q.answerable, tp.top >= 0.3 AS supported, me.hit, coalesce(me.retrieved, TRUE) AS retrieved, coalesce(pu.used, TRUE) AS used, f.failed, f.declined, f.correct, g2.id IS NOT NULL AND NOT g2.failed AS gold_there, g2.correct AS gold_correct
+            FROM questions q JOIN (SELECT id, max(score) AS top FROM rk GROUP BY id) tp ON tp.id = q.id JOIN r2 f ON f.id = q.id AND f.mode = 'retrieved_context' LEFT JOIN r2 g2 ON g2.id = q.id AND g2.mode = 'gold_context' LEFT JOIN me ON me.id = q.id LEFT JOIN pu ON pu.id = q.id),
+        o AS (SELECT *, CASE WHEN NOT supported THEN 'refused_by_router' WHEN failed THEN 'error' WHEN declined THEN 'refused_by_reader' ELSE 'answered' END AS outcome FROM j),
+        d AS (SELECT *, CASE WHEN outcome = 'error' THEN NULL WHEN outcome = 'answered' THEN answerable AND coalesce(correct, FALSE) ELSE NOT answerable END AS "right" FROM o)
+        SELECT id, CASE WHEN supported THEN 'supported' ELSE 'below_threshold' END AS status, CASE WHEN answerable THEN hit END AS hit_any_at_5, outcome, CASE WHEN outcome = 'error' THEN 'error' WHEN NOT answerable THEN CASE WHEN outcome = 'answered' THEN 'false_accept' ELSE outcome END
+        WHEN "right" THEN 'correct' WHEN NOT retrieved THEN 'retrieval_miss' WHEN NOT supported THEN 'router_reject' WHEN NOT used THEN 'context_dropped' WHEN NOT gold_there THEN 'error' WHEN coalesce(gold_correct, FALSE) THEN 'reader_distracted' ELSE 'reader_error' END AS diagnosis FROM d"""
+
+
 def problems(passages: str, pages: str, pieces: str) -> str:
     """The rules of the dataset as SQL."""
     known = lambda values: ", ".join(map(_quote, values))
@@ -160,12 +198,7 @@ def statements() -> dict[str, str]:
         p AS (SELECT id, passage_index::INT AS passage_index, e.source AS file, e.page AS page, {clean('e.text')} AS passage FROM e)"""
     pages = f"g AS (SELECT page_id, source, {name('source')} AS file, page_number AS page, {clean('text')} AS t FROM page_data)"
     chunks = f"c AS (SELECT chunk_row_id, chunk_id, chunk_index, {name('source')} AS file, page_number AS page, {clean('text')} AS t FROM document_chunks)"
-    pieces = """x AS (SELECT *, string_split(regexp_replace(t, '([.!?]["''”’)\\]]?) +(["''“‘(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS l FROM g WHERE t <> ''),
-        y AS (SELECT * EXCLUDE (l), generate_subscripts(l, 1) AS i, unnest(l) AS piece FROM x),
-        z AS (SELECT *, lower(ltrim(regexp_extract(piece, '([^ ]+)\\.$', 1), '"''“‘([')) AS w FROM y),
-        a AS (SELECT *, coalesce(lag(piece LIKE '%.' AND (w IN ({abbreviations}) OR regexp_matches(w, '^(\\p{{Nd}}+|\\p{{L}})$'))) OVER (PARTITION BY page_id ORDER BY i), FALSE) AS goes_on FROM z),
-        b AS (SELECT *, sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY page_id ORDER BY i) AS k FROM a),
-        sentences AS (SELECT page_id, any_value(file) AS file, any_value(page) AS page, any_value(t) AS t, (k - 1)::INT AS sentence_index, string_agg(piece, ' ' ORDER BY i) AS sentence FROM b GROUP BY page_id, k)""".format(abbreviations=", ".join(map(_quote, ABBREVIATIONS)))
+    pieces = f"{split('st', 'page_id', 'g')}, sentences AS (SELECT page_id, file, page, t, sentence_index, sentence FROM st JOIN g USING (page_id))"
     chunked = f"""{pieces}, {wrapped('lr')},
         un AS (SELECT page_id, sentence_index, 0 AS k, sentence AS unit FROM sentences WHERE length(sentence) <= 1000 UNION ALL SELECT page_id, sentence_index, k, line FROM lr WHERE k > 0),
         ul AS (SELECT page_id, list(unit ORDER BY sentence_index, k) AS u FROM un GROUP BY page_id), ue AS (SELECT *, {LENGTHS} AS e FROM ul), {packed('cr', 'page_id', 'ue', 200)},
@@ -191,6 +224,8 @@ def statements() -> dict[str, str]:
             o AS (SELECT p.id, p.passage_index, chunk FROM p LEFT JOIN h USING (id, passage_index)), d AS (SELECT id, chunk, min(passage_index) AS i FROM o GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY i) AS place FROM d),
             x AS (SELECT n.id, bool_or(n.chunk IS NULL) AS failed, string_agg('[' || place || '] ' || t, chr(10) || chr(10) ORDER BY place) AS context FROM n LEFT JOIN c ON c.chunk_row_id = n.chunk GROUP BY n.id)
             SELECT id, {_quote(PROMPT_HEAD)} || context || chr(10) || chr(10) || 'Question: ' || regexp_replace(question, '^{SPACES}+|{SPACES}+$', '', 'g') || chr(10) || 'Answer:' AS prompt FROM x JOIN questions USING (id) WHERE NOT failed""",
+        "evaluation_run": evaluated(f"g AS (SELECT max(page_id) AS page_id, source, {name('source')} AS file, page_number AS page, {clean('arg_max(text, page_id)')} AS t FROM page_data WHERE text IS NOT NULL GROUP BY source, page_number), "
+            + searched.replace("ORDER BY page_id, chunk_index) AS position", "ORDER BY source, page, chunk_index) AS position"), passages, refused, holds),
         "split_counts": "SELECT split, count(*) AS n FROM questions GROUP BY split",
         "dataset_problems": problems(passages, latest, pieces),
         "clean_pages": f"SELECT page_id, {clean('text')} AS clean FROM page_data",
