@@ -106,7 +106,7 @@ def run_evaluation(questions: DataFrame, pages: DataFrame, embed: Embedder, make
     check_k(k)
     if k < max(retrieval.DEPTHS):
         raise ValueError(f"k must be at least {max(retrieval.DEPTHS)}, the deepest hit that is recorded, got {k}")
-    index = written(routing.build_index(index_chunks(pages), embed, ["source", "page_number", "chunk_index"]))
+    index = written(routing.build_index(written(index_chunks(pages)), embed, ["source", "page_number", "chunk_index"]))
     results, routes = retrieve(questions, index, embed, k, threshold)
     passages = written(retrieval.clean_passages(questions))
     # the one join of passages with chunks; all that follows is by position

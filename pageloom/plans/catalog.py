@@ -23,7 +23,8 @@ COVERED = 0.3
 def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(index, results, routes) of every question among the chunks of all pages."""
     pages = spread(table(spark, sf_dir, "page_data"))
-    index = written(routing.build_index(chunking.page_chunks(pages, keep=["page_id"]), hashing_embedder(), ["page_id", "chunk_index"]))
+    chunks = written(chunking.page_chunks(pages, keep=["page_id"]))  # the sort samples them before it moves them
+    index = written(routing.build_index(chunks, hashing_embedder(), ["page_id", "chunk_index"]))
     asked = table(spark, sf_dir, "questions").select(F.col("id").alias("query"), "question")
     results = written(routing.search(index, asked, hashing_embedder()))
     return index, results, routing.route(asked, results, threshold=COVERED)
