@@ -62,8 +62,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = written(splits.question_groups(table(spark, sf_dir, "questions")))
-    return splits.deal_splits(grouped, table(spark, sf_dir, "split_targets"))
+    return splits.deal_splits(splits.question_groups(table(spark, sf_dir, "questions")), table(spark, sf_dir, "split_targets"))
 
 
 def p3_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

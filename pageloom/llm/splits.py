@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,9 +43,19 @@ def page_citations(questions: DataFrame) -> DataFrame:
     return keyed.select("id", F.concat_ws("#", "name", "number").alias("page")).distinct()
 
 
-def node(tag: str, name: str) -> Column:
-    """128-bit key of a node; the tag tells members from what they cite."""
-    return F.unhex(F.md5(F.concat(F.lit(tag), F.col(name).cast("string"))))
+def _numbered(links: DataFrame, member: str, key: str) -> DataFrame:
+    """(tag, name, node, n): a number of its own for every member (tag m) and key (tag k) of a written table of links, and its links."""
+    names = links.select(F.lit("m").alias("tag"), F.col(member).alias("name")).union(links.select(F.lit("k"), F.col(key)))
+    return written(names.groupBy("tag", "name").agg(F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+
+
+def _by_number(links: DataFrame, names: DataFrame, tag: str, column: str, number: str, total: int) -> DataFrame:
+    """Links with the number of a name; names of many links, at most 1 / FREQUENT, are looked up apart."""
+    own = names.where(F.col("tag") == tag).select(F.col("name").alias(column), F.col("node").alias(number), "n")
+    many = F.col("n") > FREQUENT * total
+    often = own.where(many).drop("n")
+    rest = links.join(F.broadcast(often.select(column)), column, "left_anti").join(own.where(~many).drop("n"), column)
+    return links.join(F.broadcast(often), column).unionByName(rest)
 
 
 def _looked_up(rows: DataFrame, moved: DataFrame, columns: list[str], count: int) -> DataFrame:
@@ -64,14 +74,17 @@ def _looked_up(rows: DataFrame, moved: DataFrame, columns: list[str], count: int
 
 
 def spanning_forest(links: DataFrame, member: str, key: str) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of every node and the forest edges (a, b), for a table of (member, key) links.
+    """(tag, name, node, root) of every node and the forest edges (a, b), for a table of (member, key) links.
 
-    Nodes are 128-bit keys (`node`), a those of members and b those of what they are linked to. Both results
-    are checkpointed. The smallest edge of a component is unique, because edges are ordered as pairs.
+    Nodes are numbers, a those of members (tag m) and b those of what they are linked to (tag k), so that no
+    two names can meet; links with a null are left out. Both results are checkpointed. The smallest edge of
+    a component is unique, because edges are ordered as pairs.
     """
-    edges = links.where(F.col(member).isNotNull() & F.col(key).isNotNull()).select(node("m", member).alias("a"), node("k", key).alias("b")).distinct()
+    links = written(links.where(F.col(member).isNotNull() & F.col(key).isNotNull()).select(F.col(member).cast("string"), F.col(key).cast("string")).distinct())
+    names, total = _numbered(links, member, key), links.count()
+    edges = _by_number(_by_number(links, names, "m", member, "a", total), names, "k", key, "b", total)
     edges = durable(edges.select(F.col("a").alias("ra"), F.col("b").alias("rb"), "a", "b"))
-    nodes = durable(edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct().select("node", F.col("node").alias("root")))
+    nodes = durable(names.select("node", F.col("node").alias("root")))
     forest = None
     while not edges.isEmpty():
         low, high = F.least("ra", "rb"), F.greatest("ra", "rb")
@@ -98,18 +111,15 @@ def spanning_forest(links: DataFrame, member: str, key: str) -> tuple[DataFrame,
         pair = (F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y"))
         edges = durable(edges.groupBy(*pair).agg(F.min(F.struct("a", "b")).alias("e")).select(F.col("x").alias("ra"), F.col("y").alias("rb"), "e.a", "e.b"))
     forest = durable(forest if forest is not None else nodes.select(F.col("node").alias("a"), F.col("root").alias("b")).limit(0))
-    return nodes, forest
-
-
-def _grouped(questions: DataFrame, nodes: DataFrame) -> DataFrame:
-    ids = questions.where("id is not null").select("id").distinct().withColumn("node", node("m", "id"))
-    return ids.join(nodes, "node", "left").select("id", F.coalesce("root", "node").alias("group"))
+    return durable(names.select("tag", "name", "node").join(nodes, "node")), forest
 
 
 def question_groups(questions: DataFrame) -> DataFrame:
-    """(id, group): every question with an id, once, and the root of its group; one that cites nothing is its own group."""
+    """(id, group), written: every question with an id, once, and the number of its group; one that cites nothing has a negative one of its own."""
     nodes, _ = spanning_forest(page_citations(questions), "id", "page")
-    return _grouped(questions, nodes)
+    ids = questions.where("id is not null").select("id").distinct()
+    held = nodes.where("tag = 'm'").select(F.col("name").alias("id"), "root")
+    return written(ids.join(held, "id", "left").select("id", F.coalesce("root", -1 - F.monotonically_increasing_id()).alias("group")))
 
 
 def forest_citations(questions: DataFrame) -> DataFrame:
@@ -117,15 +127,14 @@ def forest_citations(questions: DataFrame) -> DataFrame:
 
     A group falls apart where any of them is taken away; questions that cite nothing are in none.
     """
-    cited = written(page_citations(questions))
-    nodes, forest = spanning_forest(cited, "id", "page")
-    named = cited.withColumns({"a": node("m", "id"), "b": node("k", "page")}).join(forest, ["a", "b"], "left_semi")
-    return named.join(nodes.withColumnRenamed("node", "a"), "a").select("id", "page", F.lower(F.hex("root")).alias("group"))
+    nodes, forest = spanning_forest(page_citations(questions), "id", "page")
+    cited = forest.join(nodes.select(F.col("node").alias("a"), F.col("name").alias("id"), F.col("root").alias("group")), "a")
+    return cited.join(nodes.select(F.col("node").alias("b"), F.col("name").alias("page")), "b").select("id", "page", "group")
 
 
 def mixed_questions(questions: DataFrame) -> DataFrame:
     """(id) of questions whose group holds more than one split other than null."""
-    grouped = durable(question_groups(questions))
+    grouped = question_groups(questions)
     splits = questions.where("id is not null and split is not null").select("id", "split")
     mixed = grouped.join(splits, "id").groupBy("group").agg(F.min("split").alias("low"), F.max("split").alias("high")).where("low <> high")
     return grouped.join(mixed, "group", "left_semi").select("id")
