@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm import leaks, lookalike, overlap, pieces, quality, sentences, splits, tokens
+from pageloom.llm.folding import CASELESS
+from pageloom.llm.lookalike import ALIKE_TAGS, HYPHENS, LETTER_CLASSES, UNLIKE
+from pageloom.plans.oracle import nfkc
 from pageloom.session import spread, table, written
 
 KEYS = {"page_data": "page_id", "document_chunks": "chunk_row_id", "evidence": "evidence_id"}
@@ -32,8 +36,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of every row, with its rows and its different strings."""
-    return lookalike.lookalike_classes(_lookalikes(spark, sf_dir), ["table_name"])
+    """How many rows and different strings look like each row."""
+    return lookalike.lookalike_classes(_lookalikes(spark, sf_dir), ["table_name"]).drop("class")
 
 
 def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,10 +124,38 @@ _WIDTHLESS = "[\\x00-\\x08\\x0E-\\x1F\\x7F\\x{AD}\\x{34F}\\x{61C}\\x{200B}-\\x{2
 _BLANKS = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{85}]+"
 
 
+def _looks(column: str) -> str:
+    """SQL for the consistent form of a text, up to the choice of representatives: equal for texts that look the same."""
+    single, long = [], []
+    for point in (*range(0xA0, 0x3400), *range(0xF900, 0x10000)):
+        tag, _, parts = unicodedata.decomposition(chr(point)).rpartition("> ")
+        if tag and f"{tag}>" in ALIKE_TAGS and chr(point) not in UNLIKE:
+            whole = unicodedata.normalize("NFC", "".join(chr(int(x, 16)) for x in parts.split()))
+            (single if len(whole) == 1 else long).append((chr(point), whole))
+    alike = [(x, group[0]) for group in (*LETTER_CLASSES, HYPHENS) for x in group[1:]]
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    pairs = lambda found: ", ".join(quote("".join(x)) for x in zip(*found))
+    sql = f"regexp_replace({column}, '{_WIDTHLESS}', '', 'g')"
+    for char, whole in (x for x in long if x[0] in "ﬀﬁﬂﬃﬄﬅﬆ℃℉…‥№™㎏㎞㎝㎜"):
+        sql = f"replace({sql}, {quote(char)}, {quote(whole)})"
+    return f"trim(regexp_replace(nfc_normalize(translate(translate(nfc_normalize({sql}), {pairs(single)}), {pairs(alike)})), '{_BLANKS}', ' ', 'g'))"
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where the result of a query can be said in it; the others are tested against brute force and round trips."""
     measured = f"length(trim(regexp_replace(nfc_normalize(regexp_replace(text, '{_WIDTHLESS}', '', 'g')), '{_BLANKS}', ' ', 'g')))"
+    alike, caseless = [(x, group[0]) for group in (*LETTER_CLASSES, HYPHENS) for x in group[1:]], [(chr(x), y) for x, y in CASELESS.items()]
+    quoted = lambda pairs: ", ".join("'" + "".join(x).replace("'", "''") + "'" for x in zip(*pairs))
+    plain = nfkc("regexp_replace(regexp_extract(replace(e.source, chr(92), '/'), '[^/]*$'), '" + _WIDTHLESS + "', '', 'g')")
+    name = f"trim(regexp_replace(translate(lower(translate({plain}, {quoted(alike)})), {quoted(caseless)}), '{_BLANKS}', ' ', 'g'))"
+    shown = " UNION ALL ".join(f"SELECT '{x}' AS table_name, {key} AS id, text, {_looks('text')} AS looks FROM {x} WHERE text IS NOT NULL" for x, key in KEYS.items())
     return {
+        "p1_found": f"WITH f AS (SELECT * FROM ({shown}) WHERE looks <> '') SELECT DISTINCT a.table_name, a.id AS id_a, b.id AS id_b FROM f a JOIN f b ON a.table_name = b.table_name AND a.looks = b.looks AND a.id < b.id AND a.text <> b.text",
+        "p1_classes": f"""WITH f AS (SELECT * FROM ({shown}) WHERE looks <> ''), n AS (SELECT table_name, looks, count(*) AS "rows", count(DISTINCT text) AS strings FROM f GROUP BY ALL)
+            SELECT f.table_name, f.id, "rows", strings FROM f JOIN n USING (table_name, looks)""",
+        "p3_found": f"""WITH RECURSIVE e AS (SELECT id, unnest(evidence) AS e FROM questions), c AS (SELECT DISTINCT id, {name} || '#' || e.page AS page FROM e WHERE e.source IS NOT NULL AND e.page IS NOT NULL AND {name} <> ''),
+            r AS (SELECT DISTINCT a.id, b.id AS other FROM c a JOIN c b USING (page) UNION SELECT r.id, b.id FROM r JOIN c a ON a.id = r.other JOIN c b USING (page))
+            SELECT r.id FROM r JOIN questions q ON q.id = r.other WHERE q.split IS NOT NULL GROUP BY r.id HAVING count(DISTINCT q.split) > 1""",
         "p6_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p2_found": f"SELECT 'page_data' AS table_name, page_id AS row_id FROM page_data WHERE {measured} > 1000 "
         f"UNION ALL SELECT 'document_chunks' AS table_name, chunk_row_id AS row_id FROM document_chunks WHERE {measured} > 1000",
