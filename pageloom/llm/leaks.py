@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -238,12 +239,12 @@ class _Symbols:
     """A shard as one row of symbols: words from 2, 1 after each document."""
 
     def __init__(self, shard: list[tuple[int, list[str]]]) -> None:
-        self.codes: dict[str, int] = {}
-        code = self.codes.setdefault
+        self.codes: dict[str, int] = defaultdict(count(2).__next__)
+        code = self.codes.__getitem__  # a new word takes the next number
         parts, starts, at = [], [], 0
         for _, words in shard:
             starts.append(at)
-            parts.append(np.fromiter((code(x, len(self.codes) + 2) for x in words), np.int64, len(words)))
+            parts.append(np.fromiter(map(code, words), np.int64, len(words)))
             parts.append(ONE)
             at += len(words) + 1
         self.text = np.concatenate(parts)
