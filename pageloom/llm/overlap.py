@@ -192,7 +192,7 @@ def _scan(key, evaluation: pd.DataFrame, training: pd.DataFrame) -> pd.DataFrame
 
 def overlapping_texts(evaluation: DataFrame, training: DataFrame) -> DataFrame:
     """(evaluation, training, coverage): hashes of overlapping distinct texts, both sides with hash, kind, form, letters, digits, reach."""
-    sides = [x.dropDuplicates(["hash"]).withColumn("route", F.xxhash64("kind", "digits")) for x in (evaluation, training)]
+    sides = [written(x.dropDuplicates(["hash"]).select("hash", "form", "letters", "reach", F.xxhash64("kind", "digits").alias("route"))) for x in (evaluation, training)]
     counts = [x.groupBy("route").agg(F.sum(F.length("letters") + 1).alias("n")) for x in sides]
     both = counts[0].withColumnRenamed("n", "n_eval").join(counts[1].withColumnRenamed("n", "n_train"), "route")
     both = written(both.select("route", F.ceil(F.col("n_eval") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("n_train") / SLICE).cast("int").alias("slices"), "n_eval", "n_train"))
