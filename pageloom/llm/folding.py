@@ -56,11 +56,18 @@ def words_of(text: str) -> list[str]:
 
 def letters_of(text: str) -> str:
     """All folded letters and digits in a row."""
-    return "".join(ASCII_WORD.findall(text.lower()) if text.isascii() else WORD.findall(fold(text)))
+    return letters_in(fold(text))
+
+
+def letters_in(folded: str) -> str:
+    """All letters and digits of a folded text in a row."""
+    return "".join((ASCII_WORD if folded.isascii() else WORD).findall(folded))
 
 
 def digits_of(letters: str) -> str:
     """The decimal digits of a folded text, in order, as ASCII."""
+    if letters.isascii():
+        return "".join(filter(str.isdigit, letters))
     return "".join(str(unicodedata.digit(x)) for x in letters if x.isdecimal())
 
 

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.folding import UNSPACED, digits_of, distance, fold, letters_of
+from pageloom.llm.folding import UNSPACED, digits_of, distance, fold, letters_in, letters_of
 from pageloom.llm.lookalike import LookalikeClasses, fit
 from pageloom.session import durable, written
 
@@ -34,10 +34,10 @@ SPLIT_WORDS = re.compile(rf"[{UNSPACED}]|[^\W_{UNSPACED}]+(?:[-'’.:/_]+[^\W_{U
 ANY_UNSPACED = re.compile(f"[{UNSPACED}]")
 
 
-def reach(form: str) -> tuple[int, int, int]:
-    """What can change in a near copy of a consistent form: letters (at least as many as its two longest words have), and characters of scripts without blanks."""
-    words = sorted(map(len, SPLIT_WORDS.findall(fold(form))), reverse=True)
-    return words[0] if words else 0, words[1] if len(words) > 1 else 0, CHARACTERS if ANY_UNSPACED.search(form) else 0
+def reach(folded: str) -> tuple[int, int, int]:
+    """What can change in a near copy of a folded form: letters (at least as many as its two longest words have), and characters of scripts without blanks."""
+    words = sorted(map(len, SPLIT_WORDS.findall(folded)), reverse=True)
+    return words[0] if words else 0, words[1] if len(words) > 1 else 0, CHARACTERS if ANY_UNSPACED.search(folded) else 0
 
 
 def widest_change(first: int, second: int, single: int) -> int:
@@ -124,8 +124,9 @@ def normalised(rows: DataFrame, classes: LookalikeClasses) -> DataFrame:
         rewrite = spread.value.rewriter()
         for batch in batches:
             forms = [rewrite(x) for x in batch["text"]]
-            letters = [letters_of(x) for x in forms]
-            yield batch.drop(columns="text").assign(form=forms, letters=letters, digits=[digits_of(x) for x in letters], reach=[reach(x) for x in forms])
+            folded = [fold(x) for x in forms]
+            letters = [letters_in(x) for x in folded]
+            yield batch.drop(columns="text").assign(form=forms, letters=letters, digits=[digits_of(x) for x in letters], reach=[reach(x) for x in folded])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text")
     return rows.mapInPandas(formed, f"{fields}, form string, letters string, digits string, reach array<int>").where("letters <> ''")

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from pageloom.llm.folding import digits_of, distance, letters_of, words_of
+from pageloom.llm.folding import digits_of, distance, fold, letters_of, words_of
 from pageloom.llm.lookalike import fit
 from pageloom.llm.overlap import cross_split_pairs, merged_length, nearly_same, normalised, overlap_report, question_texts, reach, segments, widest_change
 
@@ -38,7 +38,7 @@ def test_folding_sets_case_aside_in_every_script(text):
 
 def test_helpers():
     assert merged_length([(0, 4), (2, 6), (9, 10)]) == 7
-    parts = segments(letters_of(BASE), *reach(BASE))
+    parts = segments(letters_of(BASE), *reach(fold(BASE)))
     assert "".join(x for _, x in parts) == letters_of(BASE) and 8 < len(parts) < 40 and segments("ab", *reach("ab")) == []
     assert widest_change(*reach("the pump runs")) == 3 + 8 and widest_change(*reach("水泵")) == 3 + 8
     assert digits_of("a１b२c3") == "123" and letters_of("Ça-va 5") == "cava5" and words_of("certifi-\ncates NK-5") == ["certificates", "nk5"]
@@ -64,14 +64,14 @@ def test_no_near_copy_is_missed_however_short():
     rng = random.Random(7)
     words = "pump valve meter clerk door night report signal counts checks stores every remote fixed annual spare of in the a".split()
     texts = [" ".join(rng.choice(words) for _ in range(rng.choice([2, 3, 4, 5, 9, 14]))) for _ in range(300)]
-    automaton = _Automaton([letters_of(x) for x in texts], [reach(x) for x in texts])
+    automaton = _Automaton([letters_of(x) for x in texts], [reach(fold(x)) for x in texts])
     pairs = 0
     for row, text in enumerate(texts):
         for _ in range(6):
             copy = changed(rng, text)
             if letters_of(copy) and nearly_same(text, copy):
                 pairs += 1
-                assert row in dict(automaton.candidates(letters_of(copy), reach(copy))), (text, copy)
+                assert row in dict(automaton.candidates(letters_of(copy), reach(fold(copy)))), (text, copy)
     assert pairs > 900 and 0 < len(automaton.short) < len(texts)
 
 
