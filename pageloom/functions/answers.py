@@ -1,7 +1,6 @@
 """Answer metrics as column expressions over predictions and arrays of references.
 
-Empty reference arrays and null predictions give null in these forms; the checked forms in
-``pageloom.operators.rates`` raise instead.
+Empty reference arrays and null predictions give null; there is no form that raises instead.
 """
 
 from __future__ import annotations

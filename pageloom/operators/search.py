@@ -58,7 +58,7 @@ def best_of_rows(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def top_k(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """(query, position, score, rank): the k best positions of every query, all of them if there are fewer.
+    """(query, position, score, rank): the k best positions of every query, all of them if there are fewer; vectors of different lengths stop the job.
 
     Null ids and vectors take no part. An empty index or query set gives no rows. ``not_self`` leaves out a
     position equal to the query.
@@ -78,6 +78,8 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = TOP_K, not_self: bool =
                 batch = batch.sort_values("position", kind="stable")
                 places = batch["position"].to_numpy()
                 units = _unit(np.array(batch["vector"].tolist(), float)).T
+                if len(names) and len(batch) and wanted.shape[1] != len(units):
+                    raise ValueError(f"expected query vectors of {len(units)} numbers, got {wanted.shape[1]}")
                 for first in range(0, len(names), AT_ONCE):
                     own = np.array(names[first : first + AT_ONCE])
                     scores = np.round(wanted[first : first + AT_ONCE] @ units, DIGITS)

@@ -25,6 +25,7 @@ from pageloom.sources import pages as page_source
 from pageloom.sources import questions as question_source
 from pageloom.sources import records
 
+# The wording of the error messages below.
 #: Problems that an error message shows; all of them are written beside the output folder.
 SHOWN = 20
 PACKAGES = ("pyspark", "numpy", "pandas", "pyarrow", "pyahocorasick")

@@ -49,6 +49,9 @@ def test_k_is_checked(spark, k):
 
 
 def test_vectors_of_wrong_length_stop_the_job(spark):
+    index = spark.createDataFrame([(1, [1.0, 2.0])], "position long, vector array<double>")
+    with pytest.raises(Exception, match="expected query vectors of 2 numbers, got 3"):
+        search.top_k(index, spark.createDataFrame([(7, [1.0, 2.0, 3.0])], "query long, vector array<double>")).collect()
     df = spark.createDataFrame([(1, [1.0, 2.0])], "id int, v array<double>")
     assert search.checked_vectors(df, "v", 2).count() == 1
     with pytest.raises(Exception, match="expected vectors of 3"):
