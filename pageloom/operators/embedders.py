@@ -8,6 +8,8 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 
 Embedder = Callable[[Column], Column]
 _VECTOR = T.ArrayType(T.FloatType())
+#: Words whose hashes are remembered, and texts counted at once.
+WORDS, AT_ONCE = 2**17, 512
 
 
 def embedder(embed: Callable[[], Callable[[list[str]], np.ndarray]]) -> Embedder:
@@ -53,12 +57,18 @@ def hashing_embedder(dimension: int = 256) -> Embedder:
     def make():
         word = re.compile(r"\w+")
 
+        @lru_cache(WORDS)
+        def place(found: str) -> int:
+            code = int(hashlib.md5(found.encode()).hexdigest()[:8], 16)
+            return code % dimension + (dimension if code >= 2**31 else 0)
+
         def embed(texts: list[str]) -> np.ndarray:
             matrix = np.zeros((len(texts), dimension))
-            for row, text in enumerate(texts):
-                for found in word.findall(text.lower()):
-                    code = int(hashlib.md5(found.encode()).hexdigest()[:8], 16)
-                    matrix[row, code % dimension] += 1 if code >= 2**31 else -1
+            for first in range(0, len(texts), AT_ONCE):
+                places = [[place(x) for x in word.findall(text.lower())] for text in texts[first : first + AT_ONCE]]
+                rows = np.repeat(np.arange(len(places)), [len(x) for x in places])
+                counts = np.bincount(rows * 2 * dimension + np.fromiter(chain.from_iterable(places), int, len(rows)), minlength=len(places) * 2 * dimension).reshape(-1, 2, dimension)
+                matrix[first : first + AT_ONCE] = counts[:, 1] - counts[:, 0]
             return np.sign(matrix) * np.log1p(np.abs(matrix))
 
         return embed

@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable
+from typing import Any
 
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
@@ -96,18 +97,18 @@ def written(df: DataFrame) -> DataFrame:
     return table.rows(df.schema)
 
 
-def block_by_block(items: DataFrame, keys: list[str], blocks: int, search: Callable[[list], tuple[DataFrame, Broadcast]]) -> DataFrame:
+def block_by_block(items: DataFrame, keys: list[str], blocks: int, search: Callable[[Any], tuple[DataFrame, Broadcast]], gather: Callable[[DataFrame], Any] = DataFrame.collect) -> DataFrame:
     """What a search finds for all items, which meet the tasks in blocks by a hash of the keys.
 
-    ``search`` makes a plan for the rows of one block, and the broadcast that holds them. A single block
+    ``search`` makes a plan for the rows of one block, as ``gather`` has them, and the broadcast that holds them. A single block
     stays lazy; several are run one after the other into a written table, and each broadcast is destroyed
     before the next, so neither the driver nor a task holds more than one block.
     """
     if blocks <= 1:
-        return search(items.collect())[0]
+        return search(gather(items))[0]
     held = Written(items.sparkSession)
     for block in range(blocks):
-        found, sent = search(items.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == block).collect())
+        found, sent = search(gather(items.where(F.pmod(F.xxhash64(*keys), F.lit(blocks)) == block)))
         held.add(found)
         sent.destroy()
     return held.rows(found.schema)

@@ -119,3 +119,42 @@ def test_best_spans_of_rows_of_different_lengths(spark):
             want[i] = (-best[1], -best[2], pytest.approx(best[0]))
     df = spark.createDataFrame([*rows, (99, [], [], []), (98, None, None, None)], "id int, s array<double>, e array<double>, c array<int>")
     assert {r.id: (r.start_token, r.end_token, r.score) for r in vectors.best_spans(df, ["id"], "s", "e", "c", 4).collect()} == want
+
+
+def test_a_task_gives_its_best_once_and_reads_the_index_once_for_many_queries(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    index = spark.createDataFrame([(i, rng.integers(-2, 3, 3).astype(float).tolist()) for i in range(400)], "position long, vector array<double>").repartition(2)
+    queries = spark.range(5000).select(F.col("id").alias("query"), F.array(*(((F.col("id") * n) % 7 - 3).cast("double") for n in (1, 2, 3))).alias("vector"))
+    seen = {}
+    monkeypatch.setattr(search, "ranked", lambda found, *rest: seen.update(rows=found.groupBy("query").count().agg(F.max("count")).first()[0]) or vectors.ranked(found, *rest))
+    inner = search.block_by_block
+    monkeypatch.setattr(search, "block_by_block", lambda items, keys, blocks, *rest: seen.update(blocks=blocks) or inner(items, keys, blocks, *rest))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        found = search.top_k(index, queries, 3)
+        assert found.groupBy("query").count().where("count = 3").count() == 5000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert seen["blocks"] == 1 and seen["rows"] <= 3 * 2
+
+
+@pytest.mark.parametrize("k", [1, 4, 90])
+def test_tiles_in_single_precision_lose_nothing(monkeypatch, k):
+    rng = np.random.default_rng(k)
+    matrix = search._unit(np.vstack([rng.normal(0, 1, (300, 24)), rng.integers(-1, 2, (300, 24)), np.repeat(rng.normal(0, 1, (1, 24)), 100, 0), np.zeros((20, 24))]).astype(float))
+    matrix = matrix[rng.permutation(len(matrix))]
+    # close to each other by less than single precision can tell
+    matrix[100:140] = search._unit(matrix[99] + rng.normal(0, 1e-9, (40, 24)))
+    wanted = np.vstack([matrix[::30], matrix[99:100], np.zeros((1, 24))])
+    own = np.array([*range(0, len(matrix), 30), 99, -1])
+    for left_out in (None, own):
+        best = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        for first in range(0, len(matrix), 50):
+            units = matrix[first : first + 50]
+            best = search.best_with_tile(best, wanted, wanted.astype(np.float32), np.arange(first, first + len(units)), units, np.ascontiguousarray(units.T, np.float32), k, left_out)
+        scores = np.round(wanted @ matrix.T, search.DIGITS)
+        if left_out is not None:
+            scores[np.equal.outer(left_out, np.arange(len(matrix)))] = -np.inf
+        row, column = search.best_of_rows(scores, k)
+        assert best[0].tolist() == row.tolist()
+        assert np.abs(best[2] - scores[row, column]).max() < 1e-11 and np.mean(best[1] == column) > 0.99
