@@ -114,7 +114,8 @@ def run_evaluation(questions: DataFrame, pages: DataFrame, embed: Embedder, make
     hits = results.select(F.col("query").alias("id"), "position", "rank").join(relevant, ["id", "position"])
     metrics = written(retrieval.retrieval_metrics(retrieval.passage_ranks(passages, hits)))
     gold = retrieval.gold_context(retrieval.first_chunks(passages, relevant, F.struct("chunk_index", "chunk_id", "position"), "position"))
-    tasks = written(reader_tasks(questions, gold, index, results, routes))
+    tasks = reader_tasks(questions, gold, index, results, routes)
+    tasks = written(tasks.withColumn("context_chunk_ids", F.transform("context", lambda x: x["chunk_id"])))
     used = relevant.select("id", "passage_index", "chunk_id").distinct()
     parts = []
     for name, (reader, generative) in make_readers.items():
@@ -124,7 +125,6 @@ def run_evaluation(questions: DataFrame, pages: DataFrame, embed: Embedder, make
             read = read.withColumn(column, F.when(F.col("error").isNull(), F.col(column)))
         texts = F.transform(F.filter("context", lambda x: F.array_contains("used_chunk_ids", x["chunk_id"])), lambda x: x["text"])
         scored = score_predictions(read.withColumn("used_texts", texts).withColumn("reader", F.lit(name)), generative)
-        scored = scored.withColumn("context_chunk_ids", F.transform("context", lambda x: x["chunk_id"]))
         parts.append(scored.drop("context", "used_texts", "context_error", "question", "answers", "list_items", "category"))
     rows = written(reduce(DataFrame.unionByName, parts))
     rows = rows.join(used_passages(rows, passages, used), ["id", "reader", "mode"], "left")

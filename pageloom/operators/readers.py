@@ -12,6 +12,8 @@ import re
 import time
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -53,9 +55,15 @@ def guarded(tasks: DataFrame) -> DataFrame:
 
 
 def _answered(tasks: DataFrame, keys: list[str], answers: DataFrame, used: Column) -> DataFrame:
-    """The given tasks with the OUTPUT columns: an answer's, or the guard's error."""
+    """The given tasks with the OUTPUT columns: an answer's, or the guard's error.
+
+    ``used`` may name ``_kept``, the ids of the chunks with text; they are taken before the join, which moves no texts then.
+    """
     tasks = tasks.drop(*OUTPUT)
-    joined = tasks.join(guarded(tasks).select(*keys, F.col("context").alias("_kept"), F.col("error").alias("_guard")), keys).join(answers, keys, "left")
+    guard = guarded(tasks.withColumn("_context", F.col("context"))).where(reduce(and_, (F.col(k).isNotNull() for k in keys)))
+    own = [F.col("_context" if c == "context" else c).alias(c) for c in tasks.columns]
+    kept = guard.select(*own, F.transform("context", lambda x: x["chunk_id"]).alias("_kept"), F.col("error").alias("_guard"))
+    joined = kept.join(answers, keys, "left")
     error = F.coalesce("_guard", "error")
     out = {
         "prediction": F.col("prediction"), "used_chunk_ids": F.when(error.isNull(), used), "confidence": F.col("confidence").cast("double"), "answer_chunk_id": F.col("answer_chunk_id"),
@@ -64,10 +72,6 @@ def _answered(tasks: DataFrame, keys: list[str], answers: DataFrame, used: Colum
     return joined.select(*tasks.columns, *(v.alias(k) for k, v in out.items()))
 
 
-def _all_used(context: Column) -> Column:
-    return F.transform(context, lambda x: x["chunk_id"])
-
-
 def _called(model: Callable, rows: int, call: Callable[[slice], object]) -> tuple[list, list]:
     """(results, errors) of a model called on a whole batch at once; where that fails, on each row alone, so that only the failing rows have errors."""
     try:
@@ -163,7 +167,7 @@ def extractive_reader(make: Callable[[], SpanModel], tokenize: Callable[[str], O
         order = F.struct(-F.col("_s.score"), "_place", "_window")
         best = scored.groupBy(*keys).agg(F.min_by(F.when(F.col("_s.score") >= min_score, answer), F.when(F.col("_s.score").isNotNull(), order)).alias("_b"), F.max("_s.error").alias("error"), F.sum("_s.seconds").alias("seconds"))
         answers = best.select(*keys, "_b.*", "error", "seconds").unionByName(too_long, allowMissingColumns=True)
-        return _answered(tasks, keys, answers, _all_used(F.col("_kept")))
+        return _answered(tasks, keys, answers, F.col("_kept"))
 
     return read
 
@@ -246,13 +250,15 @@ def overlap_reader(max_tokens: int = 30) -> Reader:
     def read(tasks: DataFrame, keys: list[str]) -> DataFrame:
         own = guarded(tasks).where("error is null").withColumn("_q", word_set(F.col("question")))
         chunks = own.select(*keys, "_q", F.posexplode("context").alias("_place", "_c")).withColumn("_s", split_sentences(F.col("_c.text")))
-        rows = chunks.select(*keys, "_q", "_place", "_c", F.posexplode("_s").alias("_n", "_sentence"))
-        score = F.size(F.array_intersect("_q", word_set(F.col("_sentence")))) / F.greatest(F.size("_q"), F.lit(1))
-        cut = F.array_join(F.slice(F.split("_sentence", " "), 1, max_tokens), " ")
-        start = F.position(F.col("_sentence"), F.col("_c.text")) - 1
-        answer = F.struct(cut.alias("prediction"), score.alias("confidence"), F.col("_c.chunk_id").alias("answer_chunk_id"), start.alias("start_char"), (start + F.length(cut)).alias("end_char"))
-        best = rows.where(score > 0).groupBy(*keys).agg(F.min_by(answer, F.struct(-score, "_place", "_n")).alias("_b"))
+        score = lambda x: F.size(F.array_intersect("_q", word_set(x))) / F.greatest(F.size("_q"), F.lit(1))
+        # the best sentence of each chunk before anything is sorted, and no text of a chunk after
+        rated = F.filter(F.transform("_s", lambda x, n: F.struct((-score(x)).alias("less"), n.alias("n"), x.alias("sentence"))), lambda x: x["less"] < 0)
+        rows = chunks.select(*keys, "_place", "_c", F.array_min(rated).alias("_r")).where("_r is not null")
+        cut = F.array_join(F.slice(F.split("_r.sentence", " "), 1, max_tokens), " ")
+        start = F.position(F.col("_r.sentence"), F.col("_c.text")) - 1
+        answer = F.struct(cut.alias("prediction"), (-F.col("_r.less")).alias("confidence"), F.col("_c.chunk_id").alias("answer_chunk_id"), start.alias("start_char"), (start + F.length(cut)).alias("end_char"))
+        best = rows.select(*keys, answer.alias("_a"), F.struct("_r.less", "_place").alias("_o")).groupBy(*keys).agg(F.min_by("_a", "_o").alias("_b"))
         answers = best.select(*keys, "_b.*", F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("seconds"))
-        return _answered(tasks, keys, answers, _all_used(F.col("_kept")))
+        return _answered(tasks, keys, answers, F.col("_kept"))
 
     return read

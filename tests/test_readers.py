@@ -115,3 +115,16 @@ def test_failures_stay_in_their_rows(spark):
 def test_windows_must_be_wider_than_their_stride(size, stride):
     with pytest.raises(ValueError):
         vectors.window_ranges(F.lit(9), size, stride)
+
+
+def test_overlap_reader_joins_answers_only_and_keeps_given_columns(spark):
+    rows = [(1, "Which red valve?", [("a", "The pump is off. The red valve leaks."), ("b", "A red valve. Which red valve is it?"), ("c", "  ")]), (2, "Which?", [("d", "Nothing here.")]), (3, " ", [("e", "Which?")]), (4, "Which?", None)]
+    tasks = spark.createDataFrame(rows, "id long, question string, context array<struct<chunk_id:string,text:string>>")
+    read = readers.overlap_reader()(tasks, ["id"])
+    got = {r.id: r for r in read.collect()}
+    assert {i: got[i].context for i in got} == {i: tasks.where(F.col("id") == i).first().context for i in (1, 2, 3, 4)}
+    assert (got[1].prediction, got[1].answer_chunk_id, got[1].confidence, got[1].start_char, got[1].used_chunk_ids) == ("Which red valve is it?", "b", 1.0, 13, ["a", "b"])
+    assert got[2].prediction is None and got[2].error is None and got[2].used_chunk_ids == ["d"]
+    assert got[3].error.startswith("ValueError: Question") and got[4].error.startswith("ValueError: Context") and got[4].used_chunk_ids is None
+    plan = read.select("id", "prediction", "used_chunk_ids", "error")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1
